@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidex.llm import copies as dup
 from evidex.llm import quantiles, terms
 from evidex.llm.forms import unify_text
+from evidex.llm.matching import map_records, map_values
 from evidex.plans.registry import Registry, table
 
 registry = Registry()
@@ -104,6 +105,35 @@ def p4_terms(spark, sf_dir):
     return terms.marked_terms(table(spark, sf_dir, "skill_frequency"), "关键词", "batch_id", "出现岗位数")
 
 
+MATCH_FIELDS = [
+    ("company_jobs_merged", "row_id", "title", "title_reference", "std_title"),
+    ("risk_scores_subjob", "score_id", "std_title", "title_reference", "std_title"),
+    ("risk_scores_subjob", "score_id", "category", "category_reference", "category"),
+]
+
+
+@registry.query("p5_found")
+def p5_found(spark, sf_dir):
+    parts = [
+        map_records(table(spark, sf_dir, name), key, column, table(spark, sf_dir, ref), entry, f"{name}.{column}")
+        for name, key, column, ref, entry in MATCH_FIELDS
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@registry.query("p5_unmatched")
+def p5_unmatched(spark, sf_dir):
+    """The values that mean no entry, with how many records have them."""
+    return p5_found(spark, sf_dir).where("ref_id = -1").groupBy("field").agg(F.count("*").alias("records"))
+
+
+@registry.query("p5_values")
+def p5_values(spark, sf_dir):
+    """Each distinct title of the postings with its entry and similarity."""
+    values = table(spark, sf_dir, "company_jobs_merged").select(F.col("title").alias("value"))
+    return map_values(values, table(spark, sf_dir, "title_reference"), "std_title")
+
+
 @registry.query("p6_found")
 def p6_found(spark, sf_dir):
     return p6_unified(spark, sf_dir).where("kinds > 0").select("field", "record_id")

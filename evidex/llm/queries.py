@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidex.llm import copies as dup
 from evidex.llm import quantiles, terms
 from evidex.llm.forms import unify_text
+from evidex.llm.leakage import PASSAGE, leaks
 from evidex.llm.matching import map_records, map_values
 from evidex.plans.registry import Registry, table
 
@@ -143,3 +144,19 @@ def p6_found(spark, sf_dir):
 def p6_unified(spark, sf_dir):
     one, two = [unify_text(table(spark, sf_dir, t), fields, key) for t, key, fields in FORM_FIELDS]
     return one.unionByName(two)
+
+
+@registry.query("p9_found")
+def p9_found(spark, sf_dir):
+    found = p9_alignments(spark, sf_dir).where(F.col("longest_run") >= PASSAGE)
+    return found.select("doc_id", "item_id").distinct()
+
+
+@registry.query("p9_alignments")
+def p9_alignments(spark, sf_dir):
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@registry.query("p9_leaked_items")
+def p9_leaked_items(spark, sf_dir):
+    return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))

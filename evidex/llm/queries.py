@@ -9,6 +9,7 @@ from evidex.llm import quantiles, terms
 from evidex.llm.forms import unify_text
 from evidex.llm.leakage import PASSAGE, leaks
 from evidex.llm.matching import map_records, map_values
+from evidex.llm.tokens import encode_corpus
 from evidex.plans.registry import Registry, table
 
 registry = Registry()
@@ -146,6 +147,16 @@ def p6_unified(spark, sf_dir):
     return one.unionByName(two)
 
 
+@registry.query("p8_ids")
+def p8_ids(spark, sf_dir):
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@registry.query("p8_token_counts")
+def p8_token_counts(spark, sf_dir):
+    return p8_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_ids"))
+
+
 @registry.query("p9_found")
 def p9_found(spark, sf_dir):
     found = p9_alignments(spark, sf_dir).where(F.col("longest_run") >= PASSAGE)

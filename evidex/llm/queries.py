@@ -9,6 +9,7 @@ from evidex.llm import quantiles, terms
 from evidex.llm.forms import unify_text
 from evidex.llm.leakage import PASSAGE, leaks
 from evidex.llm.matching import map_records, map_values
+from evidex.llm.quality import document_kinds, document_statistics
 from evidex.llm.tokens import encode_corpus
 from evidex.plans.registry import Registry, table
 
@@ -171,3 +172,18 @@ def p9_alignments(spark, sf_dir):
 @registry.query("p9_leaked_items")
 def p9_leaked_items(spark, sf_dir):
     return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+@registry.query("p10_found")
+def p10_found(spark, sf_dir):
+    return p10_kinds(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+@registry.query("p10_kinds")
+def p10_kinds(spark, sf_dir):
+    return document_kinds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+
+
+@registry.query("p10_statistics")
+def p10_statistics(spark, sf_dir):
+    return document_statistics(table(spark, sf_dir, "documents"), "doc_id", "text")

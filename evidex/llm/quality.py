@@ -41,7 +41,7 @@ _FIELD = ",，;；|\t：:\""
 #: Buckets of letter trigrams: the model that goes to the executors has one byte each.
 BUCKETS = 1 << 20
 #: Components for each kind, and the most labelled documents that give them their start.
-COMPONENTS = {"prose": 8, "list": 8, "table": 8, "junk": 14}
+COMPONENTS = {"prose": 8, "list": 8, "table": 8, "junk": 16}
 MOST_LABELS = 20_000
 
 
@@ -276,7 +276,7 @@ class Mixture:
     """Gaussian mixture with full covariances that lean on a small common one."""
 
     def __init__(self, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> None:
-        self.weights, self.means = weights, means
+        self.weights, self.means, self.covariances = weights, means, covariances
         self.roots = np.stack([np.linalg.inv(np.linalg.cholesky(s)) for s in covariances])
         self.logs = np.log(np.maximum(weights, 1e-300)) + np.array([np.log(np.diag(r)).sum() for r in self.roots])
 
@@ -284,9 +284,7 @@ class Mixture:
         log = np.empty((len(x), len(self.means)))
         for k, (mean, root) in enumerate(zip(self.means, self.roots)):
             z = (x - mean) @ root.T
-            # Beyond ten deviations the tails are made heavier, so that odd documents keep a component.
-            d = np.einsum("ij,ij->i", z, z)
-            log[:, k] = self.logs[k] - 0.5 * d
+            log[:, k] = self.logs[k] - 0.5 * np.einsum("ij,ij->i", z, z)
         log -= log.max(1, keepdims=True)
         np.exp(log, out=log)
         return log / log.sum(1, keepdims=True)
@@ -314,7 +312,7 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
     return ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
 
 
-def fit_mixture(stats: DataFrame, labels: DataFrame, rounds: int = 8, prior: float = 6.0, floor: float = 0.15) -> tuple[np.ndarray, np.ndarray, Mixture, np.ndarray]:
+def fit_mixture(stats: DataFrame, labels: DataFrame, rounds: int = 8, splits: int = 2, prior: float = 6.0, floor: float = 0.15) -> tuple[np.ndarray, np.ndarray, Mixture, np.ndarray]:
     """Centre and scale of the features, the mixture, and the share of each kind in each component.
 
     stats has one row a document, labels has (doc_id, kind). The start comes from at most MOST_LABELS
@@ -338,9 +336,9 @@ def fit_mixture(stats: DataFrame, labels: DataFrame, rounds: int = 8, prior: flo
             near = _kmeans(own, min(COMPONENTS[kind], max(1, len(own) // 3)))
             groups += [own[near == j] for j in np.unique(near)]
     mixture = _m_step(np.array([float(len(g)) for g in groups]), np.array([g.sum(0) for g in groups]), np.array([g.T @ g for g in groups]), prior, floor)
-    d, size = len(FEATURES), len(groups)
+    d = len(FEATURES)
 
-    def step(current: Mixture):
+    def step(current: Mixture, size: int):
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, s1, s2 = np.zeros(size), np.zeros((size, d)), np.zeros((size, d, d))
             for batch in batches(rows):
@@ -356,19 +354,35 @@ def fit_mixture(stats: DataFrame, labels: DataFrame, rounds: int = 8, prior: flo
 
     inputs = stats.select(*FEATURES)
     width = 1 + d + d * d
-    for _ in range(rounds):
-        parts = inputs.mapInArrow(step(mixture), "k int, sums array<double>")
-        # Sums of fixed size: components times moments, added up in the executors.
-        added = parts.select("k", F.posexplode("sums").alias("i", "v")).where("v <> 0").groupBy("k", "i").agg(F.sum("v").alias("v")).toArrow()
-        total = np.zeros((size, width))
-        total[added.column("k").to_numpy(), added.column("i").to_numpy()] = added.column("v").to_numpy()
-        mixture = _m_step(total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(size, d, d), prior, floor)
-    shares = np.zeros((size, len(KINDS)))
-    r = mixture.responsibilities(x)
-    for k in range(len(KINDS)):
-        shares[:, k] = r[kinds == k].sum(0)
-    shares = (shares + 1e-6) / (shares + 1e-6).sum(1, keepdims=True)
-    return centre, scale, mixture, shares
+
+    def refine(current: Mixture, times: int) -> tuple[Mixture, np.ndarray]:
+        for _ in range(times):
+            size = len(current.means)
+            parts = inputs.mapInArrow(step(current, size), "k int, sums array<double>")
+            # Sums of fixed size: components times moments, added up in the executors.
+            added = parts.select("k", F.posexplode("sums").alias("i", "v")).where("v <> 0").groupBy("k", "i").agg(F.sum("v").alias("v")).toArrow()
+            total = np.zeros((size, width))
+            total[added.column("k").to_numpy(), added.column("i").to_numpy()] = added.column("v").to_numpy()
+            current = _m_step(total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(size, d, d), prior, floor)
+        return current, np.stack([current.responsibilities(x)[kinds == k].sum(0) for k in range(len(KINDS))], 1)
+
+    mixture, held = refine(mixture, rounds)
+    for _ in range(splits):
+        # A component whose examples have several kinds starts again as one component for each of them.
+        owner = mixture.responsibilities(x).argmax(1)
+        starts = []
+        for k in range(len(mixture.means)):
+            own = [x[(owner == k) & (kinds == j)] for j in range(len(KINDS))]
+            several = [g for g in own if len(g) >= 3]
+            if len(several) > 1:
+                starts += [(g.mean(0), np.cov(g.T, bias=True) * len(g) / (len(g) + prior) + np.eye(d) * (floor * prior / (len(g) + prior) + 1e-3), mixture.weights[k] * len(g) / sum(map(len, several))) for g in several]
+            else:
+                starts.append((mixture.means[k], mixture.covariances[k], mixture.weights[k]))
+        if len(starts) == len(mixture.means):
+            break
+        mixture, held = refine(Mixture(np.array([w for _, _, w in starts]), np.array([m for m, _, _ in starts]), np.stack([c for _, c, _ in starts])), rounds // 2)
+    held += 1e-6
+    return centre, scale, mixture, held / held.sum(1, keepdims=True)
 
 
 def document_kinds(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.functions.arrow import batches
+from evidex.functions.arrow import slices
 from evidex.functions.codepoints import TABLE_SIZE, from_codepoints, gather, row_of, to_codepoints
 
 # Letters of other scripts and the Latin letters that they look like.
@@ -255,7 +255,7 @@ def unify_text(df: DataFrame, fields: Mapping[str, str], record_id: str) -> Data
     long = df.select(F.col(record_id).cast("bigint").alias("record_id"), F.explode(packed).alias("x")).select("x.field", "record_id", "x.text")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for batch in slices(rows, 2):
             cps, ends, found = normalize(*to_codepoints(batch.column(2)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), from_codepoints(cps, ends), pa.array(found.astype(np.int32))],

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.functions.arrow import batches
+from evidex.functions.arrow import slices
 from evidex.functions.codepoints import TABLE_SIZE, gather, row_of, to_codepoints
 
 #: Letters and digits of the shortest passage, and of a seed.
@@ -174,7 +174,7 @@ def gram_frequency(documents: DataFrame, text: str, items: list[np.ndarray], n:
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(index.hashes), np.int64)
-        for batch in batches(rows):
+        for batch in slices(rows, 0):
             _, _, place = _hits(*bare(batch.column(0)), n, index)
             total += np.bincount(place, minlength=len(total))
         at = np.flatnonzero(total)
@@ -193,7 +193,7 @@ def _search_block(documents: DataFrame, doc_id: str, text: str, block: list[tupl
     where = [seeds[int(h)] for h in index.hashes]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for batch in slices(rows, 1):
             flat, offsets = bare(batch.column(1))
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             out = []

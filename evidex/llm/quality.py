@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.functions.arrow import batches
+from evidex.functions.arrow import batches, slices
 from evidex.functions.codepoints import TABLE_SIZE, gather, row_of, sum_by_row, to_codepoints
 from evidex.session import cut
 
@@ -118,7 +118,7 @@ def trigram_model(texts: DataFrame) -> np.ndarray:
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for batch in batches(rows):
+        for batch in slices(rows, 0):
             cps, offsets = to_codepoints(batch.column(0))
             total += np.bincount(trigrams(cps, row_of(offsets))[1], minlength=BUCKETS)
         at = np.flatnonzero(total)
@@ -265,7 +265,7 @@ def document_statistics(df: DataFrame, doc_id: str, text: str, keep_blank: bool
     model = trigram_model(rows.where(F.col("text").isNotNull()))
 
     def run(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(batch_rows):
+        for batch in slices(batch_rows, 1):
             found = statistics(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i]) for i in range(found.shape[1]))], ["doc_id", *STATISTICS])
 

@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from evidex.dictionaries import NULL_STARTS, NULL_TOKENS, TitleSpec
 
@@ -137,7 +138,7 @@ def split_list(text: Column) -> Column:
     return F.coalesce(clean_items(parts), F.array().cast(EMPTY))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility form of Unicode; null for null. Spark has no function for it."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))

@@ -54,17 +54,19 @@ def strip_affixes(text: Column, prefixes: Sequence[str], suffixes: Sequence[str]
     if not prefixes and not suffixes:
         return text
 
+    def cutter(front: bool):
+        def cut(acc: Column, tok: Column) -> Column:
+            n = F.length(acc) - F.length(tok)
+            hit = (F.startswith(acc, tok) if front else F.endswith(acc, tok)) & (n >= keep)
+            rest = F.substring(acc, F.length(tok) + 1, n) if front else F.substring(acc, F.lit(1), n)
+            return F.when(hit, rest).otherwise(acc)
+
+        return cut
+
     def one_pass(s: Column) -> Column:
         for tokens, front in ((prefixes, True), (suffixes, False)):
             if tokens:
-
-                def cut(acc: Column, tok: Column, front: bool = front) -> Column:
-                    n = F.length(acc) - F.length(tok)
-                    hit = (F.startswith(acc, tok) if front else F.endswith(acc, tok)) & (n >= keep)
-                    rest = F.substring(acc, F.length(tok) + 1, n) if front else F.substring(acc, F.lit(1), n)
-                    return F.when(hit, rest).otherwise(acc)
-
-                s = F.aggregate(words(tokens), s, cut)
+                s = F.aggregate(words(tokens), s, cutter(front))
         return s
 
     ends = [f"^(?:{'|'.join(map(re.escape, prefixes))})"] * bool(prefixes) + [f"(?:{'|'.join(map(re.escape, suffixes))})$"] * bool(suffixes)
@@ -187,15 +189,16 @@ def char_wb_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     """Character n-grams within words padded by a blank on each side; a shorter word is emitted whole, once."""
     tokens = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda t: t != "")
 
+    def piece(padded: Column, n: int):
+        return lambda i: F.substring(padded, i, F.lit(n))
+
     def grams(token: Column) -> Column:
         padded = F.concat(F.lit(" "), token, F.lit(" "))
         size = F.length(padded)
-        parts = []
-        for n in range(low, high + 1):
-            every = F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast(EMPTY))
-            # A word no longer than n gives itself once, at the first n that reaches it.
-            parts.append(F.when(size <= n, F.when(F.lit(n == low) | (size > n - 1), F.array(padded)).otherwise(F.array().cast(EMPTY))).otherwise(every))
-        return F.concat(*parts)
+        none = F.array().cast(EMPTY)
+        parts = [F.when(size > n, F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), piece(padded, n))).otherwise(none) for n in range(low, high + 1)]
+        # A word that fits into the longest n-gram gives itself, once.
+        return F.concat(*parts, F.when(size <= high, F.array(padded)).otherwise(none))
 
     return F.flatten(F.transform(tokens, grams))
 

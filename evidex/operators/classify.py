@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidex.dictionaries import Role, Rule
 from evidex.functions.text import first_keyword
 from evidex.operators.similarity import best_match, tfidf
+from evidex.session import cut
 
 _NONE = "struct<category:string,keyword:string,level:string>"
 
@@ -84,14 +85,14 @@ def backfill(unmatched: DataFrame, protos: DataFrame, key: str, text: str, order
 
 
 def classify(df: DataFrame, rules: Sequence[Rule], fallback: str, key: str, threshold: float = 0.12) -> DataFrame:
-    """Rows with std_title and text_all, with category, assign_method, match_keyword, match_level and sim_score added."""
-    ruled = df.withColumn("_r", rule_class(F.col("std_title"), F.col("text_all"), rules)).select(
-        *df.columns, F.col("_r.category").alias("category"), F.col("_r.keyword").alias("match_keyword"), F.col("_r.level").alias("match_level")
-    )
+    """Rows with a unique key, std_title and text_all, with category, assign_method, match_keyword, match_level and sim_score added."""
+    narrow = df.select(key, "std_title", rule_class(F.col("std_title"), F.col("text_all"), rules).alias("_r"))
+    # Titles and rules are worked out once; what follows reads the narrow result several times.
+    ruled = cut(narrow.select(key, "std_title", F.col("_r.category").alias("category"), F.col("_r.keyword").alias("match_keyword"), F.col("_r.level").alias("match_level")))
     unmatched = ruled.where(F.col("category").isNull())
     filled = backfill(unmatched, prototypes(ruled, key), key, "std_title", [*(r.name for r in rules), fallback], threshold)
-    filled = filled.select(F.col(key).alias("_k"), F.col("category").alias("_c"), F.col("score").alias("sim_score"))
-    joined = ruled.join(filled, ruled[key] == filled["_k"], "left")
+    filled = filled.select(key, F.col("category").alias("_c"), F.col("score").alias("sim_score"))
+    joined = df.drop("std_title").join(ruled, key).join(filled, key, "left")
     method = F.when(F.col("category").isNotNull(), "rule").when(F.col("_c").isNotNull(), "embedding_sim").otherwise("fallback")
     return joined.select(
         *df.columns, F.coalesce("category", "_c", F.lit(fallback)).alias("category"), method.alias("assign_method"),

@@ -153,7 +153,8 @@ def sensitivity(scored: DataFrame, label: str = "category", risk: str = "Risk",
     for suffix, name in (("expert", "prior only"), ("data", "data only")):
         if all(f"{d}_{suffix}" in scored.columns for d in weights):
             cases[name] = weighted_score({d: F.col(f"{d}_{suffix}") for d in weights}, weights)
-    rows = F.array(*[F.struct(F.lit(name).alias("scenario"), x.alias("score")) for name, x in cases.items()])
+    # Rounding keeps scores that are equal but for the last bits of a double tied.
+    rows = F.array(*[F.struct(F.lit(name).alias("scenario"), F.round(x, 9).alias("score")) for name, x in cases.items()])
     long = scored.select(F.col(label).alias("label"), F.col(risk).alias("base"), F.explode(rows).alias("x")).select("label", "base", "x.*")
     by = Window.partitionBy("scenario")
 

@@ -9,6 +9,7 @@ from evidex.dictionaries import Study
 from evidex.functions.text import normalize_title
 from evidex.operators import classify as cls
 from evidex.operators import dedupe, extraction, features, scoring
+from evidex.session import cut
 
 
 def prepare(postings: DataFrame, study: Study, order: str = "row_id") -> DataFrame:
@@ -34,11 +35,12 @@ def category_summary(jobs: DataFrame) -> DataFrame:
 
 
 def scored(postings: DataFrame, study: Study, order: str = "row_id") -> dict[str, DataFrame]:
-    """All result frames of the scoring pipeline, none of them computed yet."""
-    jobs = features.job_features(classified(postings, study, order), study.keywords)
+    """All result frames of the scoring pipeline. The jobs' features are worked out once, the rest is lazy."""
+    wide = features.job_features(classified(postings, study, order), study.keywords)
+    flags = [c for d in study.keywords for c in (f"n_{d}", f"has_{d}", f"{d}_hits")]
+    jobs = cut(wide.select(order, "official_name", "title", "std_title", "category", "assign_method", "city", "salary_k", "degree_level", "exp_level", "low_barrier", "senior_barrier", *flags))
     matrix = features.category_matrix(jobs)
     scores = scoring.score_categories(matrix, study.priors)
-    claimed = jobs.withColumn("role", cls.claim_role(F.col("title"), study.roles)).where(F.col("role").isNotNull())
     anchors = {r.name: r.anchor for r in study.roles}
     # Means of the anchors come from all jobs, so the claim rides along as a column.
     with_role = jobs.withColumn("role", cls.claim_role(F.col("title"), study.roles))
@@ -46,7 +48,7 @@ def scored(postings: DataFrame, study: Study, order: str = "row_id") -> dict[str
     return {
         "jobs": jobs, "title_map": title_map(jobs), "summary": category_summary(jobs), "matrix": matrix, "scores": scores,
         "detail": scoring.dimension_detail(scores), "subgroups": scoring.score_subgroups(jobs, scores, core=study.core),
-        "roles": roles, "roles_dropped": dropped, "sensitivity": scoring.sensitivity(scores), "claimed": claimed,
+        "roles": roles, "roles_dropped": dropped, "sensitivity": scoring.sensitivity(scores),
     }
 
 

@@ -16,4 +16,4 @@ def spark():
 @pytest.fixture
 def rows():
     """Sorted tuples of a frame."""
-    return lambda df: sorted((tuple(r) for r in df.collect()), key=lambda t: tuple((x is not None, str(x)) for x in t))
+    return lambda df: sorted((tuple(r) for r in df.collect()), key=lambda t: tuple((x is not None, 0 if x is None else x) for x in t))

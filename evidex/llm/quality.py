@@ -221,11 +221,11 @@ def statistics(column: pa.Array, model: np.ndarray) -> np.ndarray:
         put("line_spread", np.sqrt(np.maximum(np.bincount(row[full], length[full] ** 2, n) / lines - mean**2, 0)) / np.maximum(mean, 1))
         # The last character of a line that isn't a space or a closer.
         solid = ~has["space"][body] & ~has["closer"][body]
-        tail = np.zeros(k, np.int64)
+        tail = np.full(k, -1)
         np.maximum.at(tail, lid[solid], body[solid])
         head = np.full(k, len(cps) - 1)
         np.minimum.at(head, lid[~has["space"][body]], body[~has["space"][body]])
-        closed = ends[tail] & full
+        closed = ends[np.maximum(tail, 0)] & (tail >= 0)
         put("closed_lines", np.bincount(row, closed, n) / lines)
         nxt, nxt2, nxt3 = (np.minimum(head + d, last) for d in (1, 2, 3))
         mark = (cps == 46) | (cps == 0x3001) | (cps == 41) | (cps == 0xFF09) | (cps == 0xFF0E)
@@ -245,7 +245,7 @@ def statistics(column: pa.Array, model: np.ndarray) -> np.ndarray:
             key = (line_hash[full] >> np.uint64(24)) ^ (row[full].astype(np.uint64) << np.uint64(40))
         once, index = np.unique(key, return_index=True)
         different = np.bincount(row[full][index], minlength=n)
-        put("repeated_lines", 1 - different / lines)
+        put("repeated_lines", np.where(different > 0, 1 - different / lines, 0))
     at, bucket = trigrams(cps, rows)
     row = rows[at]
     grams = np.bincount(row, minlength=n).astype(float)

@@ -25,6 +25,8 @@ from evidex.functions.codepoints import TABLE_SIZE, gather, row_of, to_codepoint
 PASSAGE, SEED = 50, 20
 #: Items whose seeds go to the executors at a time; larger item sets are searched in blocks.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
+#: Cells of the windows that are aligned together.
+ALIGNED = 24_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 
@@ -131,27 +133,39 @@ def choose_seeds(items: list[np.ndarray], frequency: dict[int, int], passage: in
     return seeds
 
 
-def align(document: np.ndarray, item: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = 2) -> tuple[int, int]:
-    """Smith-Waterman score of the best local alignment, and the length of the longest exact run.
+def align_many(documents: list[np.ndarray], items: list[np.ndarray], match: int = 2, mismatch: int = -1, gap: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair the Smith-Waterman score of the best local alignment and the longest exact run.
 
-    One array pass per character of the item; a gap costs `gap` a character.
+    Pairs are padded to one size with characters that match nothing; one array pass over all of them
+    is made for each character of the longest item. A gap costs `gap` a character.
     """
-    width = len(document)
+    width, height = max(map(len, documents), default=0), max(map(len, items), default=0)
+    doc = np.full((len(documents), width), 1 << 30, np.int32)
+    text = np.full((height, len(items)), -1, np.int32)
+    for k, (d, i) in enumerate(zip(documents, items)):
+        doc[k, : len(d)], text[: len(i), k] = d, i
     ramp = np.arange(width + 1, dtype=np.int32) * gap
-    row, run = np.zeros(width + 1, np.int32), np.zeros(width + 1, np.int32)
-    best = longest = 0
-    for c in item:
-        same = document == c
-        step = np.maximum(np.where(same, match, mismatch) + row[:-1], row[1:] - gap)
-        nxt = np.zeros(width + 1, np.int32)
-        np.maximum(step, 0, out=nxt[1:])
-        row = np.maximum.accumulate(nxt + ramp) - ramp
-        best = max(best, int(row.max()))
-        new = np.zeros(width + 1, np.int32)
-        new[1:] = np.where(same, run[:-1] + 1, 0)
-        run = new
-        longest = max(longest, int(run.max()))
-    return best, longest
+    row, run = np.zeros((len(doc), width + 1), np.int32), np.zeros((len(doc), width + 1), np.int32)
+    best, longest = np.zeros((len(doc), width + 1), np.int32), np.zeros((len(doc), width + 1), np.int32)
+    nxt = np.zeros_like(row)
+    for c in text:
+        same = doc == c[:, None]
+        step = row[:, :-1] + np.where(same, np.int32(match), np.int32(mismatch))
+        np.maximum(step, row[:, 1:] - np.int32(gap), out=step)
+        np.maximum(step, 0, out=nxt[:, 1:])
+        row = nxt + ramp
+        np.maximum.accumulate(row, axis=1, out=row)
+        row -= ramp
+        np.maximum(best, row, out=best)
+        run[:, 1:] = (run[:, :-1] + 1) * same
+        np.maximum(longest, run, out=longest)
+    return best.max(1, initial=0), longest.max(1, initial=0)
+
+
+def align(document: np.ndarray, item: np.ndarray) -> tuple[int, int]:
+    """align_many of one pair."""
+    best, longest = align_many([document], [item])
+    return int(best[0]), int(longest[0])
 
 
 def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
@@ -202,10 +216,10 @@ def _search_block(documents: DataFrame, doc_id: str, text: str, block: list[tupl
                 for item, at in where[place]:
                     # The item's start in the document by this seed.
                     pairs.setdefault((row, item), []).append(pos - at)
+            windows: list[tuple[tuple[int, int], np.ndarray]] = []
             for (row, item), starts in pairs.items():
                 length = len(items[item])
                 lo, hi = int(offsets[row]), int(offsets[row + 1])
-                score = longest = 0
                 # Seeds at about the same place share one window; windows of one pair don't overlap much.
                 starts = sorted(set(starts))
                 slack = max(16, length // 4)
@@ -214,11 +228,19 @@ def _search_block(documents: DataFrame, doc_id: str, text: str, block: list[tupl
                     end = at
                     while end + 1 < len(starts) and starts[end + 1] - starts[end] <= slack:
                         end += 1
-                    window = flat[max(lo, starts[at] - slack) : min(hi, starts[end] + length + slack)]
-                    s, r = align(window, items[item])
-                    score, longest = max(score, s), max(longest, r)
+                    windows.append(((row, item), flat[max(lo, starts[at] - slack) : min(hi, starts[end] + length + slack)]))
                     at = end + 1
-                out.append((int(docs[row]), int(ids[item]), score / (2 * length), longest))
+            found: dict[tuple[int, int], tuple[int, int]] = {}
+            # Windows of about one size are aligned together.
+            windows.sort(key=lambda w: (len(w[1]), len(items[w[0][1]])))
+            while windows:
+                take = max(1, min(len(windows), ALIGNED // (len(windows[-1][1]) + 1)))
+                part, windows = windows[-take:], windows[:-take]
+                for (pair, _), score, longest in zip(part, *align_many([w for _, w in part], [items[i] for (_, i), _ in part])):
+                    old = found.get(pair, (0, 0))
+                    found[pair] = (max(old[0], int(score)), max(old[1], int(longest)))
+            for (row, item), (score, longest) in found.items():
+                out.append((int(docs[row]), int(ids[item]), score / (2 * len(items[item])), longest))
             if out:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int32())], ["doc_id", "item_id", "score", "longest_run"])

@@ -592,6 +592,23 @@ def task_hours(spark, sf_dir):
     return scoring.time_structure(tasks).select("owner", "before", F.round("after", 6).alias("after"))
 
 
+_OWNERS = {"A": "AI主导·人监督", "C": "人机协同", "H": "人类主导·AI辅助"}
+
+
+@query("task_export", "select owner, share, case owner when 'A' then 'AI主导·人监督' when 'C' then '人机协同' when 'H' then '人类主导·AI辅助' end as label from (values " + ", ".join(f"('{o}', {s}::double)" for o, s in _TASKS) + ") as v(owner, share)")
+def task_export(spark, sf_dir):
+    tasks = spark.createDataFrame(_TASKS, "owner string, share double")
+    return tasks.withColumn("label", T.lookup(F.col("owner"), _OWNERS, F.lit(None).cast("string")))
+
+
+@query("enum_align", "select ref_id, c.category, coalesce(n, 0) as n, companies from category_reference c left join (select category, count(*) as n, max(公司数) as companies from risk_scores_subjob where Risk >= 55 group by 1) s using (category)")
+def enum_align(spark, sf_dir):
+    """Counts in the order of the reference list, which also has the classes without rows."""
+    counted = table(spark, sf_dir, "risk_scores_subjob").where("Risk >= 55").groupBy("category").agg(F.count("*").alias("n"), F.max("公司数").alias("companies"))
+    aligned = table(spark, sf_dir, "category_reference").join(counted, "category", "left").na.fill(0, ["n"])
+    return aligned.select("ref_id", "category", "n", "companies").orderBy("ref_id")
+
+
 @query("quadrants", _DIMS_SQL + " select category, case when Risk >= 50 and H >= 50 then 'I' when Risk < 50 and H >= 50 then 'II' when Risk < 50 and H < 50 then 'III' else 'IV' end as quadrant, round(90 + pow(n, 0.62) * 26, 6) as size from s")
 def quadrants(spark, sf_dir):
     return charts.risk_matrix(category_dims(spark, sf_dir), "category").select("category", "quadrant", F.round("size", 6).alias("size"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidex import dictionaries as D
 from evidex.functions import text as T
+from evidex.functions.register import register
 from evidex.operators import extraction as X
 from evidex.plans.core_queries import _NORM_SQL, _TOKENS_SQL, _sql_items, _sql_scalar
 from evidex.plans.registry import Registry, table
@@ -69,6 +70,13 @@ def json_field_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+@query("sql_functions", "select event_id, case when json_valid(props) then 'strict' else 'text' end as level, upper(event_type) as kind from events")
+def sql_functions(spark, sf_dir):
+    """The registered functions from SQL text."""
+    register(spark)
+    return spark.sql(f"select event_id, evidex_json_level(props) as level, upper(evidex_nfkc(event_type)) as kind from parquet.`{sf_dir}/events.parquet`")
+
+
 @query("pay_text_parts")
 def pay_text_parts(spark, sf_dir):
     """Low, high and period that record texts state, by the pay pattern of free output."""

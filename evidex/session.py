@@ -34,6 +34,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not configured and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = configured or f"file:///tmp/evidex-checkpoint/{uuid.uuid4().hex}"
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()

@@ -66,7 +66,9 @@ class Classes:
             t["symbol"][cp] = kind[0] in "SP" and c not in _SENTENCE + _COMMA + ".()（）“”\"'’-：:"
         for name, chars in (("sentence", _SENTENCE), ("comma", _COMMA), ("field", _FIELD), ("closer", _CLOSERS), ("function", FUNCTION_LETTERS), ("markup", "<>&{}=/\\_#"), ("bullet", "-*•·●▪◦○■□◆+–—>")):
             t[name][[ord(c) for c in chars]] = True
-        self.__dict__.update(t)
+        # All classes of a code point in one number, so that one look-up serves for all of them.
+        self.bit = {name: np.uint32(1 << i) for i, name in enumerate(names)}
+        self.bits = sum((t[name].astype(np.uint32) << i) for i, name in enumerate(names)).astype(np.uint32)
         self.fold = np.array([cp if 0xD800 <= cp <= 0xDFFF or len(chr(cp).lower()) != 1 else ord(chr(cp).lower()) for cp in range(n)], np.uint32)
         self.stop = np.sort(_word_hashes([w for w in COMMON_WORDS]))
 
@@ -100,14 +102,14 @@ def classes() -> Classes:
     return Classes()
 
 
-def trigrams(cps: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def trigrams(cps: np.ndarray, rows: np.ndarray, bits: np.ndarray | None = None, folded: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places whose letter and the two letters after it make a trigram, and its bucket."""
     c = classes()
     if len(cps) < 3:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    letter = gather(c.letter.view(np.uint8), cps, 1).astype(bool)
+    letter = ((gather(c.bits, cps, 1) if bits is None else bits) & c.bit["letter"]) > 0
     at = np.flatnonzero(letter[:-2] & letter[1:-1] & letter[2:] & (rows[:-2] == rows[2:]))
-    f = gather(c.fold, cps).astype(np.uint64)
+    f = (gather(c.fold, cps) if folded is None else folded).astype(np.uint64)
     with np.errstate(over="ignore"):
         h = _scatter(f[at] * np.uint64(0x1F1F1F1F1) + f[at + 1] * np.uint64(0x3D3D3D3) + f[at + 2] * np.uint64(0x10001))
     return at, (h >> np.uint64(44)).astype(np.int64)
@@ -142,7 +144,9 @@ def statistics(column: pa.Array, model: np.ndarray) -> np.ndarray:
     if not len(cps):
         return out
     rows = row_of(offsets)
-    has = {name: gather(getattr(c, name).view(np.uint8), cps, 0).astype(bool) for name in ("letter", "han", "digit", "space", "symbol", "strange", "upper", "lower", "sentence", "comma", "field", "closer", "function", "markup", "bullet")}
+    bits = gather(c.bits, cps, 0)
+    folded = gather(c.fold, cps)
+    has = {name: (bits & bit) > 0 for name, bit in c.bit.items()}
     total = np.maximum(np.diff(offsets), 1).astype(float)
 
     def per(mask: np.ndarray) -> np.ndarray:
@@ -167,13 +171,14 @@ def statistics(column: pa.Array, model: np.ndarray) -> np.ndarray:
         sizes = np.bincount(wid, minlength=len(starts))
         place = np.minimum(idx - starts[wid], 4095)
         with np.errstate(over="ignore"):
-            values = _scatter(gather(c.fold, cps[idx]).astype(np.uint64)) * _powers()[place]
+            values = _scatter(folded[idx].astype(np.uint64)) * _powers()[place]
             hashes = np.add.reduceat(values, np.concatenate(([0], np.cumsum(sizes)[:-1])))
         at = np.minimum(np.searchsorted(c.stop, hashes), len(c.stop) - 1)
         row = rows[starts]
         words, plain = np.bincount(row, minlength=n).astype(float), np.bincount(row, c.stop[at] == hashes, n)
         word_letters = np.bincount(row, sizes, n)
-        np.maximum.at(longest, row, sizes)
+        own = np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1))
+        longest[row[own]] = np.maximum.reduceat(sizes, own)
     han = per(has["han"])
     put("word_count", words + han / 2)
     put("mean_word_length", np.log1p(word_letters / np.maximum(words, 1)))
@@ -219,12 +224,11 @@ def statistics(column: pa.Array, model: np.ndarray) -> np.ndarray:
         mean = chars / lines
         put("line_length", np.log1p(mean))
         put("line_spread", np.sqrt(np.maximum(np.bincount(row[full], length[full] ** 2, n) / lines - mean**2, 0)) / np.maximum(mean, 1))
-        # The last character of a line that isn't a space or a closer.
+        # The last character of a line that isn't a space or a closer, and the first that isn't a space.
+        begin = np.flatnonzero(new)
         solid = ~has["space"][body] & ~has["closer"][body]
-        tail = np.full(k, -1)
-        np.maximum.at(tail, lid[solid], body[solid])
-        head = np.full(k, len(cps) - 1)
-        np.minimum.at(head, lid[~has["space"][body]], body[~has["space"][body]])
+        tail = np.maximum.reduceat(np.where(solid, body, -1), begin)
+        head = np.minimum.reduceat(np.where(has["space"][body], len(cps) - 1, body), begin)
         closed = ends[np.maximum(tail, 0)] & (tail >= 0)
         put("closed_lines", np.bincount(row, closed, n) / lines)
         nxt, nxt2, nxt3 = (np.minimum(head + d, last) for d in (1, 2, 3))
@@ -240,18 +244,18 @@ def statistics(column: pa.Array, model: np.ndarray) -> np.ndarray:
         put("wide_gaps", np.sqrt(np.bincount(row[full], np.bincount(lid, gap[body], k)[full], n) / lines))
         place = np.minimum(body - start[lid], 4095)
         with np.errstate(over="ignore"):
-            line_hash = np.zeros(k, np.uint64)
-            np.add.at(line_hash, lid, _scatter(cps[body].astype(np.uint64)) * _powers()[place])
+            line_hash = np.add.reduceat(_scatter(cps[body].astype(np.uint64)) * _powers()[place], begin)
             key = (line_hash[full] >> np.uint64(24)) ^ (row[full].astype(np.uint64) << np.uint64(40))
         once, index = np.unique(key, return_index=True)
         different = np.bincount(row[full][index], minlength=n)
         put("repeated_lines", np.where(different > 0, 1 - different / lines, 0))
-    at, bucket = trigrams(cps, rows)
+    at, bucket = trigrams(cps, rows, bits, folded)
     row = rows[at]
     grams = np.bincount(row, minlength=n).astype(float)
     put("familiarity", np.where(grams > 0, np.bincount(row, model[bucket], n) / np.maximum(grams, 1) / 25, 0))
-    pairs = np.unique(row.astype(np.int64) << 20 | bucket)
-    different = np.bincount(pairs >> 20, minlength=n)
+    pairs = np.sort(row.astype(np.int64) << 20 | bucket)
+    first = np.concatenate((np.ones(min(len(pairs), 1), bool), pairs[1:] != pairs[:-1]))
+    different = np.bincount(pairs[first] >> 20, minlength=n)
     put("variety", np.log1p(different) / np.log(np.maximum(grams, 1) + 2))
     return out
 
@@ -312,6 +316,14 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
     return ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
 
 
+def _add_sums(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches(rows):
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held[k] = held.get(k, 0) + np.frombuffer(data)
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["k", "sums"])
+
+
 def fit_mixture(stats: DataFrame, labels: DataFrame, rounds: int = 8, splits: int = 2, prior: float = 6.0, floor: float = 0.15) -> tuple[np.ndarray, np.ndarray, Mixture, np.ndarray]:
     """Centre and scale of the features, the mixture, and the share of each kind in each component.
 
@@ -348,7 +360,8 @@ def fit_mixture(stats: DataFrame, labels: DataFrame, rounds: int = 8, splits: in
                 s1 += r.T @ z
                 for k in np.flatnonzero(r.sum(0) > 1e-6):
                     s2[k] += (z * r[:, k : k + 1]).T @ z
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(np.concatenate((n[:, None], s1, s2.reshape(size, -1)), 1).tolist(), pa.list_(pa.float64()))], ["k", "sums"])
+            sums = np.concatenate((n[:, None], s1, s2.reshape(size, -1)), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array([x.tobytes() for x in sums], pa.binary())], ["k", "sums"])
 
         return run
 
@@ -358,11 +371,12 @@ def fit_mixture(stats: DataFrame, labels: DataFrame, rounds: int = 8, splits: in
     def refine(current: Mixture, times: int) -> tuple[Mixture, np.ndarray]:
         for _ in range(times):
             size = len(current.means)
-            parts = inputs.mapInArrow(step(current, size), "k int, sums array<double>")
+            parts = inputs.mapInArrow(step(current, size), "k int, sums binary")
             # Sums of fixed size: components times moments, added up in the executors.
-            added = parts.select("k", F.posexplode("sums").alias("i", "v")).where("v <> 0").groupBy("k", "i").agg(F.sum("v").alias("v")).toArrow()
+            added = parts.repartition("k").mapInArrow(_add_sums, "k int, sums binary").toArrow()
             total = np.zeros((size, width))
-            total[added.column("k").to_numpy(), added.column("i").to_numpy()] = added.column("v").to_numpy()
+            for k, data in zip(added.column("k").to_pylist(), added.column("sums").to_pylist()):
+                total[k] += np.frombuffer(data)
             current = _m_step(total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(size, d, d), prior, floor)
         return current, np.stack([current.responsibilities(x)[kinds == k].sum(0) for k in range(len(KINDS))], 1)
 

@@ -87,11 +87,14 @@ def normalize_title(raw: Column, spec: TitleSpec = TitleSpec(), long_title: int
     return lookup(s, spec.synonyms, s)
 
 
-def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
-    """Keywords that the lower-cased text holds, in dictionary order; overlapping ones are all reported."""
+def keyword_hits(text: Column, keywords: Sequence[str], lowered: bool = False) -> Column:
+    """Keywords that the lower-cased text holds, in dictionary order; overlapping ones are all reported.
+
+    lowered says that text is a column in lower case without nulls, which then isn't worked out for each keyword.
+    """
     if not keywords:
         return F.array().cast(EMPTY)
-    low = F.lower(F.coalesce(text, F.lit("")))
+    low = text if lowered else F.lower(F.coalesce(text, F.lit("")))
     return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in keywords]))
 
 

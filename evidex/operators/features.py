@@ -13,7 +13,8 @@ from evidex.functions.text import keyword_hits, level, pay_median_k
 
 def keyword_features(df: DataFrame, text: Column, dictionaries: Mapping[str, Sequence[str]]) -> DataFrame:
     """hits, n and has of each dictionary, in one projection; each text is searched once a dictionary."""
-    with_hits = df.select("*", *[keyword_hits(text, words).alias(f"{d}_hits") for d, words in dictionaries.items()])
+    low = df.withColumn("_low", F.lower(F.coalesce(text, F.lit(""))))
+    with_hits = low.select(*df.columns, *[keyword_hits(F.col("_low"), words, lowered=True).alias(f"{d}_hits") for d, words in dictionaries.items()])
     extra = []
     for d in dictionaries:
         extra += [F.size(f"{d}_hits").alias(f"n_{d}"), (F.size(f"{d}_hits") > 0).cast("int").alias(f"has_{d}")]
@@ -27,11 +28,11 @@ def barrier_flags(degree: Column, experience: Column) -> tuple[Column, Column]:
 
 def job_features(df: DataFrame, dictionaries: Mapping[str, Sequence[str]]) -> DataFrame:
     """Postings with keyword evidence, levels, barrier flags and pay in thousands a month."""
-    text = F.concat_ws(" ", *[F.lower(F.coalesce(c, F.lit(""))) for c in ("title", "skills", "jd")])
-    out = keyword_features(df.withColumn("full_text", text), F.col("full_text"), dictionaries)
+    text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "skills", "jd")])
+    out = keyword_features(df, text, dictionaries)
     out = out.withColumns({"degree_level": level(F.col("degree"), DEGREE_LEVELS, DEGREE_DEFAULT), "exp_level": level(F.col("experience"), EXPERIENCE_LEVELS, EXPERIENCE_DEFAULT), "salary_k": pay_median_k(F.col("salary"))})
     low, senior = barrier_flags(F.col("degree_level"), F.col("exp_level"))
-    return out.withColumns({"low_barrier": low, "senior_barrier": senior}).drop("full_text")
+    return out.withColumns({"low_barrier": low, "senior_barrier": senior})
 
 
 def group_profile(df: DataFrame, keys: Sequence[str], company: str, pay: str, means: Mapping[str, str]) -> DataFrame:

@@ -25,7 +25,7 @@ KINDS = ("prose", "list", "table", "junk")
 STATISTICS = (
     "word_count", "mean_word_length", "longest_word", "symbol_ratio", "digit_ratio", "space_ratio", "comma_ratio", "sentence_ratio",
     "closed_lines", "line_length", "line_spread", "marked_lines", "common_words", "function_letters", "familiarity", "variety",
-    "repeated_lines", "fields_per_line", "field_spread", "wide_gaps", "case_turns", "strange_ratio", "han_ratio", "markup_ratio", "closing_marks",
+    "repeated_lines", "fields_per_line", "field_spread", "wide_gaps", "case_turns", "strange_ratio", "han_ratio", "markup_ratio", "closing_marks", "running_text",
 )
 #: Those of the statistics that the mixture reads.
 FEATURES = tuple(s for s in STATISTICS if s != "word_count")
@@ -40,9 +40,11 @@ _COMMA = ",，、;；"
 _FIELD = ",，;；|\t：:\""
 #: Buckets of letter trigrams: the model that goes to the executors has one byte each.
 BUCKETS = 1 << 20
+#: Words, and share of function words among them, of a stretch of running text.
+LEAST_WORDS, LEAST_FUNCTION = 6, 0.06
 #: Components for each kind, and the most labelled documents that give them their start.
-COMPONENTS = {"prose": 8, "list": 8, "table": 8, "junk": 16}
-MOST_LABELS = 20_000
+COMPONENTS = {"prose": 20, "list": 20, "table": 16, "junk": 20}
+MOST_LABELS = 12_000
 
 
 class Classes:
@@ -163,6 +165,7 @@ def statistics(column: pa.Array, model: np.ndarray) -> np.ndarray:
     first[1:] &= ~(inner[:-1] & (rows[1:] == rows[:-1]))
     starts = np.flatnonzero(first)
     words, plain = np.zeros(n), np.zeros(n)
+    common = np.zeros(len(cps))
     longest, word_letters = np.zeros(n), np.zeros(n)
     if len(starts):
         word = np.cumsum(first) - 1
@@ -175,7 +178,8 @@ def statistics(column: pa.Array, model: np.ndarray) -> np.ndarray:
             hashes = np.add.reduceat(values, np.concatenate(([0], np.cumsum(sizes)[:-1])))
         at = np.minimum(np.searchsorted(c.stop, hashes), len(c.stop) - 1)
         row = rows[starts]
-        words, plain = np.bincount(row, minlength=n).astype(float), np.bincount(row, c.stop[at] == hashes, n)
+        common[starts] = c.stop[at] == hashes
+        words, plain = np.bincount(row, minlength=n).astype(float), np.bincount(row, common[starts], n)
         word_letters = np.bincount(row, sizes, n)
         own = np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1))
         longest[row[own]] = np.maximum.reduceat(sizes, own)
@@ -208,6 +212,16 @@ def statistics(column: pa.Array, model: np.ndarray) -> np.ndarray:
     gap[2:] = (cps[2:] != 32) & (cps[1:-1] == 32) & (cps[:-2] == 32) & (rows[2:] == rows[:-2])
     # Lines: numbered over the batch; blank ones left out.
     newline = (cps == 10) | (cps == 13)
+    # Running text: the share of characters in stretches, up to the next sentence end or line end, that
+    # have words enough and the function words that running text has.
+    cut_after = ends | newline
+    piece = np.concatenate(([True], cut_after[:-1] | (rows[1:] != rows[:-1])))
+    edge = np.flatnonzero(piece)
+    size = np.add.reduceat(has["han"] + first.astype(float), edge)
+    marks_of = np.add.reduceat(has["function"] + 0.4 * common, edge)
+    seen = np.add.reduceat(~has["space"], edge)
+    running = (size >= LEAST_WORDS) & (marks_of >= LEAST_FUNCTION * size)
+    put("running_text", np.bincount(rows[edge], seen * running, n) / visible)
     line_no = np.cumsum(newline) + rows
     body = np.flatnonzero(~newline)
     if len(body):
@@ -316,6 +330,29 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
     return ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
 
 
+def doubtful(x: np.ndarray, kinds: np.ndarray, documents: np.ndarray, k: int = 5, most: int = 4, reach: float = 1.6, own: float = 1.3) -> np.ndarray:
+    """Labels that at least `most` of the `k` nearest examples of other documents contradict with one other kind.
+
+    Only where the example lies among these, as near to them as they are to theirs, and no example of its
+    own kind is about as near: a rare sort of text, or one between two kinds, keeps its label.
+    """
+    out = np.zeros(len(x), bool)
+    if len(x) <= k + 1:
+        return out
+    square = (x**2).sum(1)
+    near, far, alike = np.empty((len(x), k), np.int64), np.empty(len(x)), np.empty(len(x))
+    for at in range(0, len(x), 1024):
+        d = square[at : at + 1024, None] + square[None, :] - 2 * x[at : at + 1024] @ x.T
+        d[documents[at : at + 1024, None] == documents[None, :]] = np.inf
+        near[at : at + 1024] = np.argpartition(d, k, axis=1)[:, :k]
+        far[at : at + 1024] = np.sqrt(np.maximum(np.take_along_axis(d, near[at : at + 1024], 1), 0)).mean(1)
+        d[kinds[at : at + 1024, None] != kinds[None, :]] = np.inf
+        alike[at : at + 1024] = np.sqrt(np.maximum(d.min(1), 0))
+    votes = np.stack([(kinds[near] == j).sum(1) for j in range(len(KINDS))], 1)
+    votes[np.arange(len(x)), kinds] = 0
+    return (votes.max(1) >= most) & (far <= reach * np.median(far[near], axis=1)) & (alike > own * far)
+
+
 def _add_sums(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches(rows):
@@ -324,7 +361,7 @@ def _add_sums(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["k", "sums"])
 
 
-def fit_mixture(stats: DataFrame, labels: DataFrame, rounds: int = 8, splits: int = 2, prior: float = 6.0, floor: float = 0.15) -> tuple[np.ndarray, np.ndarray, Mixture, np.ndarray]:
+def fit_mixture(stats: DataFrame, labels: DataFrame, rounds: int = 6, splits: int = 2, prior: float = 6.0, floor: float = 0.15) -> tuple[np.ndarray, np.ndarray, Mixture, np.ndarray]:
     """Centre and scale of the features, the mixture, and the share of each kind in each component.
 
     stats has one row a document, labels has (doc_id, kind). The start comes from at most MOST_LABELS
@@ -341,6 +378,9 @@ def fit_mixture(stats: DataFrame, labels: DataFrame, rounds: int = 8, splits: in
     x = (np.stack([seen.column(c).to_numpy() for c in FEATURES], 1) - centre) / scale
     if not len(kinds):
         raise ValueError("no labelled document has statistics")
+    # Wrong labels among right ones teach nothing.
+    clean = ~doubtful(x, kinds, seen.column("doc_id").to_numpy())
+    kinds, x = kinds[clean], x[clean]
     groups: list[np.ndarray] = []
     for k, kind in enumerate(KINDS):
         own = x[kinds == k]
@@ -358,8 +398,11 @@ def fit_mixture(stats: DataFrame, labels: DataFrame, rounds: int = 8, splits: in
                 r = current.responsibilities(z)
                 n += r.sum(0)
                 s1 += r.T @ z
-                for k in np.flatnonzero(r.sum(0) > 1e-6):
-                    s2[k] += (z * r[:, k : k + 1]).T @ z
+                for k in range(size):
+                    # A document has a part in few components; parts below 1e-9 don't change a sum of squares.
+                    own = np.flatnonzero(r[:, k] > 1e-9)
+                    if len(own):
+                        s2[k] += (z[own] * r[own, k : k + 1]).T @ z[own]
             sums = np.concatenate((n[:, None], s1, s2.reshape(size, -1)), 1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array([x.tobytes() for x in sums], pa.binary())], ["k", "sums"])
 
@@ -395,6 +438,13 @@ def fit_mixture(stats: DataFrame, labels: DataFrame, rounds: int = 8, splits: in
         if len(starts) == len(mixture.means):
             break
         mixture, held = refine(Mixture(np.array([w for _, _, w in starts]), np.array([m for m, _, _ in starts]), np.stack([c for _, c, _ in starts])), rounds // 2)
+    # Of the five examples nearest to a component's mean those within its reach count too, half each, so that
+    # they outvote a single wrong label.
+    for k, mean in enumerate(mixture.means):
+        d = ((x - mean) ** 2).sum(1)
+        near = np.argsort(d, kind="stable")[:5]
+        near = near[d[near] <= 2 * np.trace(mixture.covariances[k])]
+        held[k] += 0.5 * np.bincount(kinds[near], minlength=len(KINDS))
     held += 1e-6
     return centre, scale, mixture, held / held.sum(1, keepdims=True)
 

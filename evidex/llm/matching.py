@@ -160,13 +160,14 @@ def map_values(values: DataFrame, reference: DataFrame, entry: str, ref_id: str
     entries = reference.where(F.col(entry).isNotNull()).select(F.col(ref_id).cast("bigint").alias("ref_id"), F.col(entry).cast("string").alias("value"))
     folded = distinct_forms(entries.select("value"))
     entries = entries.join(folded, "value").select("ref_id", F.col("form").alias("entry")).where(F.length("entry") > 0)
-    entries = entries.groupBy("entry").agg(F.min("ref_id").alias("ref_id"))
+    # The list, the forms, the plain hits and the result are cut off one by one, so that no plan holds them all.
+    entries = cut(entries.groupBy("entry").agg(F.min("ref_id").alias("ref_id")).coalesce(1))
     forms = cut(distinct_forms(values))
     holding = cut(_holding(forms, entries))
     rest = forms.join(holding.select("value"), "value", "left_anti").where(F.length("form") > 0)
     similar = similar_entries(strip_affixes(rest, learn_affixes(holding)), entries, threshold)
     matched = holding.select("value", "ref_id", F.lit(1.0).alias("jaccard")).unionByName(similar)
-    return forms.select("value").join(matched, "value", "left").select("value", F.coalesce("ref_id", F.lit(-1).cast("bigint")).alias("ref_id"), "jaccard")
+    return cut(forms.select("value").join(matched, "value", "left").select("value", F.coalesce("ref_id", F.lit(-1).cast("bigint")).alias("ref_id"), "jaccard"))
 
 
 def map_records(df: DataFrame, record_id: str, column: str, reference: DataFrame, entry: str, field: str) -> DataFrame:

@@ -170,15 +170,24 @@ def map_values(values: DataFrame, reference: DataFrame, entry: str, ref_id: str
     return cut(forms.select("value").join(matched, "value", "left").select("value", F.coalesce("ref_id", F.lit(-1).cast("bigint")).alias("ref_id"), "jaccard"))
 
 
-def map_records(df: DataFrame, record_id: str, column: str, reference: DataFrame, entry: str, field: str) -> DataFrame:
+def map_fields(parts: list[tuple[DataFrame, str, str, str]], reference: DataFrame, entry: str) -> DataFrame:
     """(field, record_id, ref_id) for each record whose non-null value isn't literally an entry.
 
-    Records with entries written exactly, usually the hot values, leave before the join; the rest
-    join on the value, where Spark splits a value that many records share.
+    parts has (table, id column, value column, field name) of the fields that share one reference list;
+    their distinct values are mapped together. Records with entries written exactly, usually the hot
+    values, leave before the join; the rest join on the value, where Spark splits a value that many
+    records share.
     """
     exact = reference.where(F.col(entry).isNotNull()).select(F.col(entry).cast("string").alias("value")).distinct()
-    rows = df.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(column).cast("string").alias("value")).where(F.col("value").isNotNull())
-    free = rows.join(exact, "value", "left_anti")
+    rows = None
+    for df, record_id, column, field in parts:
+        one = df.select(F.lit(field).alias("field"), F.col(record_id).cast("bigint").alias("record_id"), F.col(column).cast("string").alias("value"))
+        rows = one if rows is None else rows.unionByName(one)
+    free = rows.where(F.col("value").isNotNull()).join(exact, "value", "left_anti")
     mapped = map_values(free.select("value"), reference, entry)
-    return free.join(mapped.select("value", "ref_id"), "value").select(F.lit(field).alias("field"), "record_id", "ref_id")
+    return free.join(mapped.select("value", "ref_id"), "value").select("field", "record_id", "ref_id")
+
 
+def map_records(df: DataFrame, record_id: str, column: str, reference: DataFrame, entry: str, field: str) -> DataFrame:
+    """map_fields of one field."""
+    return map_fields([(df, record_id, column, field)], reference, entry)

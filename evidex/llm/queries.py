@@ -8,7 +8,7 @@ from evidex.llm import copies as dup
 from evidex.llm import quantiles, terms
 from evidex.llm.forms import unify_text
 from evidex.llm.leakage import PASSAGE, leaks
-from evidex.llm.matching import map_records, map_values
+from evidex.llm.matching import map_fields, map_values
 from evidex.llm.quality import document_kinds, document_statistics
 from evidex.llm.tokens import encode_corpus
 from evidex.plans.registry import Registry, table
@@ -108,20 +108,16 @@ def p4_terms(spark, sf_dir):
     return terms.marked_terms(table(spark, sf_dir, "skill_frequency"), "关键词", "batch_id", "出现岗位数")
 
 
-MATCH_FIELDS = [
-    ("company_jobs_merged", "row_id", "title", "title_reference", "std_title"),
-    ("risk_scores_subjob", "score_id", "std_title", "title_reference", "std_title"),
-    ("risk_scores_subjob", "score_id", "category", "category_reference", "category"),
-]
-
-
 @registry.query("p5_found")
 def p5_found(spark, sf_dir):
-    parts = [
-        map_records(table(spark, sf_dir, name), key, column, table(spark, sf_dir, ref), entry, f"{name}.{column}")
-        for name, key, column, ref, entry in MATCH_FIELDS
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    jobs, scores = table(spark, sf_dir, "company_jobs_merged"), table(spark, sf_dir, "risk_scores_subjob")
+    titles = map_fields(
+        [(jobs, "row_id", "title", "company_jobs_merged.title"), (scores, "score_id", "std_title", "risk_scores_subjob.std_title")],
+        table(spark, sf_dir, "title_reference"),
+        "std_title",
+    )
+    categories = map_fields([(scores, "score_id", "category", "risk_scores_subjob.category")], table(spark, sf_dir, "category_reference"), "category")
+    return titles.unionByName(categories)
 
 
 @registry.query("p5_unmatched")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidex.llm import copies as dup
 from evidex.llm import quantiles, terms
-from evidex.llm.forms import unify_text
+from evidex.llm.forms import LOOKALIKES, unify_text
 from evidex.llm.leakage import PASSAGE, leaks
 from evidex.llm.matching import map_fields, map_values
 from evidex.llm.quality import document_kinds, document_statistics
@@ -133,7 +133,29 @@ def p5_values(spark, sf_dir):
     return map_values(values, table(spark, sf_dir, "title_reference"), "std_title")
 
 
-@registry.query("p6_found")
+# Spelled with classes of RE2: wide letters and digits, spaces, invisible and apart characters, Han forms,
+# scripts within one word, and short words of look-alikes that lean on Han or a digit.
+_ALIKE = "".join(c for c in LOOKALIKES if c not in "кмтпгηγωα")
+_MARKS = r"[\p{Mn}\p{Cf}]*"
+_FOREIGN = r"\p{Cyrillic}\p{Greek}\p{Cherokee}\p{Armenian}"
+_FORM_SQL = "|".join(
+    [
+        "[０-９Ａ-Ｚａ-ｚ]", r"[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]", r"\p{Cf}", r"[\p{Latin}\p{Greek}\p{Cyrillic}]\p{Mn}",
+        r"[\x{2e80}-\x{2fdf}\x{f900}-\x{fa6d}]", rf"\p{{Latin}}{_MARKS}[{_FOREIGN}]", rf"[{_FOREIGN}]{_MARKS}\p{{Latin}}",
+        rf"\p{{Cyrillic}}{_MARKS}[\p{{Greek}}\p{{Cherokee}}]", rf"[\p{{Greek}}\p{{Cherokee}}]{_MARKS}\p{{Cyrillic}}",
+        rf"(^|[^\p{{L}}]|\p{{Han}})[{_ALIKE}]{{1,3}}[\p{{Han}}0-9]", rf"[\p{{Han}}0-9][{_ALIKE}]{{1,3}}($|[^\p{{L}}])",
+    ]
+)
+
+
+@registry.query(
+    "p6_found",
+    f"""
+    with v as (select 'company_jobs_merged.title' as field, row_id as record_id, title as t from company_jobs_merged
+        union all select 'jobinfo.职位名称', info_id, 职位名称 from jobinfo union all select 'jobinfo.学历要求', info_id, 学历要求 from jobinfo)
+    select field, record_id from v where regexp_matches(t, '{_FORM_SQL}')
+    """,
+)
 def p6_found(spark, sf_dir):
     return p6_unified(spark, sf_dir).where("kinds > 0").select("field", "record_id")
 
@@ -154,7 +176,20 @@ def p8_token_counts(spark, sf_dir):
     return p8_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_ids"))
 
 
-@registry.query("p9_found")
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_BARE_SQL = f"regexp_replace(lower(translate(text, '{_WIDE}', '{_NARROW}')), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')"
+
+
+@registry.query(
+    "p9_found",
+    f"""
+    with d as (select doc_id, {_BARE_SQL} as t from documents where text is not null), i as (select item_id, {_BARE_SQL} as t from eval_items where text is not null),
+    g as (select item_id, unnest(list_distinct(list_transform(range(1, length(t) - 48), lambda k: substr(t, k::int, 50)))) as gram from i where length(t) >= 50),
+    h as (select doc_id, unnest(list_transform(range(1, length(t) - 48), lambda k: substr(t, k::int, 50))) as gram from d where length(t) >= 50)
+    select distinct doc_id, item_id from h join g using (gram)
+    """,
+)
 def p9_found(spark, sf_dir):
     found = p9_alignments(spark, sf_dir).where(F.col("longest_run") >= PASSAGE)
     return found.select("doc_id", "item_id").distinct()

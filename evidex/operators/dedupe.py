@@ -65,4 +65,6 @@ def stratified(df: DataFrame, stratum: Column, sizes: Mapping[str, int], order:
     wanted = F.coalesce(*[F.when(F.col("stratum") == F.lit(k), F.lit(n)) for k, n in sizes.items()])
     rows = df.withColumn("stratum", stratum).where(F.col("stratum").isin(*sizes))
     w = Window.partitionBy("stratum").orderBy(rank, F.col(order))
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= wanted)
+    # The plain bound lets Spark keep only so many rows of each stratum in each map task.
+    top = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(sizes.values(), default=0))
+    return top.where(F.col("place") <= wanted)

@@ -35,12 +35,34 @@ def job_features(df: DataFrame, dictionaries: Mapping[str, Sequence[str]]) -> Da
     return out.withColumns({"low_barrier": low, "senior_barrier": senior})
 
 
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """(keys, name): interpolated median of each group's values; groups without values have no row.
+
+    Values are counted before the shuffle, and the counts of a group are scanned in sorted order, which
+    spills; a hot group is never held in memory. Null and NaN are no values; null keys are left out.
+    """
+    v = F.col(value).cast("double")
+    rows = df.select(*keys, v.alias("_v")).where(v.isNotNull() & ~F.isnan(v))
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("_to", upto).join(rows.groupBy(*keys).agg(F.count("*").alias("_all")), list(keys))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_to") >= rank) & (F.col("_to") - F.col("_n") < rank), F.col("_v")))
+
+    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))
+
+
 def group_profile(df: DataFrame, keys: Sequence[str], company: str, pay: str, means: Mapping[str, str]) -> DataFrame:
     """Count, number of companies, exact median pay and means of each group; null keys are left out."""
     rows = df
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct(company).alias("companies"), F.median(pay).alias("pay_median"), *[F.avg(c).alias(name) for name, c in means.items()])
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct(company).alias("companies"), *[F.avg(c).alias(name) for name, c in means.items()])
+    return counted.join(exact_median(rows, keys, pay, "pay_median"), list(keys), "left")
 
 
 def unit_scale(value: Column, part: Window | None = None, eps: float = 1e-9) -> Column:

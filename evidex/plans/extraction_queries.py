@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidex import dictionaries as D
+from evidex.dictionaries import Study
 from evidex.functions import text as T
 from evidex.functions.register import register
 from evidex.operators import extraction as X
 from evidex.plans.core_queries import _NORM_SQL, _TOKENS_SQL, _sql_items, _sql_scalar
+from evidex.plans.pipelines import evaluated
 from evidex.plans.registry import Registry, table
 from evidex.sources import providers
 from evidex.streaming import windows
@@ -181,6 +183,17 @@ def field_accuracy(spark, sf_dir):
     return X.accuracy(X.field_results(parsed(spark, sf_dir), gold, ["info_id"], ["version"]), ["version", "field"])
 
 
+@query("pipeline_evaluation")
+def pipeline_evaluation(spark, sf_dir):
+    """The whole evaluation of the outputs against the records, with the postings as sources: one row a version."""
+    info = table(spark, sf_dir, "jobinfo")
+    gold = info.select("info_id", *[T.clean_scalar(F.col(c)).alias(c) for c in D.SCALAR_FIELDS], *[T.split_list(F.col(c)).alias(c) for c in D.LIST_FIELDS])
+    posts = table(spark, sf_dir, "company_jobs_merged").select("row_id", F.concat_ws("\n", "title", "salary", "location", "skills", "jd").alias("input_text"))
+    samples = info.select("info_id", "row_id").join(posts, "row_id").select("info_id", "input_text")
+    out = evaluated(outputs(spark, sf_dir).select("version", "info_id", "raw"), gold, samples, Study(), key="info_id")
+    return out["levels"].join(out["accuracy"].select("version", "strict", "lenient"), "version").join(out["hallucination"], "version")
+
+
 @query(
     "label_accuracy",
     """

@@ -53,8 +53,11 @@ def scored(postings: DataFrame, study: Study, order: str = "row_id") -> dict[str
 
 
 def evaluated(outputs: DataFrame, gold: DataFrame, samples: DataFrame, study: Study, by: tuple[str, ...] = ("version",), key: str = "sample_id", accepts: DataFrame | None = None, support: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All metric frames of the evaluation pipeline from raw outputs (by, key, raw), gold records and source texts."""
-    parsed = extraction.parse_outputs(outputs, [*by, key], "raw")
+    """All metric frames of the evaluation pipeline from raw outputs (by, key, raw), gold records and source texts.
+
+    The outputs are parsed once, the metrics are lazy.
+    """
+    parsed = cut(extraction.parse_outputs(outputs, [*by, key], "raw"))
     results = extraction.field_results(parsed, gold, [key], by, accepts, study.aliases)
     unit_rows = extraction.units(parsed, [*by, key])
     judged = extraction.verdicts(unit_rows, samples, [key], "input_text", support, study.aliases)

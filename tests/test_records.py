@@ -132,3 +132,24 @@ def test_cosine(spark):
     assert all(abs(r.s - 1) < 1e-9 for r in w.groupBy("doc").agg(F.sum(F.col("weight") ** 2).alias("s")).collect())
     best = similarity.best_match(w.where("doc like 'u:%'"), w.where("doc like 'p:%'"), ["p:x"]).collect()
     assert [(r.doc, r.match) for r in best] == [("u:1", "p:x")]
+
+
+def test_median(spark):
+    import random
+    import statistics
+
+    random.seed(6)
+    data = [(random.choice(["a", "b", None]), random.choice([1.0, 2.0, 2.0, 7.5, random.random(), None, float("nan")])) for _ in range(400)] + [("c", None), ("d", 3.0), ("e", 1.0), ("e", 2.0)]
+    got = {r.k: r.m for r in features.exact_median(spark.createDataFrame(data, "k string, v double"), ["k"], "v", "m").collect()}
+    want = {}
+    for k in "abde":
+        want[k] = statistics.median([v for g, v in data if g == k and v is not None and v == v])
+    assert got == want
+
+
+def test_strata(spark, rows):
+    df = spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else None) for i in range(50)], "id bigint, s string")
+    out = dedupe.stratified(df, F.col("s"), {"a": 2, "b": 3}, "id")
+    assert rows(out.select("s", "id")) == [("a", 2), ("a", 4), ("b", 1), ("b", 3), ("b", 7)]
+    hashed = dedupe.stratified(df, F.col("s"), {"a": 2, "b": 3}, "id", seed=42)
+    assert hashed.count() == 5 and rows(hashed) == rows(dedupe.stratified(df.repartition(7), F.col("s"), {"a": 2, "b": 3}, "id", seed=42))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 
 _LIMIT = 200_000
 
@@ -25,13 +25,6 @@ class Memo(dict):
         return value
 
 
-def per_distinct(column: pa.Array, fn: Callable) -> tuple[list, np.ndarray]:
-    """fn of each distinct non-null value of a batch, and for each row its index in that list or -1."""
-    coded = column.dictionary_encode()
-    index = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    return [fn(v) for v in coded.dictionary.to_pylist()], index
-
-
 def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Only the batches that hold rows."""
     for batch in rows:
@@ -42,7 +35,7 @@ def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def slices(rows: Iterator[pa.RecordBatch], column: int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a text column has about most_bytes in each; a longer text has a batch of its own."""
     for batch in batches(rows):
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         total = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:

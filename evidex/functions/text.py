@@ -16,10 +16,6 @@ from evidex.dictionaries import NULL_STARTS, NULL_TOKENS, TitleSpec
 EMPTY = "array<string>"
 
 
-def _lit(s: str) -> str:
-    return s.replace("'", "\\'")
-
-
 def words(items: Sequence[str]) -> Column:
     """An array literal of strings, also for no items."""
     return F.array(*map(F.lit, items)) if items else F.array().cast(EMPTY)
@@ -75,14 +71,22 @@ def strip_affixes(text: Column, prefixes: Sequence[str], suffixes: Sequence[str]
     return F.when(text.rlike("|".join(ends)), looped).otherwise(text)
 
 
+# Patterns of what a title's standard form leaves out, in this order.
+ASIDE = r"(?d)[（(\[【].*?[)）\]】]"
+OPEN_ASIDE = r"(?d)[（(\[【].*$"
+JOB_CODE = r"[a-z]{1,3}\p{Nd}{4,}"
+TAIL = r"(?d)[-—_/、,，|]+.*$"
+EDGE = "·-/ "
+
+
 def normalize_title(raw: Column, spec: TitleSpec = TitleSpec(), long_title: int = 12) -> Column:
     """Standard form of a free title; a null title is the empty title."""
     base = strip(F.lower(F.coalesce(raw, F.lit(""))))
-    s = F.regexp_replace(base, r"(?d)[（(\[【].*?[)）\]】]", "")
-    s = F.regexp_replace(s, r"(?d)[（(\[【].*$", "")
-    s = F.regexp_replace(s, r"[a-z]{1,3}\p{Nd}{4,}", "")
-    s = F.when(F.length(s) > long_title, F.regexp_replace(s, r"(?d)[-—_/、,，|]+.*$", "")).otherwise(s)
-    s = strip(strip_affixes(squeeze(s), spec.prefixes, spec.suffixes), "·-/ ")
+    s = base
+    for pattern in (ASIDE, OPEN_ASIDE, JOB_CODE):
+        s = F.regexp_replace(s, pattern, "")
+    s = F.when(F.length(s) > long_title, F.regexp_replace(s, TAIL, "")).otherwise(s)
+    s = strip(strip_affixes(squeeze(s), spec.prefixes, spec.suffixes), EDGE)
     s = F.when(s == "", base).otherwise(s)
     return lookup(s, spec.synonyms, s)
 

@@ -59,7 +59,6 @@ def nearest_centroid(df: DataFrame, key: str, vector: str, centres: DataFrame, g
     They ride along with each row as one array, so no pairs of rows are made.
     """
     packed = centres.agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), F.col("centroid").alias("v")))).alias("cs"))
-    cs = F.lit([])
     row = packed.first()
     cs = F.array(*[F.struct(F.lit(c["g"]).alias("g"), F.array(*map(F.lit, c["v"])).alias("v")) for c in row["cs"]]) if row and row["cs"] else F.array().cast("array<struct<g:int,v:array<double>>>")
     scored = F.transform(cs, lambda c: F.struct(cosine_of(F.col(vector), c["v"]).alias("score"), (-c["g"]).alias("p")))

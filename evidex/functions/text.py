@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +16,11 @@ from evidex.dictionaries import NULL_STARTS, NULL_TOKENS, TitleSpec
 EMPTY = "array<string>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(items: Sequence[str]) -> Column:
     """An array literal of strings, also for no items."""
     return F.array(*map(F.lit, items)) if items else F.array().cast(EMPTY)
@@ -65,10 +70,12 @@ def strip_affixes(text: Column, prefixes: Sequence[str], suffixes: Sequence[str]
                 s = F.aggregate(words(tokens), s, cutter(front))
         return s
 
+    def stable(s: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), s, lambda acc, _: one_pass(acc))
+
     ends = [f"^(?:{'|'.join(map(re.escape, prefixes))})"] * bool(prefixes) + [f"(?:{'|'.join(map(re.escape, suffixes))})$"] * bool(suffixes)
-    looped = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), text, lambda acc, _: one_pass(acc))
     # Most texts have neither, and don't enter the loop.
-    return F.when(text.rlike("|".join(ends)), looped).otherwise(text)
+    return let(text, lambda s: F.when(s.rlike("|".join(ends)), stable(s)).otherwise(s))
 
 
 # Patterns of what a title's standard form leaves out, in this order.
@@ -81,14 +88,17 @@ EDGE = "·-/ "
 
 def normalize_title(raw: Column, spec: TitleSpec = TitleSpec(), long_title: int = 12) -> Column:
     """Standard form of a free title; a null title is the empty title."""
-    base = strip(F.lower(F.coalesce(raw, F.lit(""))))
-    s = base
-    for pattern in (ASIDE, OPEN_ASIDE, JOB_CODE):
-        s = F.regexp_replace(s, pattern, "")
-    s = F.when(F.length(s) > long_title, F.regexp_replace(s, TAIL, "")).otherwise(s)
-    s = strip(strip_affixes(squeeze(s), spec.prefixes, spec.suffixes), EDGE)
-    s = F.when(s == "", base).otherwise(s)
-    return lookup(s, spec.synonyms, s)
+    def shortened(base: Column) -> Column:
+        s = base
+        for pattern in (ASIDE, OPEN_ASIDE, JOB_CODE):
+            s = F.regexp_replace(s, pattern, "")
+        return let(s, lambda t: F.when(F.length(t) > long_title, F.regexp_replace(t, TAIL, "")).otherwise(t))
+
+    def finished(base: Column) -> Column:
+        bare = strip(strip_affixes(squeeze(shortened(base)), spec.prefixes, spec.suffixes), EDGE)
+        return let(F.coalesce(F.nullif(bare, F.lit("")), base), lambda s: lookup(s, spec.synonyms, s))
+
+    return let(strip(F.lower(F.coalesce(raw, F.lit("")))), finished)
 
 
 def keyword_hits(text: Column, keywords: Sequence[str], lowered: bool = False) -> Column:
@@ -127,24 +137,32 @@ def pay_median_k(text: Column) -> Column:
 
 def clean_scalar(text: Column) -> Column:
     """Text without white space and full stops around it, or null where it says that there is no value."""
-    s = strip(strip(strip(text), "。;；"))
-    null = F.lower(s).isin(*NULL_TOKENS) | s.isin(*NULL_TOKENS) | s.rlike("^(" + "|".join(NULL_STARTS) + ")")
-    return F.when(~null, s)
+
+    def checked(s: Column) -> Column:
+        null = F.lower(s).isin(*NULL_TOKENS) | s.isin(*NULL_TOKENS) | s.rlike("^(" + "|".join(NULL_STARTS) + ")")
+        return F.when(~null, s)
+
+    return let(strip(strip(strip(text), "。;；")), checked)
 
 
 def clean_items(items: Column) -> Column:
     """List items without marks and numbers, without empty and null words, each once in any letter case, first spelling kept."""
     bare = F.transform(items, lambda x: F.regexp_replace(strip(strip(strip(x), "。.;；·-—*")), r"(?U)^\d+[.、]\s*", ""))
     kept = F.filter(bare, lambda x: x.isNotNull() & ~F.lower(x).isin(*NULL_TOKENS))
-    keys = F.transform(kept, F.lower)
-    return F.filter(kept, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+
+    def once(row: Column) -> Column:
+        return F.filter(row["kept"], lambda x, i: F.array_position(row["keys"], F.lower(x)) == i + 1)
+
+    def keyed(xs: Column) -> Column:
+        return let(F.struct(xs.alias("kept"), F.transform(xs, F.lower).alias("keys")), once)
+
+    return F.when(items.isNotNull(), let(kept, keyed))
 
 
 def split_list(text: Column) -> Column:
     """Items of a list written as one text; empty for a null word."""
-    s = clean_scalar(text)
-    parts = F.split(s, r"(?U)[、,，;；/|]\s*|\s{2,}")
-    return F.coalesce(clean_items(parts), F.array().cast(EMPTY))
+    parts = F.split(let(text, clean_scalar), r"(?U)[、,，;；/|]\s*|\s{2,}")
+    return F.coalesce(let(parts, clean_items), F.array().cast(EMPTY))
 
 
 @F.pandas_udf(StringType())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidex.dictionaries import Role, Rule
-from evidex.functions.text import first_keyword
+from evidex.functions.text import first_keyword, let
 from evidex.operators.similarity import best_match, tfidf
 from evidex.session import cut
 
@@ -33,10 +33,14 @@ def rule_class(title: Column, text: Column, rules: Sequence[Rule], snippet: int
         value = F.struct(F.lit(rule.name).alias("category"), keyword.alias("keyword"), F.lit(level).alias("level"))
         return F.when(keyword.isNotNull(), value)
 
-    by_title = [found(F.when(~_any(title, r.excludes), first_keyword(title, r.keywords)), r, "title") for r in rules]
-    start = F.substring(text, 1, snippet)
-    by_text = [found(first_keyword(start, r.strict), r, "jd") for r in rules if r.strict]
-    return F.coalesce(*by_title, *by_text, F.lit(None).cast(_NONE))
+    def chosen(row: Column) -> Column:
+        t, start = row["title"], row["start"]
+        by_title = [found(F.when(~_any(t, r.excludes), first_keyword(t, r.keywords)), r, "title") for r in rules]
+        by_text = [found(first_keyword(start, r.strict), r, "jd") for r in rules if r.strict]
+        return F.coalesce(*by_title, *by_text, F.lit(None).cast(_NONE))
+
+    # Title and text are worked out once for all keywords, wherever the optimizer moves this expression.
+    return let(F.struct(title.alias("title"), F.substring(text, 1, snippet).alias("start")), chosen)
 
 
 def claim_role(title: Column, roles: Sequence[Role]) -> Column:

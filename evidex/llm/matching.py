@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions.arrow import batches
 from evidex.functions.codepoints import from_codepoints, gather, row_of, to_codepoints
+from evidex.functions.text import let
 from evidex.llm.forms import normalize
 from evidex.session import cut
 
@@ -72,8 +73,10 @@ def _grams(form: Column, n: int) -> Column:
 
 def _tokens(form: Column) -> Column:
     """Characters with their occurrence number, so that sets of them are multisets of characters."""
-    chars = F.filter(F.split(form, ""), lambda c: c != "")
-    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
+    def numbered(chars: Column) -> Column:
+        return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
+
+    return let(F.filter(F.split(form, ""), lambda c: c != ""), numbered)
 
 
 def _holding(forms: DataFrame, entries: DataFrame) -> DataFrame:

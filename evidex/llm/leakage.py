@@ -1,10 +1,12 @@
 """Evaluation texts leaking into training text.
 
 Both sides are reduced to letters and digits. Every n-gram of the test items is counted over the
-whole corpus; of each stretch of an item as long as the shortest passage to be found the rarest
-n-gram is kept as a seed (winnowing by rarity), so a leaked passage always holds a seed. Documents
-are scanned once for seeds; each seeded pair of document and item is aligned by Smith-Waterman around
-its seeds, which scores edited copies, and the longest exact run decides on literal leaks.
+whole corpus; all that occur there are seeds, so each document that shares one with an item is found,
+an edited copy as well as a literal one. Where only literal leaks are wanted, the rarest n-gram of
+each stretch of an item as long as the shortest passage is enough (winnowing by rarity): a leaked
+passage always holds one. Documents are scanned once for seeds; each seeded pair of document and item
+is aligned by Smith-Waterman around its seeds, which scores edited copies, and the longest exact run
+decides on literal leaks.
 """
 
 from __future__ import annotations
@@ -113,10 +115,12 @@ def _hits(text: np.ndarray, offsets: np.ndarray, n: int, index: Index) -> tuple[
     return rows[pos], pos, place
 
 
-def choose_seeds(items: list[np.ndarray], frequency: dict[int, int], passage: int = PASSAGE, n: int = SEED) -> dict[int, list[tuple[int, int]]]:
-    """hash -> (item, position) of the seeds: the rarest n-gram of every stretch of `passage` characters.
+def choose_seeds(items: list[np.ndarray], frequency: dict[int, int], passage: int = PASSAGE, n: int = SEED, edited: bool = True) -> dict[int, list[tuple[int, int]]]:
+    """hash -> (item, position) of the seeds: all n-grams of an item that occur in the corpus.
 
-    Items shorter than passage have no seeds. Ties go to the later n-gram of a stretch.
+    Without edited copies, the rarest n-gram of every stretch of `passage` characters, of equals the
+    later one; an n-gram across an edit is rarer than those that an edited copy holds, so these seeds
+    find literal passages only. Items shorter than passage have no seeds.
     """
     seeds: dict[int, list[tuple[int, int]]] = {}
     window = passage - n + 1
@@ -125,10 +129,14 @@ def choose_seeds(items: list[np.ndarray], frequency: dict[int, int], passage: in
         if len(item) < passage:
             continue
         rank = np.array([frequency.get(int(x), 0) for x in h], np.int64)
-        # Rarest first, the later of equals: the smallest of rank * len - position.
-        key = rank * (len(h) + 1) - np.arange(len(h))
-        views = np.lib.stride_tricks.sliding_window_view(key, window)
-        for p in np.unique(views.argmin(1) + np.arange(len(views))):
+        if edited:
+            places = np.flatnonzero(rank)
+        else:
+            # Rarest first, the later of equals: the smallest of rank * len - position.
+            key = rank * (len(h) + 1) - np.arange(len(h))
+            views = np.lib.stride_tricks.sliding_window_view(key, window)
+            places = np.unique(views.argmin(1) + np.arange(len(views)))
+        for p in places:
             seeds.setdefault(int(h[p]), []).append((k, int(p)))
     return seeds
 
@@ -198,11 +206,11 @@ def gram_frequency(documents: DataFrame, text: str, items: list[np.ndarray], n:
     return {int(index.hashes[r.place]): r.n for r in found.groupBy("place").agg(F.sum("n").alias("n")).toLocalIterator()}
 
 
-def _search_block(documents: DataFrame, doc_id: str, text: str, block: list[tuple[int, str]], passage: int, n: int) -> DataFrame:
+def _search_block(documents: DataFrame, doc_id: str, text: str, block: list[tuple[int, str]], passage: int, n: int, edited: bool) -> DataFrame:
     ids = np.array([i for i, _ in block], np.int64)
     chars, offs = bare(pa.array([t for _, t in block]))
     items = [chars[a:b] for a, b in zip(offs[:-1], offs[1:])]
-    seeds = choose_seeds(items, gram_frequency(documents, text, items, n), passage, n)
+    seeds = choose_seeds(items, gram_frequency(documents, text, items, n), passage, n, edited)
     index = Index(np.array(list(seeds), np.uint64))
     where = [seeds[int(h)] for h in index.hashes]
 
@@ -249,18 +257,19 @@ def _search_block(documents: DataFrame, doc_id: str, text: str, block: list[tupl
     return rows.mapInArrow(run, "doc_id bigint, item_id bigint, score double, longest_run int")
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", passage: int = PASSAGE, n: int = SEED) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", passage: int = PASSAGE, n: int = SEED, edited: bool = True) -> DataFrame:
     """(doc_id, item_id, score, longest_run) for each seeded pair of a document and an item.
 
     score is the Smith-Waterman score by that of the whole item, 1 for a full copy; longest_run counts
-    the letters and digits in a row that both share. Pairs with a run of at least `passage` are all
-    here. Null and empty texts, and items shorter than passage, give no row; a repeated document or
-    item id gives a row for each of its texts.
+    the letters and digits in a row that both share. Pairs with a run of at least n are all here;
+    without edited, only those with a run of at least `passage` surely are. Null and empty texts, and
+    items shorter than passage, give no row; a repeated document or item id gives a row for each of
+    its texts.
     """
     if not 0 < n <= passage:
         raise ValueError("a seed can't be longer than the passage")
     spark: SparkSession = documents.sparkSession
     out = spark.createDataFrame([], "doc_id bigint, item_id bigint, score double, longest_run int")
     for block in item_blocks(items, item_id, text):
-        out = out.unionByName(_search_block(documents, doc_id, text, block, passage, n))
+        out = out.unionByName(_search_block(documents, doc_id, text, block, passage, n, edited))
     return out

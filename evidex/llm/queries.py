@@ -191,7 +191,7 @@ _BARE_SQL = f"regexp_replace(lower(translate(text, '{_WIDE}', '{_NARROW}')), '[^
     """,
 )
 def p9_found(spark, sf_dir):
-    found = p9_alignments(spark, sf_dir).where(F.col("longest_run") >= PASSAGE)
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edited=False).where(F.col("longest_run") >= PASSAGE)
     return found.select("doc_id", "item_id").distinct()
 
 

@@ -99,6 +99,18 @@ def test_leaks(spark, rows):
     assert leaks(df.limit(0), frame).count() == leaks(df, frame.limit(0)).count() == 0
 
 
+def test_edited_copies(spark):
+    rng = random.Random(30)
+    items = {i: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200)) for i in range(40)}
+    # One letter in every 30 to 49 is another; items from 20 on also stand unedited elsewhere.
+    docs = [(i, "".join("x" if k % (30 + i % 20) == 29 else c for k, c in enumerate(t))) for i, t in items.items()]
+    docs += [(100 + i, items[i]) for i in range(20, 40)]
+    found = leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(list(items.items()), "item_id bigint, text string"))
+    scores = {(r.doc_id, r.item_id): r.score for r in found.collect()}
+    assert set(scores) == {(d, d % 100) for d, _ in docs}
+    assert all(0.9 < scores[i, i] < 1 for i in items) and all(scores[100 + i, i] == 1 for i in range(20, 40))
+
+
 def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_ITEMS", 2)
     items = spark.createDataFrame([(i, chr(0x4E00 + i) * 80) for i in range(5)], "item_id bigint, text string")

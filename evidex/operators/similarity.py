@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from evidex.functions.text import char_wb_ngrams
 
 
-def tfidf(docs: DataFrame, doc: str, text: str, low: int = 2, high: int = 4) -> DataFrame:
+def tfidf(docs: DataFrame, doc: str, text: str, low: int = 2, high: int = 4, n: int | None = None) -> DataFrame:
     """(doc, gram, weight): smoothed inverse document frequency, raw counts, vectors of length 1.
 
-    A document without n-grams has no row. Counts combine on the map side; the frequency table joins
+    A document without n-grams has no row. Rows of one document count as one text; n is the number of
+    documents where some have several rows. Counts combine on the map side; the frequency table joins
     by broadcast where Spark finds it small.
     """
     grams = docs.select(F.col(doc).alias("doc"), F.explode(char_wb_ngrams(F.col(text), low, high)).alias("gram"))
     tf = grams.groupBy("doc", "gram").agg(F.count("*").alias("tf"))
-    n = docs.count()
+    n = docs.count() if n is None else n
     df = tf.groupBy("gram").agg(F.count("*").alias("df")).select("gram", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     weighted = tf.join(df, "gram").select("doc", "gram", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

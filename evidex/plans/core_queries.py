@@ -316,11 +316,20 @@ def tfidf_weights(spark, sf_dir):
     select doc, arg_max(match, score * 1000000 - match) as match, round(max(score), 6) as score from s group by 1""",
 )
 def cosine_argmax(spark, sf_dir):
-    """The most similar of the first twenty part names for each other part."""
-    weights = similarity.tfidf(table(spark, sf_dir, "part"), "p_partkey", "p_name")
-    found = similarity.cosine(weights.where("doc >= 20"), weights.where("doc < 20")).withColumn("score", F.round("score", 9))
-    best = found.groupBy("doc").agg(F.max(F.struct("score", (-F.col("match")).alias("m"))).alias("b"))
-    return best.select("doc", (-F.col("b.m")).alias("match"), F.round("b.score", 6).alias("score"))
+    """For each part name the most similar prototype of a part type, which is all names of the type.
+
+    Names and prototypes are one corpus. Ties go to the earlier type; a name that shares no n-gram with
+    any prototype has no match and score 0. The SQL beside it matches with parts below 20 only.
+    """
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.concat(F.lit("u:"), F.col("p_partkey").cast("string")).alias("doc"), "p_name")
+    types = part.where("p_type is not null").select(F.concat(F.lit("p:"), "p_type").alias("doc"), "p_name")
+    weights = similarity.tfidf(names.unionByName(types), "doc", "p_name", n=part.count() + types.select("doc").distinct().count())
+    found = similarity.cosine(weights.where("doc like 'u:%'"), weights.where("doc like 'p:%'"))
+    best = found.groupBy("doc").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), F.substring("match", 3, 1 << 30).alias("match"))).alias("b"))
+    scored = best.select("doc", F.col("b.match").alias("match"), F.round(-F.col("b.s"), 6).alias("score"))
+    all_parts = part.select(F.col("p_partkey").alias("part"), F.concat(F.lit("u:"), F.col("p_partkey").cast("string")).alias("doc"))
+    return all_parts.join(scored, "doc", "left").select(F.col("part").alias("doc"), "match", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 @query(

@@ -124,6 +124,41 @@ def test_cosine(spark):
     assert [(r.doc, r.match) for r in best] == [("u:1", "p:x")]
 
 
+def test_cosine_argmax_brute(spark, rows, tmp_path):
+    import math
+    import random
+    from collections import Counter
+
+    from evidex.plans.core_queries import cosine_argmax
+
+    rng = random.Random(5)
+    words = ["red", "green", "olive", "tan", "navy", "blue", "it", "almond"]
+    parts = [(k, " ".join(rng.sample(words, 3)), rng.choice(["BRASS", "STEEL", "TIN"])) for k in range(60)] + [(60, None, "TIN"), (61, "zq", None)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+
+    def grams(name):
+        out = Counter()
+        for w in (f" {w} " for w in (name or "").split()):
+            out.update([w[i : i + n] for n in (2, 3, 4) if len(w) > n for i in range(len(w) - n + 1)] + [w] * (len(w) <= 4))
+        return out
+
+    docs = {k: grams(name) for k, name, _ in parts} | {t: sum((grams(name) for _, name, x in parts if x == t), Counter()) for t in ("BRASS", "STEEL", "TIN")}
+    df = Counter(g for c in docs.values() for g in c)
+    vectors = {}
+    for d, c in docs.items():
+        v = {g: n * (math.log((len(docs) + 1) / (df[g] + 1)) + 1) for g, n in c.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        vectors[d] = {g: x / size for g, x in v.items()}
+    want = {}
+    for k, _, _ in parts:
+        scores = {t: round(sum(x * vectors[t].get(g, 0) for g, x in vectors[k].items()), 9) for t in ("BRASS", "STEEL", "TIN")}
+        best = min(scores, key=lambda t: (-scores[t], t))
+        want[k] = (best, scores[best]) if scores[best] else (None, 0.0)
+    got = {r.doc: (r.match, r.score) for r in cosine_argmax(spark, str(tmp_path)).collect()}
+    assert {k: m for k, (m, _) in got.items()} == {k: m for k, (m, _) in want.items()}
+    assert all(abs(got[k][1] - s) < 2e-6 for k, (_, s) in want.items())
+
+
 def test_median(spark):
     import random
     import statistics

@@ -55,7 +55,8 @@ def parse_levels(spark, sf_dir):
 
 @query("parsed_fields", f"select info_id, {_sql_scalar('职位名称')} as title, {_sql_scalar('最低薪资')} as low, {_sql_scalar('薪资周期')} as period, coalesce(array_to_string({_sql_items('软技能')}, '¦'), '') as soft from jobinfo where version = 'v3'")
 def parsed_fields(spark, sf_dir):
-    p = parsed(spark, sf_dir).where("version = 'v3'")
+    """The fields of the records of all versions, by whichever step read them. The SQL beside it gives v3 only."""
+    p = parsed(spark, sf_dir)
     return p.select("info_id", F.col("职位名称").alias("title"), F.col("最低薪资").alias("low"), F.col("薪资周期").alias("period"), F.array_join("软技能", "¦").alias("soft"))
 
 

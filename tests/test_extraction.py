@@ -24,6 +24,18 @@ def test_ladder():
         assert X.parse_record(raw)["level"] == "text"
 
 
+def test_parsed_fields_versions(spark, rows, tmp_path):
+    from evidex.plans.extraction_queries import parsed_fields
+
+    columns = ["info_id", "row_id", "sample_id", "run", "version", *SCALAR_FIELDS, *LIST_FIELDS]
+    values = {"职位名称": "会计。", "最低薪资": "10K", "最高薪资": "15K", "薪资周期": "月", "软技能": "沟通、协作、沟通"}
+    info = [tuple({"info_id": k, "row_id": k, "sample_id": "s", "run": "r", "version": v}.get(c, values.get(c)) for c in columns) for k, v in enumerate(["v1", "v2", "v3"])]
+    schema = ", ".join(f"`{c}` {'bigint' if c.endswith('w_id') or c == 'info_id' else 'string'}" for c in columns)
+    spark.createDataFrame(info, schema).write.parquet(str(tmp_path / "jobinfo.parquet"))
+    # Free text (v1) states neither pay nor soft skills.
+    assert rows(parsed_fields(spark, str(tmp_path))) == [(0, "会计", None, None, ""), (1, "会计", "10K", "月", "沟通¦协作"), (2, "会计", "10K", "月", "沟通¦协作")]
+
+
 def test_evaluation(spark, rows):
     raw = [("v1", "s1", json.dumps(GOOD)), ("v1", "s2", "职位名称：会计"), ("v2", "s1", json.dumps(GOOD | {"学历要求": "硕士"})), ("v2", "s2", "")]
     parsed = X.parse_outputs(spark.createDataFrame(raw, "version string, sid string, raw string"), ["version", "sid"], "raw")

@@ -405,8 +405,9 @@ def delimited_explode(spark, sf_dir):
 
 @query("template_fill", "select doc_id, replace('A {x} B', '{x}', left(text, 20)) as prompt from documents where text is not null")
 def template_fill(spark, sf_dir):
+    """The template filled with each whole text. The SQL beside it cuts texts to 20 characters."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", T.fill_template("A {x} B", F.substring("text", 1, 20), "{x}").alias("prompt"))
+    return docs.select("doc_id", T.fill_template("A {x} B", F.col("text"), "{x}").alias("prompt"))
 
 
 _TOKENS_SQL = "floor((length({0}) - length(regexp_replace({0}, '[一-鿿　-〿＀-￯]', '', 'g'))) + length(regexp_replace({0}, '[一-鿿　-〿＀-￯]', '', 'g')) / 4.0)::int"

@@ -159,6 +159,14 @@ def test_cosine_argmax_brute(spark, rows, tmp_path):
     assert all(abs(got[k][1] - s) < 2e-6 for k, (_, s) in want.items())
 
 
+def test_template_fill_whole(spark, rows, tmp_path):
+    from evidex.plans.core_queries import template_fill
+
+    texts = [(1, "长文" * 5000), (2, ""), (3, None), (4, "with {x} and $1 \\1 in it, longer than twenty")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(template_fill(spark, str(tmp_path))) == [(k, f"A {t} B") for k, t in texts if t is not None]
+
+
 def test_median(spark):
     import random
     import statistics

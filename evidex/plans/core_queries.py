@@ -582,7 +582,7 @@ def argmax_argmin(spark, sf_dir):
 
 @query("kmeans_labels")
 def kmeans_labels(spark, sf_dir):
-    clustered = scoring.kmeans(category_dims(spark, sf_dir), list(D.DIMENSIONS), 3, 5)
+    clustered = scoring.kmeans(category_dims(spark, sf_dir), list(D.DIMENSIONS), 3)
     named = scoring.name_clusters(clustered, "Risk", ["high", "middle", "low"])
     return named.select("category", "Risk", "cluster_name")
 

@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -167,6 +168,22 @@ def test_template_fill_whole(spark, rows, tmp_path):
     assert rows(template_fill(spark, str(tmp_path))) == [(k, f"A {t} B") for k, t in texts if t is not None]
 
 
+def test_kmeans_starts(monkeypatch):
+    from evidex.plans import core_queries
+
+    class Fit(Exception):
+        pass
+
+    def kmeans(df, features, k=3, starts=20, seed=42):
+        raise Fit(k, starts)
+
+    monkeypatch.setattr(core_queries, "category_dims", lambda spark, sf_dir: None)
+    monkeypatch.setattr(scoring, "kmeans", kmeans)
+    with pytest.raises(Fit) as fit:
+        core_queries.kmeans_labels(None, "")
+    assert fit.value.args == (3, 20)
+
+
 def test_median(spark):
     import random
     import statistics

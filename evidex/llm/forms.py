@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidex.functions.arrow import slices
-from evidex.functions.codepoints import TABLE_SIZE, from_codepoints, gather, row_of, to_codepoints
+from evidex.functions.codepoints import from_codepoints, gather, row_of, to_codepoints
 
 # Letters of other scripts and the Latin letters that they look like.
 LOOKALIKES = {
@@ -42,6 +42,8 @@ RADICALS = {
 # Kinds of stand-ins, as bits.
 WIDE, SPACE, APART, UNSEEN, MIXED, HAN = 1, 2, 4, 8, 16, 32
 KINDS = {"wide": WIDE, "space": SPACE, "apart": APART, "unseen": UNSEEN, "mixed": MIXED, "han": HAN}
+#: The tables hold tag characters and all variation selectors; beyond them is private use only.
+FORMS_END = 0xE01F0
 # Scripts of letters as small numbers; 0 is no letter, 1 is Han and other letters without case.
 _SCRIPTS = ["", "HAN", "LATIN", "GREEK", "CYRILLIC", "CHEROKEE", "ARMENIAN", "OTHER"]
 
@@ -50,7 +52,7 @@ class Tables:
     """Lookup tables over code points, made by rule from the Unicode database."""
 
     def __init__(self) -> None:
-        n = TABLE_SIZE
+        n = FORMS_END
         self.plain = np.arange(n, dtype=np.uint32)
         self.kind = np.zeros(n, np.uint8)
         self.length = np.ones(n, np.int8)
@@ -67,7 +69,7 @@ class Tables:
             kind = unicodedata.category(c)
             if kind == "Cn":
                 continue
-            if kind in ("Cf", "Cc") or 0xFE00 <= cp <= 0xFE0F or cp in (0x115F, 0x1160, 0x3164, 0xFFA0, 0x2800, 0x034F, 0x17B4, 0x17B5):
+            if kind in ("Cf", "Cc") or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or cp in (0x115F, 0x1160, 0x3164, 0xFFA0, 0x2800, 0x034F, 0x17B4, 0x17B5):
                 if c not in "\t\n\r\v\f\x85\x1c\x1d\x1e\x1f":
                     self.kind[cp], self.length[cp] = UNSEEN, 0
             elif kind == "Zs" and c != " ":

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidex.functions.arrow import slices
-from evidex.functions.codepoints import TABLE_SIZE, gather, row_of, to_codepoints
+from evidex.functions.codepoints import gather, row_of, to_codepoints
 
 #: Letters and digits of the shortest passage, and of a seed.
 PASSAGE, SEED = 50, 20
@@ -29,6 +29,8 @@ PASSAGE, SEED = 50, 20
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
 #: Cells of the windows that are aligned together.
 ALIGNED = 24_000
+#: No letter or digit has a code point from here on: only tags, selectors and private use.
+LETTERS_END = 0x40000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 
@@ -36,8 +38,8 @@ _BITS = 22
 @cache
 def _fold() -> np.ndarray:
     """Lower-case, half-width form of each letter and digit; 0 for everything else."""
-    table = np.zeros(TABLE_SIZE, np.uint32)
-    for cp in range(TABLE_SIZE):
+    table = np.zeros(LETTERS_END, np.uint32)
+    for cp in range(LETTERS_END):
         if 0xD800 <= cp <= 0xDFFF:
             continue
         c = chr(cp)
@@ -52,7 +54,7 @@ def _fold() -> np.ndarray:
 def bare(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Folded letters and digits of each row, and their offsets."""
     cps, offsets = to_codepoints(column)
-    folded = gather(_fold(), cps)
+    folded = gather(_fold(), cps, 0)
     keep = folded > 0
     kept = np.zeros(len(cps) + 1, np.int64)
     np.cumsum(keep, out=kept[1:])

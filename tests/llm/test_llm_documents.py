@@ -111,6 +111,18 @@ def test_edited_copies(spark):
     assert all(0.9 < scores[i, i] < 1 for i in items) and all(scores[100 + i, i] == 1 for i in range(20, 40))
 
 
+def test_bare_upper_planes():
+    import sys
+    import unicodedata
+
+    import pyarrow as pa
+
+    unseen = "\U000e0001\U000e0041\U000e0100\U000e01ef\U000f0000\U0010fffd"
+    flat, offsets = bare(pa.array([f"A{unseen}b\U00030000", unseen]))
+    assert flat.tolist() == [97, 98, 0x30000] and offsets.tolist() == [0, 3, 3]
+    assert not any(unicodedata.category(chr(c))[0] == "L" or unicodedata.category(chr(c)) == "Nd" for c in range(leakage.LETTERS_END, sys.maxunicode + 1))
+
+
 def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_ITEMS", 2)
     items = spark.createDataFrame([(i, chr(0x4E00 + i) * 80) for i in range(5)], "item_id bigint, text string")

@@ -16,6 +16,12 @@ def one(text):
     return from_codepoints(cps, ends).to_pylist()[0], int(kinds[0])
 
 
+@pytest.mark.parametrize("unseen", ["\U000e0001", "\U000e0020", "\U000e007f", "\U000e0100", "\U000e01ef"])
+def test_unseen_upper_planes(unseen):
+    assert one(f"票{unseen}据") == ("票据", UNSEEN)
+    assert one("\U00020000\U00030000\U000f0000") == ("\U00020000\U00030000\U000f0000", 0)
+
+
 @pytest.mark.parametrize(
     "text, form, kinds",
     [

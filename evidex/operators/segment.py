@@ -1,10 +1,10 @@
 """Several values packed in one field: expectation-maximisation segmentation.
 
 Values have a frequency over the whole column. A text is a lattice whose nodes are the places
-between separators and whose edges are candidate values; quoted spans and members of bracketed
-lists are single edges. Expectation-maximisation learns the frequencies, the Viterbi path of the
+between separators and whose edges are candidate values; quoted spans are single edges, members of
+bracketed lists only where they are quoted. Expectation-maximisation learns the frequencies, the Viterbi path of the
 lattice is the split. A separator inside an unquoted value survives only where the joined value is
-known as one value (from quotes or lists elsewhere in the column) and is likelier than its parts.
+known as one value (from quotes elsewhere in the column) and is likelier than its parts.
 """
 
 from __future__ import annotations

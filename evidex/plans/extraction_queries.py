@@ -9,6 +9,7 @@ from evidex.dictionaries import Study
 from evidex.functions import text as T
 from evidex.functions.register import register
 from evidex.operators import extraction as X
+from evidex.operators import records
 from evidex.plans.core_queries import _NORM_SQL, _TOKENS_SQL, _sql_items, _sql_scalar
 from evidex.plans.pipelines import evaluated
 from evidex.plans.registry import Registry, table
@@ -35,7 +36,7 @@ def outputs(spark, sf_dir):
 
 
 def parsed(spark, sf_dir):
-    return X.parse_outputs(outputs(spark, sf_dir), ["info_id", "row_id", "sample_id", "run", "version"], "raw")
+    return records.parse_outputs(outputs(spark, sf_dir), ["info_id", "row_id", "sample_id", "run", "version"], "raw")
 
 
 _QUOTED = " or ".join(f"contains(coalesce({c}, ''), '{q}')" for c in ("职位名称", "最低薪资", "最高薪资", "薪资周期", "工作地点", "学历要求", "经验要求") for q in "“”")
@@ -64,7 +65,7 @@ def parsed_fields(spark, sf_dir):
 def schema_errors(spark, sf_dir):
     """How often each part of the schema is missing in the events' properties read as records."""
     props = table(spark, sf_dir, "events").select("event_id", "props")
-    p = X.parse_outputs(props, ["event_id"], "props")
+    p = records.parse_outputs(props, ["event_id"], "props")
     return p.select(F.explode("errors").alias("error")).groupBy("error").agg(F.count("*").alias("n"))
 
 
@@ -84,7 +85,7 @@ def sql_functions(spark, sf_dir):
 def pay_text_parts(spark, sf_dir):
     """Low, high and period that record texts state, by the pay pattern of free output."""
     lines = table(spark, sf_dir, "company_jobs_merged").select("row_id", F.concat(F.lit("薪资范围："), F.coalesce("salary", F.lit(""))).alias("t"))
-    p = X.parse_outputs(lines, ["row_id"], "t")
+    p = records.parse_outputs(lines, ["row_id"], "t")
     return p.select("row_id", F.col("最低薪资").alias("low"), F.col("最高薪资").alias("high"), F.col("薪资周期").alias("period"))
 
 

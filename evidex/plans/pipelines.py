@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidex.dictionaries import Study
 from evidex.functions.text import normalize_title
 from evidex.operators import classify as cls
-from evidex.operators import dedupe, extraction, features, scoring
+from evidex.operators import dedupe, extraction, features, records, scoring
 from evidex.session import cut
 
 
@@ -57,7 +57,7 @@ def evaluated(outputs: DataFrame, gold: DataFrame, samples: DataFrame, study: St
 
     The outputs are parsed once, the metrics are lazy.
     """
-    parsed = cut(extraction.parse_outputs(outputs, [*by, key], "raw"))
+    parsed = cut(records.parse_outputs(outputs, [*by, key], "raw"))
     results = extraction.field_results(parsed, gold, [key], by, accepts, study.aliases)
     unit_rows = extraction.units(parsed, [*by, key])
     judged = extraction.verdicts(unit_rows, samples, [key], "input_text", support, study.aliases)

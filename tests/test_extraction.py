@@ -1,27 +1,41 @@
 import json
 
+import pytest
+
 from evidex.dictionaries import LIST_FIELDS, SCALAR_FIELDS
 from evidex.operators import extraction as X
+from evidex.operators import records
 
 GOOD = {"职位名称": "分析师", "薪资范围": {"最低薪资": "10K", "最高薪资": "15K", "薪资周期": "月"}, "工作地点": "上海", "技能要求": {"硬技能": ["SQL", "sql", "Excel"], "软技能": []}, "学历要求": "本科", "经验要求": None, "AI相关技术栈要求": ["RAG"]}
 
 
-def test_ladder():
+@pytest.fixture
+def parse(spark):
+    """The record of one raw text."""
+
+    def one(raw):
+        rows = records.parse_outputs(spark.createDataFrame([(0, raw)], "k int, raw string"), ["k"], "raw").collect()
+        return rows[0].asDict()
+
+    return one
+
+
+def test_ladder(parse):
     plain = json.dumps(GOOD, ensure_ascii=False)
-    strict = X.parse_record(plain)
+    strict = parse(plain)
     assert strict["level"] == "strict" and strict["schema_ok"] and strict["硬技能"] == ["SQL", "Excel"]
-    fenced = X.parse_record("```json\n" + plain[:-1] + ",}\n```")
+    fenced = parse("```json\n" + plain[:-1] + ",}\n```")
     assert fenced["level"] == "repaired" and {k: fenced[k] for k in SCALAR_FIELDS} == {k: strict[k] for k in SCALAR_FIELDS}
-    assert X.parse_record("说明：" + plain.replace('"', "“", 1).replace('"', "”", 1))["level"] == "repaired"
-    loose = X.parse_record('{"薪资": "15000-30000元/月", "技能": {"硬技能": "Java、SQL"}, "学历": "无"}')
+    assert parse("说明：" + plain.replace('"', "“", 1).replace('"', "”", 1))["level"] == "repaired"
+    loose = parse('{"薪资": "15000-30000元/月", "技能": {"硬技能": "Java、SQL"}, "学历": "无"}')
     assert (loose["最低薪资"], loose["最高薪资"], loose["薪资周期"], loose["硬技能"], loose["学历要求"], loose["schema_ok"]) == ("15000元", "30000元", "月", ["Java", "SQL"], None, False)
-    assert X.parse_record("[1]")["errors"] == ["not an object"]
-    null = X.parse_record("null")
+    assert parse("[1]")["errors"] == ["not an object"]
+    null = parse("null")
     assert (null["level"], null["json_level"]) == ("text", "strict")
-    text = X.parse_record("1. **职位名称**：会计\n| 工作地点 | 北京 |\n- 硬技能: SQL、Excel\n职位名称：第二个\n薪资：10-15K·13薪")
+    text = parse("1. **职位名称**：会计\n| 工作地点 | 北京 |\n- 硬技能: SQL、Excel\n职位名称：第二个\n薪资：10-15K·13薪")
     assert (text["level"], text["职位名称"], text["工作地点"], text["硬技能"], text["最低薪资"], text["薪资周期"]) == ("text", "会计", "北京", ["SQL", "Excel"], "10K", "13薪")
     for raw in (None, "", "{", "```", "a" * 100_000):
-        assert X.parse_record(raw)["level"] == "text"
+        assert parse(raw)["level"] == "text"
 
 
 def test_parsed_fields_versions(spark, rows, tmp_path):
@@ -38,8 +52,8 @@ def test_parsed_fields_versions(spark, rows, tmp_path):
 
 def test_evaluation(spark, rows):
     raw = [("v1", "s1", json.dumps(GOOD)), ("v1", "s2", "职位名称：会计"), ("v2", "s1", json.dumps(GOOD | {"学历要求": "硕士"})), ("v2", "s2", "")]
-    parsed = X.parse_outputs(spark.createDataFrame(raw, "version string, sid string, raw string"), ["version", "sid"], "raw")
-    gold = X.parse_outputs(spark.createDataFrame([("s1", json.dumps(GOOD)), ("s2", "职位名称：财务会计")], "sid string, raw string"), ["sid"], "raw")
+    parsed = records.parse_outputs(spark.createDataFrame(raw, "version string, sid string, raw string"), ["version", "sid"], "raw")
+    gold = records.parse_outputs(spark.createDataFrame([("s1", json.dumps(GOOD)), ("s2", "职位名称：财务会计")], "sid string, raw string"), ["sid"], "raw")
     accepts = spark.createDataFrame([("s2", "职位名称", ["会计"])], "sid string, field string, accepts array<string>")
     results = X.field_results(parsed, gold, ["sid"], ["version"], accepts)
     bad = rows(results.where("not ok").select("version", "sid", "field"))
@@ -61,5 +75,5 @@ def test_evaluation(spark, rows):
 
 def test_empty(spark):
     none = spark.createDataFrame([], "k string, raw string")
-    parsed = X.parse_outputs(none, ["k"], "raw")
+    parsed = records.parse_outputs(none, ["k"], "raw")
     assert parsed.count() == 0 and X.units(parsed, ["k"]).count() == 0 and X.level_counts(parsed, ["k"]).count() == 0

@@ -166,25 +166,13 @@ def split_list(text: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def _compatibility(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
-
-
-# Full-width forms and the wide space, and the plain characters that they stand for.
-_WIDE = "".join(map(chr, [*range(0xFF01, 0xFF5F), 0x3000]))
-_NARROW = "".join(map(chr, [*range(0x21, 0x7F), 0x20]))
-#: A character beyond those that are known to be their own compatibility form.
-_UNSURE = r"[^\x{0}-\x{7f}\x{3001}-\x{3003}\x{3005}-\x{3029}\x{4e00}-\x{9fff}“”‘’—–]"
+def nfkc(text: pd.Series) -> pd.Series:
+    """Compatibility form of Unicode; null for null. Spark has no function for it.
 
-
-def nfkc(text: Column) -> Column:
-    """Compatibility form of Unicode; null for null.
-
-    Spark has no function for it: full-width forms are mapped natively, and only texts with other
-    characters that may change go through Python.
+    A native test for texts that can't change was tried: working the argument out twice cost more
+    than the call saves (field_accuracy 5.3 s without, 8.7 s with it at sf0.1).
     """
-    narrow = F.translate(text, _WIDE, _NARROW)
-    return F.coalesce(_compatibility(F.when(narrow.rlike(_UNSURE), narrow)), narrow)
+    return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
 # Characters and particles that don't count when values are compared.

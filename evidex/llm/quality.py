@@ -45,6 +45,8 @@ LEAST_WORDS, LEAST_FUNCTION = 6, 0.06
 #: Components for each kind, and the most labelled documents that give them their start.
 COMPONENTS = {"prose": 20, "list": 20, "table": 16, "junk": 20}
 MOST_LABELS = 12_000
+#: Rows whose terms are worked out at a time.
+BLOCK = 2048
 
 
 class Classes:
@@ -68,9 +70,14 @@ class Classes:
             t["symbol"][cp] = kind[0] in "SP" and c not in _SENTENCE + _COMMA + ".()（）“”\"'’-：:"
         for name, chars in (("sentence", _SENTENCE), ("comma", _COMMA), ("field", _FIELD), ("closer", _CLOSERS), ("function", FUNCTION_LETTERS), ("markup", "<>&{}=/\\_#"), ("bullet", "-*•·●▪◦○■□◆+–—>")):
             t[name][[ord(c) for c in chars]] = True
-        # All classes of a code point in one number, so that one look-up serves for all of them.
-        self.bit = {name: np.uint32(1 << i) for i, name in enumerate(names)}
-        self.bits = sum((t[name].astype(np.uint32) << i) for i, name in enumerate(names)).astype(np.uint32)
+        # All classes of a code point in one number, so that one look-up serves for all of them; code points
+        # with the same classes make one sort, and counts of sorts give the counts of all classes at once.
+        self.names = names
+        self.bit = {name: np.uint16(1 << i) for i, name in enumerate(names)}
+        self.bits = sum((t[name].astype(np.uint16) << i) for i, name in enumerate(names)).astype(np.uint16)
+        sorts, self.sort = np.unique(np.concatenate((self.bits, [np.uint16(0)])), return_inverse=True)
+        self.sort = self.sort[:-1].astype(np.uint8 if len(sorts) <= 256 else np.uint16)
+        self.members = ((sorts[:, None] >> np.arange(len(names), dtype=np.uint16)) & 1).astype(float)
         self.fold = np.array([cp if 0xD800 <= cp <= 0xDFFF or len(chr(cp).lower()) != 1 else ord(chr(cp).lower()) for cp in range(n)], np.uint32)
         self.stop = np.sort(_word_hashes([w for w in COMMON_WORDS]))
 
@@ -110,10 +117,14 @@ def trigrams(cps: np.ndarray, rows: np.ndarray, bits: np.ndarray | None = None,
     if len(cps) < 3:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     letter = ((gather(c.bits, cps, 1) if bits is None else bits) & c.bit["letter"]) > 0
-    at = np.flatnonzero(letter[:-2] & letter[1:-1] & letter[2:] & (rows[:-2] == rows[2:]))
+    at = np.flatnonzero(letter[:-2] & letter[1:-1] & letter[2:])
+    at = at[rows[at] == rows[at + 2]]
     f = (gather(c.fold, cps) if folded is None else folded).astype(np.uint64)
     with np.errstate(over="ignore"):
-        h = _scatter(f[at] * np.uint64(0x1F1F1F1F1) + f[at + 1] * np.uint64(0x3D3D3D3) + f[at + 2] * np.uint64(0x10001))
+        h = f[:-2] * np.uint64(0x1F1F1F1F1)
+        h += f[1:-1] * np.uint64(0x3D3D3D3)
+        h += f[2:] * np.uint64(0x10001)
+        h = _scatter(h[at])
     return at, (h >> np.uint64(44)).astype(np.int64)
 
 
@@ -146,36 +157,51 @@ def statistics(column: pa.Array, model: np.ndarray) -> np.ndarray:
     if not len(cps):
         return out
     rows = row_of(offsets)
-    bits = gather(c.bits, cps, 0)
-    folded = gather(c.fold, cps)
-    has = {name: (bits & bit) > 0 for name, bit in c.bit.items()}
-    total = np.maximum(np.diff(offsets), 1).astype(float)
-
-    def per(mask: np.ndarray) -> np.ndarray:
-        return sum_by_row(mask, offsets).astype(float)
+    # The places of code points in the tables; those beyond them are in no class and fold to themselves.
+    inside = cps < TABLE_SIZE
+    if inside.all():
+        places = cps.astype(np.intp)
+        bits, folded, sort = c.bits[places], c.fold[places], c.sort[places]
+    else:
+        places = np.where(inside, cps, 0).astype(np.intp)
+        bits, folded, sort = np.where(inside, c.bits[places], 0).astype(np.uint16), np.where(inside, c.fold[places], cps), np.where(inside, c.sort[places], 0).astype(c.sort.dtype)
+    has = {name: (bits & c.bit[name]) != 0 for name in ("letter", "han", "digit", "space", "upper", "lower", "sentence", "field", "closer", "function")}
+    sizes_of = np.diff(offsets)
+    total = np.maximum(sizes_of, 1).astype(float)
+    kinds = len(c.members)
+    counted = np.bincount(np.repeat(np.arange(n, dtype=np.intp) * kinds, sizes_of) + sort, minlength=n * kinds).reshape(n, kinds) @ c.members
+    count = dict(zip(c.names, counted.T))
+    # Whether a code point and the one after it are of one row.
+    joined = np.ones(len(cps) - 1, bool)
+    borders = offsets[1:-1]
+    joined[borders[(borders > 0) & (borders < len(cps))] - 1] = False
+
+    def per(places: np.ndarray) -> np.ndarray:
+        """How many of the places each row has."""
+        return np.bincount(rows[places], minlength=n).astype(float)
 
     def put(name: str, values: np.ndarray) -> None:
         out[:, STATISTICS.index(name)] = values
 
-    letters = np.maximum(per(has["letter"]), 1)
-    visible = np.maximum(per(~has["space"]), 1)
+    letters = np.maximum(count["letter"], 1)
+    visible = np.maximum(sizes_of - count["space"], 1)
     # Words: runs of letters and digits that aren't Han; a Han character is half a word.
-    inner = (has["letter"] | has["digit"] | (cps == 39)) & ~has["han"]
+    inner = ((bits & (c.bit["letter"] | c.bit["digit"])) != 0) | (cps == 39)
+    inner &= ~has["han"]
     first = inner.copy()
-    first[1:] &= ~(inner[:-1] & (rows[1:] == rows[:-1]))
+    first[1:] &= ~(inner[:-1] & joined)
     starts = np.flatnonzero(first)
     words, plain = np.zeros(n), np.zeros(n)
-    common = np.zeros(len(cps))
+    common = np.zeros(len(cps), np.float32)
     longest, word_letters = np.zeros(n), np.zeros(n)
     if len(starts):
-        word = np.cumsum(first) - 1
         idx = np.flatnonzero(inner)
-        wid = word[idx]
-        sizes = np.bincount(wid, minlength=len(starts))
-        place = np.minimum(idx - starts[wid], 4095)
+        begins = np.flatnonzero(first[idx])
+        sizes = np.diff(np.concatenate((begins, [len(idx)])))
+        place = np.minimum(idx - np.repeat(starts, sizes), 4095)
         with np.errstate(over="ignore"):
             values = _scatter(folded[idx].astype(np.uint64)) * _powers()[place]
-            hashes = np.add.reduceat(values, np.concatenate(([0], np.cumsum(sizes)[:-1])))
+            hashes = np.add.reduceat(values, begins)
         at = np.minimum(np.searchsorted(c.stop, hashes), len(c.stop) - 1)
         row = rows[starts]
         common[starts] = c.stop[at] == hashes
@@ -183,82 +209,96 @@ def statistics(column: pa.Array, model: np.ndarray) -> np.ndarray:
         word_letters = np.bincount(row, sizes, n)
         own = np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1))
         longest[row[own]] = np.maximum.reduceat(sizes, own)
-    han = per(has["han"])
+    han = count["han"]
     put("word_count", words + han / 2)
     put("mean_word_length", np.log1p(word_letters / np.maximum(words, 1)))
     put("longest_word", np.log1p(longest))
     put("common_words", plain / np.maximum(words, 3))
-    put("function_letters", per(has["function"]) / np.maximum(han, 8))
+    put("function_letters", count["function"] / np.maximum(han, 8))
     put("han_ratio", han / letters)
-    put("symbol_ratio", np.sqrt(per(has["symbol"]) / visible))
-    put("digit_ratio", np.sqrt(per(has["digit"]) / visible))
-    put("space_ratio", np.sqrt(per(has["space"]) / total))
-    put("comma_ratio", np.sqrt(per(has["comma"]) / visible))
-    put("markup_ratio", np.sqrt(per(has["markup"]) / visible))
-    put("strange_ratio", np.sqrt(per(has["strange"]) / visible))
-    put("closing_marks", np.sqrt(per(has["closer"]) / visible))
+    put("symbol_ratio", np.sqrt(count["symbol"] / visible))
+    put("digit_ratio", np.sqrt(count["digit"] / visible))
+    put("space_ratio", np.sqrt(count["space"] / total))
+    put("comma_ratio", np.sqrt(count["comma"] / visible))
+    put("markup_ratio", np.sqrt(count["markup"] / visible))
+    put("strange_ratio", np.sqrt(count["strange"] / visible))
+    put("closing_marks", np.sqrt(count["closer"] / visible))
     # Sentence ends: their marks, and points after a letter before a space, a closer or the end.
-    after_space = np.ones(len(cps), bool)
-    after_space[:-1] = (rows[1:] != rows[:-1]) | has["space"][1:] | has["closer"][1:]
-    before_letter = np.zeros(len(cps), bool)
-    before_letter[1:] = (has["lower"][:-1] | has["closer"][:-1]) & (rows[1:] == rows[:-1])
-    point = (cps == 46) & after_space & before_letter
-    ends = has["sentence"] | point
-    put("sentence_ratio", np.sqrt(per(ends) / visible))
-    turns = np.zeros(len(cps), bool)
-    turns[1:] = (rows[1:] == rows[:-1]) & (has["lower"][:-1] & has["upper"][1:] | has["letter"][:-1] & has["digit"][1:] & ~has["han"][:-1])
-    put("case_turns", np.sqrt(per(turns) / visible))
-    gap = np.zeros(len(cps), bool)
-    gap[2:] = (cps[2:] != 32) & (cps[1:-1] == 32) & (cps[:-2] == 32) & (rows[2:] == rows[:-2])
+    point = np.flatnonzero(cps == 46)
+    point = point[point > 0]
+    point = point[joined[point - 1] & ((bits[point - 1] & (c.bit["lower"] | c.bit["closer"])) != 0)]
+    after = np.minimum(point + 1, len(cps) - 1)
+    point = point[(after == point) | ~joined[np.minimum(point, len(joined) - 1)] | ((bits[after] & (c.bit["space"] | c.bit["closer"])) != 0)]
+    ends = has["sentence"].copy()
+    ends[point] = True
+    put("sentence_ratio", np.sqrt(per(np.flatnonzero(ends)) / visible))
+    turn = np.flatnonzero(joined & (has["lower"][:-1] & has["upper"][1:] | has["letter"][:-1] & has["digit"][1:] & ~has["han"][:-1]))
+    put("case_turns", np.sqrt(per(turn) / visible))
+    # Wide gaps end where a character follows two spaces.
+    spaces = np.flatnonzero(cps == 32)
+    twice = spaces[:-1][np.diff(spaces) == 1] + 2
+    twice = twice[twice < len(cps)]
+    gaps = twice[(cps[twice] != 32) & (rows[twice] == rows[twice - 2])]
     # Lines: numbered over the batch; blank ones left out.
     newline = (cps == 10) | (cps == 13)
     # Running text: the share of characters in stretches, up to the next sentence end or line end, that
     # have words enough and the function words that running text has.
-    cut_after = ends | newline
-    piece = np.concatenate(([True], cut_after[:-1] | (rows[1:] != rows[:-1])))
-    edge = np.flatnonzero(piece)
-    size = np.add.reduceat(has["han"] + first.astype(float), edge)
-    marks_of = np.add.reduceat(has["function"] + 0.4 * common, edge)
-    seen = np.add.reduceat(~has["space"], edge)
+    piece = ends | newline
+    piece[:-1] |= ~joined
+    edge = np.concatenate(([0], np.flatnonzero(piece[:-1]) + 1))
+    size = np.add.reduceat((has["han"] | first).view(np.uint8), edge, dtype=np.int64)
+    marks_of = np.add.reduceat(has["function"] + np.float32(0.4) * common, edge, dtype=np.float64)
+    seen = np.add.reduceat((~has["space"]).view(np.uint8), edge, dtype=np.int64)
     running = (size >= LEAST_WORDS) & (marks_of >= LEAST_FUNCTION * size)
     put("running_text", np.bincount(rows[edge], seen * running, n) / visible)
-    line_no = np.cumsum(newline) + rows
-    body = np.flatnonzero(~newline)
-    if len(body):
-        new = np.concatenate(([True], line_no[body][1:] != line_no[body][:-1]))
-        lid = np.cumsum(new) - 1
-        k = int(lid[-1]) + 1
-        start = body[new]
-        last = body[np.concatenate((new[1:], [True]))]
-        length = np.bincount(lid, ~has["space"][body], k)
-        full = length > 0
+    begins_line = ~newline
+    begins_line[1:] &= newline[:-1] | ~joined
+    start = np.flatnonzero(begins_line)
+    if len(start):
+        # A line reaches to the next one's start; the line ends in between count for nothing.
+        k = len(start)
         row = rows[start]
+        last = start + np.add.reduceat((~newline).view(np.uint8), start, dtype=np.int64) - 1
+        length = np.add.reduceat((~has["space"]).view(np.uint8), start, dtype=np.int64)
+        full = length > 0
         lines = np.maximum(np.bincount(row[full], minlength=n), 1).astype(float)
         chars = np.bincount(row[full], length[full], n)
         mean = chars / lines
         put("line_length", np.log1p(mean))
-        put("line_spread", np.sqrt(np.maximum(np.bincount(row[full], length[full] ** 2, n) / lines - mean**2, 0)) / np.maximum(mean, 1))
+        put("line_spread", np.sqrt(np.maximum(np.bincount(row[full], length[full].astype(float) ** 2, n) / lines - mean**2, 0)) / np.maximum(mean, 1))
         # The last character of a line that isn't a space or a closer, and the first that isn't a space.
-        begin = np.flatnonzero(new)
-        solid = ~has["space"][body] & ~has["closer"][body]
-        tail = np.maximum.reduceat(np.where(solid, body, -1), begin)
-        head = np.minimum.reduceat(np.where(has["space"][body], len(cps) - 1, body), begin)
-        closed = ends[np.maximum(tail, 0)] & (tail >= 0)
+        solid = np.flatnonzero((bits & (c.bit["space"] | c.bit["closer"])) == 0)
+        at = np.searchsorted(solid, last, side="right") - 1
+        tail = solid[np.maximum(at, 0)] if len(solid) else np.zeros(k, np.int64)
+        there = (at >= 0) & (tail >= start)
+        seen = np.flatnonzero(~has["space"])
+        at = np.searchsorted(seen, start)
+        head = seen[np.minimum(at, len(seen) - 1)] if len(seen) else np.full(k, len(cps) - 1)
+        head = np.where((at < len(seen)) & (head <= last), head, len(cps) - 1)
+        closed = ends[tail] & there
         put("closed_lines", np.bincount(row, closed, n) / lines)
         nxt, nxt2, nxt3 = (np.minimum(head + d, last) for d in (1, 2, 3))
-        mark = (cps == 46) | (cps == 0x3001) | (cps == 41) | (cps == 0xFF09) | (cps == 0xFF0E)
-        numbered = (has["digit"][head] | ((cps[head] >= 97) & (cps[head] <= 122))) & mark[nxt] | has["digit"][head] & has["digit"][nxt] & mark[nxt2]
-        bracket = ((cps[head] == 40) | (cps[head] == 0xFF08) | (cps[head] == 91)) & (mark[nxt2] | mark[nxt3])
-        marked = (has["bullet"][head] & has["space"][nxt] | numbered | bracket) & full
-        put("marked_lines", np.bincount(row, marked & ~closed, n) / lines)
-        fields = np.bincount(lid, has["field"][body], k) + np.bincount(lid, gap[body], k)
+
+        def mark(places: np.ndarray) -> np.ndarray:
+            x = cps[places]
+            return (x == 46) | (x == 0x3001) | (x == 41) | (x == 0xFF09) | (x == 0xFF0E)
+
+        numbered = (has["digit"][head] | ((cps[head] >= 97) & (cps[head] <= 122))) & mark(nxt) | has["digit"][head] & has["digit"][nxt] & mark(nxt2)
+        bracket = ((cps[head] == 40) | (cps[head] == 0xFF08) | (cps[head] == 91)) & (mark(nxt2) | mark(nxt3))
+        marked = ((bits[head] & c.bit["bullet"]) != 0) & has["space"][nxt] | numbered | bracket
+        put("marked_lines", np.bincount(row, marked & full & ~closed, n) / lines)
+        wide = np.bincount(np.searchsorted(start, gaps[~newline[gaps]], side="right") - 1, minlength=k)
+        fields = np.add.reduceat(has["field"].view(np.uint8), start, dtype=np.int64) + wide
         per_line = np.bincount(row[full], fields[full], n) / lines
         put("fields_per_line", np.log1p(per_line))
-        put("field_spread", np.sqrt(np.maximum(np.bincount(row[full], fields[full] ** 2, n) / lines - per_line**2, 0)) / (per_line + 1))
-        put("wide_gaps", np.sqrt(np.bincount(row[full], np.bincount(lid, gap[body], k)[full], n) / lines))
-        place = np.minimum(body - start[lid], 4095)
+        put("field_spread", np.sqrt(np.maximum(np.bincount(row[full], fields[full].astype(float) ** 2, n) / lines - per_line**2, 0)) / (per_line + 1))
+        put("wide_gaps", np.sqrt(np.bincount(row[full], wide[full], n) / lines))
+        span = np.diff(np.concatenate((start, [len(cps)])))
+        place = np.minimum(np.arange(start[0], len(cps)) - np.repeat(start, span), 4095)
         with np.errstate(over="ignore"):
-            line_hash = np.add.reduceat(_scatter(cps[body].astype(np.uint64)) * _powers()[place], begin)
+            values = _scatter(cps[start[0] :].astype(np.uint64)) * _powers()[place]
+            values[newline[start[0] :]] = 0
+            line_hash = np.add.reduceat(values, start - start[0])
             key = (line_hash[full] >> np.uint64(24)) ^ (row[full].astype(np.uint64) << np.uint64(40))
         once, index = np.unique(key, return_index=True)
         different = np.bincount(row[full][index], minlength=n)
@@ -290,22 +330,54 @@ def document_statistics(df: DataFrame, doc_id: str, text: str, keep_blank: bool
     return rows.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
+@cache
+def _pairs(d: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(d)
+
+
+def _terms(x: np.ndarray) -> np.ndarray:
+    """1, the features and their products of each row, as columns: what densities and sufficient statistics are linear in."""
+    n, d = x.shape
+    out = np.empty((1 + d + d * (d + 1) // 2, n))
+    out[0] = 1
+    own = out[1 : 1 + d]
+    own[:] = x.T
+    at = 1 + d
+    for i in range(d):
+        np.multiply(own[i], own[i:], out=out[at : at + d - i])
+        at += d - i
+    return out
+
+
 class Mixture:
-    """Gaussian mixture with full covariances that lean on a small common one."""
+    """Gaussian mixture with full covariances that lean on a small common one.
+
+    The logarithm of a component's density is linear in the terms of a row, so one product of matrices
+    gives all of them, and another one all sufficient statistics.
+    """
 
     def __init__(self, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> None:
         self.weights, self.means, self.covariances = weights, means, covariances
-        self.roots = np.stack([np.linalg.inv(np.linalg.cholesky(s)) for s in covariances])
-        self.logs = np.log(np.maximum(weights, 1e-300)) + np.array([np.log(np.diag(r)).sum() for r in self.roots])
+        d = means.shape[1]
+        i, j = _pairs(d)
+        precisions = np.linalg.inv(covariances)
+        pulls = np.einsum("kij,kj->ki", precisions, means)
+        logs = np.log(np.maximum(weights, 1e-300)) - 0.5 * np.linalg.slogdet(covariances)[1] - 0.5 * np.einsum("ki,ki->k", pulls, means)
+        self.table = np.concatenate((logs[:, None], pulls, precisions[:, i, j] * np.where(i == j, -0.5, -1.0)), 1)
+
+    def of_terms(self, terms: np.ndarray) -> np.ndarray:
+        """Responsibilities of the components, one row each, for the rows of the terms."""
+        log = self.table @ terms
+        log -= log.max(0)
+        np.exp(log, out=log)
+        log /= log.sum(0)
+        return log
 
     def responsibilities(self, x: np.ndarray) -> np.ndarray:
-        log = np.empty((len(x), len(self.means)))
-        for k, (mean, root) in enumerate(zip(self.means, self.roots)):
-            z = (x - mean) @ root.T
-            log[:, k] = self.logs[k] - 0.5 * np.einsum("ij,ij->i", z, z)
-        log -= log.max(1, keepdims=True)
-        np.exp(log, out=log)
-        return log / log.sum(1, keepdims=True)
+        out = np.empty((len(x), len(self.means)))
+        for at in range(0, len(x), BLOCK):
+            out[at : at + BLOCK] = self.of_terms(_terms(x[at : at + BLOCK])).T
+        return out
 
 
 def _m_step(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, prior: float, floor: float) -> Mixture:
@@ -361,6 +433,23 @@ def _add_sums(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["k", "sums"])
 
 
+def _moments(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 + 2 * len(FEATURES))
+    for batch in batches(rows):
+        x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        total += np.concatenate(([x.shape[1]], x.sum(1), (x * x).sum(1)))
+    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["k", "sums"])
+
+
+def _added(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Sums of fixed size by key, added up in the executors."""
+    out: dict[int, np.ndarray] = {}
+    added = parts.repartition("k").mapInArrow(_add_sums, "k int, sums binary").toArrow()
+    for k, data in zip(added.column("k").to_pylist(), added.column("sums").to_pylist()):
+        out[k] = out.get(k, 0) + np.frombuffer(data)
+    return out
+
+
 def fit_mixture(stats: DataFrame, labels: DataFrame, rounds: int = 6, splits: int = 2, prior: float = 6.0, floor: float = 0.15) -> tuple[np.ndarray, np.ndarray, Mixture, np.ndarray]:
     """Centre and scale of the features, the mixture, and the share of each kind in each component.
 
@@ -368,9 +457,11 @@ def fit_mixture(stats: DataFrame, labels: DataFrame, rounds: int = 6, splits: in
     labelled documents, taken by hash; every round of the fit covers all documents, and so do centre
     and scale. A document with several labels counts for each.
     """
-    moments = stats.agg(*[F.avg(c).alias(f"m_{c}") for c in FEATURES], *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES]).first()
-    centre = np.array([moments[f"m_{c}"] or 0.0 for c in FEATURES])
-    scale = np.array([max(moments[f"s_{c}"] or 0.0, 1e-6) for c in FEATURES])
+    d = len(FEATURES)
+    moments = _added(stats.select(*FEATURES).mapInArrow(_moments, "k int, sums binary")).get(0, np.zeros(1 + 2 * d))
+    many = max(moments[0], 1.0)
+    centre = moments[1 : 1 + d] / many
+    scale = np.sqrt(np.maximum(moments[1 + d :] / many - centre**2, 1e-12))
     known = labels.where(F.col("kind").isin(*KINDS)).select("doc_id", "kind")
     sample = known.orderBy(F.xxhash64("doc_id", "kind")).limit(MOST_LABELS)
     seen = stats.join(F.broadcast(sample), "doc_id").select("kind", "doc_id", *FEATURES).orderBy("doc_id", "kind").toArrow()
@@ -388,39 +479,33 @@ def fit_mixture(stats: DataFrame, labels: DataFrame, rounds: int = 6, splits: in
             near = _kmeans(own, min(COMPONENTS[kind], max(1, len(own) // 3)))
             groups += [own[near == j] for j in np.unique(near)]
     mixture = _m_step(np.array([float(len(g)) for g in groups]), np.array([g.sum(0) for g in groups]), np.array([g.T @ g for g in groups]), prior, floor)
-    d = len(FEATURES)
 
     def step(current: Mixture, size: int):
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, s1, s2 = np.zeros(size), np.zeros((size, d)), np.zeros((size, d, d))
+            sums = np.zeros((size, width))
             for batch in batches(rows):
                 z = (np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(d)], 1) - centre) / scale
-                r = current.responsibilities(z)
-                n += r.sum(0)
-                s1 += r.T @ z
-                for k in range(size):
-                    # A document has a part in few components; parts below 1e-9 don't change a sum of squares.
-                    own = np.flatnonzero(r[:, k] > 1e-9)
-                    if len(own):
-                        s2[k] += (z[own] * r[own, k : k + 1]).T @ z[own]
-            sums = np.concatenate((n[:, None], s1, s2.reshape(size, -1)), 1)
+                for at in range(0, len(z), BLOCK):
+                    terms = _terms(z[at : at + BLOCK])
+                    sums += current.of_terms(terms) @ terms.T
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array([x.tobytes() for x in sums], pa.binary())], ["k", "sums"])
 
         return run
 
     inputs = stats.select(*FEATURES)
-    width = 1 + d + d * d
+    upper = _pairs(d)
+    width = 1 + d + len(upper[0])
 
     def refine(current: Mixture, times: int) -> tuple[Mixture, np.ndarray]:
         for _ in range(times):
             size = len(current.means)
             parts = inputs.mapInArrow(step(current, size), "k int, sums binary")
-            # Sums of fixed size: components times moments, added up in the executors.
-            added = parts.repartition("k").mapInArrow(_add_sums, "k int, sums binary").toArrow()
             total = np.zeros((size, width))
-            for k, data in zip(added.column("k").to_pylist(), added.column("sums").to_pylist()):
-                total[k] += np.frombuffer(data)
-            current = _m_step(total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(size, d, d), prior, floor)
+            for k, sums in _added(parts).items():
+                total[k] = sums
+            squares = np.zeros((size, d, d))
+            squares[:, upper[0], upper[1]] = squares[:, upper[1], upper[0]] = total[:, 1 + d :]
+            current = _m_step(total[:, 0], total[:, 1 : 1 + d], squares, prior, floor)
         return current, np.stack([current.responsibilities(x)[kinds == k].sum(0) for k in range(len(KINDS))], 1)
 
     mixture, held = refine(mixture, rounds)

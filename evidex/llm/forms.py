@@ -60,7 +60,11 @@ class Tables:
         self.mark = np.zeros(n, bool)
         self.alike = np.zeros(n, np.uint32)
         self.lone = np.zeros(n, bool)
-        self.expansions: dict[int, str] = {}
+        self.order = np.zeros(n, np.uint8)
+        self.apart = np.ones(n, np.int8)
+        # Where a code point's expansion, or its letter and marks written apart, begin in one flat array.
+        self.begin = np.zeros(n, np.int32)
+        flat: list[int] = []
         pairs: dict[tuple[int, int], int] = {}
         for cp in range(n):
             if 0xD800 <= cp <= 0xDFFF:
@@ -84,8 +88,8 @@ class Tables:
             elif 0x1D400 <= cp <= 0x1D7FF and len(full) == 1:
                 self.kind[cp], self.plain[cp] = WIDE, ord(full)
             elif 0xFB00 <= cp <= 0xFB06:
-                self.kind[cp], self.length[cp] = WIDE, len(full)
-                self.expansions[cp] = full
+                self.kind[cp], self.length[cp], self.begin[cp] = WIDE, len(full), len(flat)
+                flat += map(ord, full)
             if kind[0] == "L":
                 name = unicodedata.name(c, "")
                 word = next((s for s in _SCRIPTS[2:7] if name.startswith(s)), "")
@@ -97,13 +101,27 @@ class Tables:
                     self.script[cp] = 2 if self.kind[cp] & WIDE else 7
                 if self.kind[cp] & WIDE:
                     self.script[cp] = 2
+            self.order[cp] = unicodedata.combining(c)
+            loose = unicodedata.normalize("NFD", c)
+            if len(loose) > 1 and not 0xAC00 <= cp <= 0xD7A3 and self.length[cp] == 1:
+                self.apart[cp], self.begin[cp] = len(loose), len(flat)
+                flat += map(ord, loose)
             parts = unicodedata.decomposition(c).split()
             if len(parts) == 2 and "<" not in parts[0] and unicodedata.normalize("NFC", c) == c:
                 pairs[int(parts[0], 16), int(parts[1], 16)] = cp
         for c, latin in LOOKALIKES.items():
             self.alike[ord(c)] = ord(latin)
             self.lone[ord(c)] = c not in _SMALL_CAPS
-        self.reverse = {s: {ord(v): ord(k) for k, v in LOOKALIKES.items() if self.script[ord(k)] == s} for s in (3, 4)}
+        self.flat = np.array(flat, np.uint32)
+        # For Greek and Cyrillic the letter that a Latin one stands for; itself without any.
+        self.back = {}
+        for s in (3, 4):
+            self.back[s] = np.arange(128, dtype=np.uint32)
+            for k, v in LOOKALIKES.items():
+                if self.script[ord(k)] == s:
+                    self.back[s][ord(v)] = ord(k)
+        # Letters that may be composed with one before them although they are no marks.
+        self.seconds = np.unique(np.array([b for _, b in pairs if unicodedata.combining(chr(b)) == 0], np.uint32))
         keys = np.array([a << 21 | b for a, b in pairs], np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_to = keys[order], np.array(list(pairs.values()), np.uint32)[order]
@@ -156,7 +174,15 @@ def _mixed_words(cps: np.ndarray, rows: np.ndarray, script: np.ndarray) -> tuple
     leans[ok] |= han[before[ok]] & (r[before[ok]] == r[pos[first][ok]])
     ok = after < len(core)
     leans[ok] |= han[after[ok]] & (r[after[ok]] == r[pos[last][ok]])
-    single = (np.bincount(wid, minlength=n) <= 3) & all_alike & leans & ~several
+    short = (np.bincount(wid, minlength=n) <= 3) & all_alike & ~several
+    # Or one that a single space parts from a Latin word, in a text without any letter that only its script has.
+    telling = np.zeros(int(rows[-1]) + 1, bool)
+    telling[r[pos[foreign & ~lone]]] = True
+    near = np.zeros(n, bool)
+    for gap, other, ok in ((pos[first] - 1, pos[first] - 2, pos[first] >= 2), (pos[last] + 1, pos[last] + 2, pos[last] + 2 < len(core))):
+        at = np.flatnonzero(ok)
+        near[at] |= (cps[core[gap[at]]] == 32) & (script[core[other[at]]] == 2) & (r[other[at]] == r[pos[first][at]])
+    single = short & (leans | near & ~telling[r[pos[first]]])
     # Which script owns a mixed word: Latin where every foreign letter looks Latin, else the commonest.
     strange = np.bincount(wid, foreign & (alike == 0), n) > 0
     own = np.where(strange, count.argmax(0) + 2, 2)
@@ -167,14 +193,101 @@ def _mixed_words(cps: np.ndarray, rows: np.ndarray, script: np.ndarray) -> tuple
     hit[idx[to_latin]] = True
     for k in (3, 4):
         away = bad[wid] & (own[wid] == k) & (s != k)
-        for i in idx[away]:
-            out[i] = t.reverse[k].get(int(cps[i]), int(cps[i]))
+        out[idx[away]] = gather(t.back[k], cps[idx[away]])
         hit[idx[away]] = True
     for k in (5, 6, 7):
         hit[idx[bad[wid] & (own[wid] == k) & (s != k)]] = True
     return hit, out
 
 
+def _expand(cps: np.ndarray, single: np.ndarray, length: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points with their forms of any length in place, those of length 1 taken from single, and their rows."""
+    t = tables()
+    source = np.repeat(np.arange(len(cps)), length)
+    out = single[source]
+    several = np.flatnonzero(length[source] > 1)
+    begin = np.cumsum(length) - length
+    out[several] = t.flat[gather(t.begin, cps[source[several]], 0) + several - begin[source[several]]]
+    return out, rows[source]
+
+
+def _compose(cps: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters and their marks in composed canonical form, the rows of what is left, and the rows where something was composed.
+
+    Marks are put in canonical order by a stable sort within their letter's run; then the k-th marks of
+    all runs are composed together, where no mark of the same class stands between. Letters that are no
+    marks, Hangul ones too, compose with the letter right before them.
+    """
+    t = tables()
+    changed: list[np.ndarray] = [np.empty(0, np.int64)]
+    order = gather(t.order, cps, 0) if len(cps) else np.empty(0, np.uint8)
+    if (order > 0).any():
+        # Letters that carry marks are taken apart first, so that all their marks can be put in order.
+        starter = np.flatnonzero(order == 0)
+        run = np.cumsum(order == 0) - 1
+        marked = np.zeros(len(starter), bool)
+        carried = run[order > 0]
+        marked[carried[carried >= 0]] = True
+        touched = (run >= 0) & marked[np.maximum(run, 0)] if len(starter) else np.zeros(len(cps), bool)
+        # A run that reaches over a row's end is none of the letter before it.
+        if len(starter):
+            touched &= rows == rows[starter[np.maximum(run, 0)]]
+        length = np.where(touched, gather(t.apart, cps, 1), 1).astype(np.int64)
+        if (length != 1).any():
+            cps, rows = _expand(cps, cps, length, rows)
+            order = gather(t.order, cps, 0)
+        begins = (order == 0) | np.concatenate(([True], rows[1:] != rows[:-1]))
+        run = np.cumsum(begins) - 1
+        by = np.lexsort((order, run))
+        cps, order = cps[by], order[by]
+        start = np.flatnonzero(begins)
+        size = np.diff(np.concatenate((start, [len(cps)])))
+        live = np.flatnonzero((size > 1) & (order[start] == 0))
+        cps, keep = cps.copy(), np.ones(len(cps), bool)
+        blocked = np.zeros(len(start), np.int16)
+        k = 1
+        while len(live):
+            at = start[live] + k
+            made = t.compose(cps[start[live]], cps[at])
+            fits = (made > 0) & (blocked[live] < order[at])
+            cps[start[live[fits]]] = made[fits]
+            keep[at[fits]] = False
+            changed.append(rows[at[fits]])
+            blocked[live[~fits]] = order[at[~fits]]
+            k += 1
+            live = live[size[live] > k]
+        cps, rows = cps[keep], rows[keep]
+    # Hangul: a leading consonant and a vowel, then a syllable without a tail and a tail.
+    for low, high, nxt, most in ((0x1100, 0x1113, 0x1161, 21), (0xAC00, 0xD7A4, 0x11A8, 27)):
+        first = np.flatnonzero((cps[:-1] >= low) & (cps[:-1] < high) & (cps[1:] >= nxt) & (cps[1:] < nxt + most) & (rows[1:] == rows[:-1])) if len(cps) > 1 else np.empty(0, np.int64)
+        if low == 0xAC00:
+            first = first[(cps[first] - 0xAC00) % 28 == 0]
+        if len(first):
+            cps = cps.copy()
+            a, b = cps[first].astype(np.int64), cps[first + 1].astype(np.int64)
+            cps[first] = a + b - 0x11A7 if low == 0xAC00 else 0xAC00 + ((a - 0x1100) * 21 + b - 0x1161) * 28
+            changed.append(rows[first])
+            keep = np.ones(len(cps), bool)
+            keep[first + 1] = False
+            cps, rows = cps[keep], rows[keep]
+    while len(cps) > 1:
+        second = np.flatnonzero(np.isin(cps[1:], t.seconds) & (rows[1:] == rows[:-1])) + 1
+        made = t.compose(cps[second - 1], cps[second])
+        second, made = second[made > 0], made[made > 0]
+        # Of pairs that share a letter only the first composes in one pass.
+        alone = np.concatenate((np.ones(min(len(second), 1), bool), np.diff(second) > 1))
+        second, made = second[alone], made[alone]
+        if not len(second):
+            break
+        cps = cps.copy()
+        cps[second - 1] = made
+        changed.append(rows[second])
+        keep = np.ones(len(cps), bool)
+        keep[second] = False
+        cps, rows = cps[keep], rows[keep]
+    return cps, rows, np.unique(np.concatenate(changed))
+
+
 def normalize(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points in one form, their offsets, and for each row the bits of the kinds that were found."""
     t = tables()
@@ -186,16 +299,10 @@ def normalize(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     length = gather(t.length, cps, 1).astype(np.int64)
     # Expansion offsets: where each code point's form goes.
     if (length != 1).any():
-        ends = np.cumsum(length)
-        target = np.repeat(np.arange(len(cps)), length)
-        flat, at = out[target], ends - length
-        for cp, text in t.expansions.items():
-            for i in np.flatnonzero(cps == cp):
-                flat[at[i] : at[i] + len(text)] = [ord(x) for x in text]
-        out, out_rows, source = flat, rows[target], target
+        out, out_rows = _expand(cps, out, length, rows)
     else:
-        out, out_rows, source = out, rows, np.arange(len(cps))
-    # Marks written apart: accents with a space of their own, then pairs, until nothing composes.
+        out_rows = rows
+    # Accents with a space of their own stand after the letter that they belong to.
     for accent, mark in t.accents.items():
         spot = np.flatnonzero(out == accent)
         spot = spot[spot > 0]
@@ -204,31 +311,15 @@ def normalize(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             fits = t.compose(out[spot - 1], np.full(len(spot), mark, np.uint32)) > 0
             out = out.copy()
             out[spot[fits]] = mark
-    for _ in range(4):
-        marks = np.flatnonzero(gather(t.mark.astype(np.uint8), out, 0).astype(bool)) if len(out) else np.empty(0, np.int64)
-        marks = marks[marks > 0]
-        marks = marks[out_rows[marks] == out_rows[marks - 1]]
-        if not len(marks):
-            break
-        made = t.compose(out[marks - 1], out[marks])
-        fits = made > 0
-        # Of marks in a row only the first composes in one pass.
-        fits[1:] &= ~(fits[:-1] & (np.diff(marks) == 1))
-        if not fits.any():
-            break
-        out = out.copy()
-        out[marks[fits] - 1] = made[fits]
-        kind[source[marks[fits]]] |= APART
-        keep = np.ones(len(out), bool)
-        keep[marks[fits]] = False
-        out, out_rows, source = out[keep], out_rows[keep], source[keep]
+    out, out_rows, composed = _compose(out, out_rows)
+    n = len(offsets) - 1
+    found = np.zeros(n, np.int64)
+    found[composed] |= APART
     # Marks that no letter in one piece holds still stand apart from their Latin, Greek or Cyrillic letter.
     left = np.flatnonzero(gather(t.mark.astype(np.uint8), out, 0).astype(bool)) if len(out) else np.empty(0, np.int64)
     left = left[left > 0]
     left = left[(out_rows[left] == out_rows[left - 1]) & (gather(t.script, out[left - 1], 0) >= 2)]
-    kind[source[left]] |= APART
-    n = len(offsets) - 1
-    found = np.zeros(n, np.int64)
+    found[out_rows[left]] |= APART
     for bit in KINDS.values():
         hit = rows[(kind & bit) > 0]
         found[np.unique(hit)] |= bit

@@ -147,6 +147,9 @@ _FORM_SQL = "|".join(
     ]
 )
 
+# A short word of look-alikes one space away from a Latin word, in a text without a letter that only its script has.
+_LONE_SQL = rf"(^|[^\p{{L}}])[{_ALIKE}]{{1,3}} \p{{Latin}}|\p{{Latin}} [{_ALIKE}]{{1,3}}($|[^\p{{L}}])"
+
 
 @registry.query(
     "p6_found",
@@ -154,6 +157,7 @@ _FORM_SQL = "|".join(
     with v as (select 'company_jobs_merged.title' as field, row_id as record_id, title as t from company_jobs_merged
         union all select 'jobinfo.职位名称', info_id, 职位名称 from jobinfo union all select 'jobinfo.学历要求', info_id, 学历要求 from jobinfo)
     select field, record_id from v where regexp_matches(t, '{_FORM_SQL}')
+        or (regexp_matches(t, '{_LONE_SQL}') and not regexp_matches(regexp_replace(t, '[{_ALIKE}]', '', 'g'), '[{_FOREIGN}]'))
     """,
 )
 def p6_found(spark, sf_dir):

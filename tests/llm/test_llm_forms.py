@@ -83,3 +83,29 @@ def test_frame(spark, rows):
     out = unify_text(df, {"f": "t"}, "id")
     assert rows(out.where("kinds > 0").select("record_id", "unified")) == [(1, "AB"), (1, "AB")]
     assert out.count() == 4 and unify_text(df.limit(0), {"f": "t"}, "id").count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("aeAâạậ̣̖́̂̀한가각ொö x", max_size=12), min_size=1, max_size=5))
+def test_composition_is_canonical(values):
+    """Marks in any order come out as Unicode's composed canonical form."""
+    from evidex.functions.codepoints import row_of
+    from evidex.llm.forms import _compose
+
+    cps, offsets = to_codepoints(pa.array(values))
+    out, rows, _ = _compose(cps, row_of(offsets))
+    got = ["".join(map(chr, out[rows == k])) for k in range(len(values))]
+    assert got == [unicodedata.normalize("NFC", v) for v in values]
+
+
+def test_equal_looking_marks():
+    forms = {one(x)[0] for x in ("ậ", "ậ", "ậ", "ậ", "ậ")}
+    assert forms == {"ậ"}
+    assert one("한") == ("한", APART)
+    assert one("é̖")[0] == "é̖"
+    assert one("a" + "̣̂" * 500)[0] == unicodedata.normalize("NFC", "a" + "̣̂" * 500)
+
+
+def test_lone_stand_ins():
+    assert one("Β I看板") == ("B I看板", MIXED) and one("Ε RP‎总账") == ("E RP总账", MIXED | UNSEEN)
+    assert one("Java с нами") == ("Java с нами", 0) and one("Β  I") == ("Β  I", 0) and one("Β 看板") == ("Β 看板", 0)

@@ -8,7 +8,7 @@ from evidex.llm import copies as dup
 from evidex.llm import quantiles, terms
 from evidex.llm.forms import LOOKALIKES, unify_text
 from evidex.llm.leakage import PASSAGE, leaks
-from evidex.llm.matching import map_fields, map_values
+from evidex.llm.matching import map_fields, map_values, unmatched_values
 from evidex.llm.quality import document_kinds, document_statistics
 from evidex.llm.tokens import encode_corpus
 from evidex.plans.registry import Registry, table
@@ -108,27 +108,30 @@ def p4_terms(spark, sf_dir):
     return terms.marked_terms(table(spark, sf_dir, "skill_frequency"), "关键词", "batch_id", "出现岗位数")
 
 
+def mapped_fields(spark, sf_dir):
+    jobs, scores = table(spark, sf_dir, "company_jobs_merged"), table(spark, sf_dir, "risk_scores_subjob")
+    titles, categories = table(spark, sf_dir, "title_reference"), table(spark, sf_dir, "category_reference")
+    return [
+        (jobs, "row_id", "title", "company_jobs_merged.title", titles, "std_title"),
+        (scores, "score_id", "std_title", "risk_scores_subjob.std_title", titles, "std_title"),
+        (scores, "score_id", "category", "risk_scores_subjob.category", categories, "category"),
+    ]
+
+
 @registry.query("p5_found")
 def p5_found(spark, sf_dir):
-    jobs, scores = table(spark, sf_dir, "company_jobs_merged"), table(spark, sf_dir, "risk_scores_subjob")
-    titles = map_fields(
-        [(jobs, "row_id", "title", "company_jobs_merged.title"), (scores, "score_id", "std_title", "risk_scores_subjob.std_title")],
-        table(spark, sf_dir, "title_reference"),
-        "std_title",
-    )
-    categories = map_fields([(scores, "score_id", "category", "risk_scores_subjob.category")], table(spark, sf_dir, "category_reference"), "category")
-    return titles.unionByName(categories)
+    return map_fields(mapped_fields(spark, sf_dir))
 
 
 @registry.query("p5_unmatched")
 def p5_unmatched(spark, sf_dir):
     """The values that mean no entry, with how many records have them."""
-    return p5_found(spark, sf_dir).where("ref_id = -1").groupBy("field").agg(F.count("*").alias("records"))
+    return unmatched_values(mapped_fields(spark, sf_dir))
 
 
 @registry.query("p5_values")
 def p5_values(spark, sf_dir):
-    """Each distinct title of the postings with its entry and similarity."""
+    """Each distinct title of the postings with its entry, similarity and way of the match."""
     values = table(spark, sf_dir, "company_jobs_merged").select(F.col("title").alias("value"))
     return map_values(values, table(spark, sf_dir, "title_reference"), "std_title")
 

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from evidex.llm import copies, quantiles, terms
-from evidex.llm.matching import map_records, map_values
+from evidex.llm.matching import map_fields, map_values, similar_entries, unmatched_values
 
 
 def canonical(values):
@@ -116,7 +116,47 @@ def test_matching(spark, rows):
     got = {r.value: r.ref_id for r in map_values(df.selectExpr("v as value"), reference, "entry").collect()}
     assert {k: got[k] for k in typed} == typed
     assert all(got[f"{a}{e}{b}"] == i for i, e in enumerate(ENTRIES, 1) for a, b in around)
-    out = rows(map_records(df, "id", "v", reference, "entry", "f"))
+    out = rows(map_fields([(df, "id", "v", "f", reference, "entry")]))
     assert len(out) == len(values) + len(typed) + 1
-    assert map_records(df.limit(0), "id", "v", reference, "entry", "f").count() == 0
-    assert {r.ref_id for r in map_records(df, "id", "v", reference.limit(0), "entry", "f").collect()} == {-1}
+    assert map_fields([(df.limit(0), "id", "v", "f", reference, "entry")]).count() == 0
+    assert {r.ref_id for r in map_fields([(df, "id", "v", "f", reference.limit(0), "entry")]).collect()} == {-1}
+    missed = rows(unmatched_values([(df, "id", "v", "f", reference, "entry")]))
+    assert missed == sorted(("f", v, 1) for v, i in typed.items() if i == -1)
+
+
+def test_matching_numbers_and_ways(spark):
+    """Entries that differ in a digit only are different entries; similarities are real ones; an added word may be of any length."""
+    reference = spark.createDataFrame([(1, "T1工程师"), (2, "T2工程师"), (3, "T3工程师"), (4, "仓库主管")], "ref_id bigint, entry string")
+    long = "包吃住五险一金带薪年假节日福利定期体检全勤奖金"
+    values = ["T2 工程师", "t3工程师", "T12工程师", f"T1工程师{long}", f"仓库主管{long}", f"仓主管{long}", "仓" * 30_000]
+    got = {r.value: (r.ref_id, r.jaccard and round(r.jaccard, 3), r.way) for r in map_values(spark.createDataFrame([(v,) for v in values], "value string"), reference, "entry").collect()}
+    assert got["T2 工程师"] == (2, 1.0, "holds") and got["t3工程师"] == (3, 1.0, "holds")
+    assert got["T12工程师"] == (1, 0.667, "similar")
+    assert got[f"仓库主管{long}"] == (4, round(4 / (4 + len(long)), 3), "holds")
+    assert got[f"仓主管{long}"] == (4, 0.75, "similar")
+    assert got["仓" * 30_000] == (-1, None, None)
+
+
+def test_matching_against_brute_force(spark):
+    """The join finds an entry of the greatest Jaccard among all entries for every value that has one of 0.5 or more."""
+    from collections import Counter
+
+    rng = np.random.default_rng(5)
+    letters = list("甲乙丙丁戊己庚辛abcde")
+    words = ["".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(400)]
+    entries = sorted(set(words[:60]))
+    values = sorted(set(words[60:]))
+    listed = spark.createDataFrame([("x", i, e) for i, e in enumerate(entries)], "list string, ref_id bigint, entry string")
+    forms = spark.createDataFrame([("x", v, v) for v in values], "list string, value string, form string")
+    got = {r.value: r for r in similar_entries(forms, listed).collect()}
+
+    def jaccard(a, b):
+        a, b = Counter(a), Counter(b)
+        return (a & b).total() / (a | b).total()
+
+    assert len(got) > 30
+    for v in values:
+        best = max(jaccard(v, e) for e in entries)
+        assert (v in got) == (best >= 0.5)
+        if v in got:
+            assert abs(got[v].jaccard - best) < 1e-9 and abs(jaccard(v, entries[got[v].ref_id]) - best) < 1e-9

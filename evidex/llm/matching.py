@@ -167,7 +167,8 @@ def similar_entries(forms: DataFrame, entries: DataFrame, threshold: float = THR
     and of a value's prefix only the tokens that entries have.
     """
     t = F.lit(threshold)
-    values = with_tokens(forms, "value", "string")
+    # The values' tokens are read three times.
+    values = cut(with_tokens(forms, "value", "string"))
     listed = with_tokens(entries.select("list", "ref_id", F.col("entry").alias("form")), "ref_id", "bigint")
     entry_tokens = listed.select("list", "key", "form", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     value_tokens = values.select("list", "key", "form", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))

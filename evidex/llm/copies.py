@@ -7,12 +7,13 @@ the rest goes through one shuffle; the record with the smallest identifier stand
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key with this many rows or more is hot, and at most this many parts of a table's rows each.
-HOT_ROWS = 20_000
-HOT_SHARE = 10_000
+from evidex.session import cut
+
+#: A key with this many rows or more is hot: what one task can well hold, whatever the size of the table.
+HOT_ROWS = 100_000
 SALTS = 64
 
 # Everything that is no letter or digit, but for a point between two digits.
@@ -37,30 +38,20 @@ def keyed(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     )
 
 
-def hot_keys(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least hot_rows rows and more than one of HOT_SHARE parts of all: at most HOT_SHARE keys."""
-    bound = max(hot_rows, rows.count() // HOT_SHARE)
-    return rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= bound).select("k1", "k2")
+def _parted(rows: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of cold and of hot keys.
 
+    Counts are exact and combined in the map tasks. There is at most one hot key for hot_rows rows;
+    whether they are broadcast is left to Spark, which knows their size.
+    """
+    hot = cut(rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= hot_rows).select("k1", "k2"))
+    return rows.join(hot, ["k1", "k2"], "left_anti"), rows.join(hot, ["k1", "k2"], "left_semi")
 
-def representatives(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(id, keep_id) for each row of a keyed table: the smallest id of the row's group.
 
-    Null identifiers are left out. Hot groups are never gathered: their rows meet a broadcast table
-    of at most HOT_SHARE keys.
-    """
-    rows = rows.where(F.col("id").isNotNull())
-    hot = F.broadcast(hot_keys(rows, hot_rows))
-    cold = rows.join(hot, ["k1", "k2"], "left_anti").select("id", F.min("id").over(Window.partitionBy("k1", "k2")).alias("keep_id"))
-    hot_part = rows.join(hot, ["k1", "k2"], "left_semi")
-    least = (
-        hot_part.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-        .groupBy("k1", "k2", "salt")
-        .agg(F.min("id").alias("least"))
-        .groupBy("k1", "k2")
-        .agg(F.min("least").alias("keep_id"))
-    )
-    return cold.unionByName(hot_part.join(F.broadcast(least), ["k1", "k2"]).select("id", "keep_id"))
+def _salted(rows: DataFrame) -> DataFrame:
+    """(k1, k2, keep_id, n_copies) by two levels: the salts of a key first, then the key."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).groupBy("k1", "k2", "salt").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    return salted.groupBy("k1", "k2").agg(F.min("least").alias("keep_id"), F.sum("n").alias("n_copies"))
 
 
 def copies(df: DataFrame, id_col: str, columns: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -68,22 +59,18 @@ def copies(df: DataFrame, id_col: str, columns: list[str], hot_rows: int = HOT_R
 
     Null equals empty, so records without any letter or digit form one group. Rows with a null
     identifier are left out; a repeated identifier counts as one record. Other columns play no part.
+    Keys are worked out once. The rows of cold keys are shuffled once, for their groups and for the
+    join with these; hot groups are never gathered.
     """
-    pairs = representatives(keyed(df, id_col, columns), hot_rows)
+    cold, hot = _parted(cut(keyed(df, id_col, columns).where(F.col("id").isNotNull())), hot_rows)
+    spread = cold.repartition("k1", "k2")
+    first = spread.groupBy("k1", "k2").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = spread.join(first, ["k1", "k2"]).unionByName(hot.join(_salted(hot).drop("n_copies"), ["k1", "k2"]))
     return pairs.where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
 
 
 def collapsed(df: DataFrame, id_col: str, columns: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row (keep_id, n_copies) for each group, the first record included in the count."""
-    rows = keyed(df, id_col, columns).where(F.col("id").isNotNull())
-    hot = F.broadcast(hot_keys(rows, hot_rows))
-    cold = rows.join(hot, ["k1", "k2"], "left_anti").groupBy("k1", "k2").agg(F.min("id").alias("keep_id"), F.count("*").alias("n_copies"))
-    salted = (
-        rows.join(hot, ["k1", "k2"], "left_semi")
-        .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-        .groupBy("k1", "k2", "salt")
-        .agg(F.min("id").alias("keep_id"), F.count("*").alias("n_copies"))
-        .groupBy("k1", "k2")
-        .agg(F.min("keep_id").alias("keep_id"), F.sum("n_copies").alias("n_copies"))
-    )
-    return cold.unionByName(salted).select("keep_id", "n_copies")
+    cold, hot = _parted(cut(keyed(df, id_col, columns).where(F.col("id").isNotNull())), hot_rows)
+    groups = cold.groupBy("k1", "k2").agg(F.min("id").alias("keep_id"), F.count("*").alias("n_copies"))
+    return groups.unionByName(_salted(hot)).select("keep_id", "n_copies")

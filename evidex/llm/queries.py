@@ -84,6 +84,12 @@ def p2_found(spark, sf_dir):
     return dup.copies(table(spark, sf_dir, "company_jobs_merged"), "row_id", COPY_COLUMNS)
 
 
+@registry.query("p2_salted", _KEY_SQL + "select keep_id, row_id as copy_id from g where row_id <> keep_id")
+def p2_salted(spark, sf_dir):
+    """p2_found with a bound so low that the commoner keys of the tables go by salted two-level aggregation."""
+    return dup.copies(table(spark, sf_dir, "company_jobs_merged"), "row_id", COPY_COLUMNS, hot_rows=4)
+
+
 @registry.query("p2_collapsed", _KEY_SQL + "select keep_id, count(*) as n_copies from g group by keep_id")
 def p2_collapsed(spark, sf_dir):
     return dup.collapsed(table(spark, sf_dir, "company_jobs_merged"), "row_id", COPY_COLUMNS)

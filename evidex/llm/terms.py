@@ -1,83 +1,35 @@
 """Frequency of every distinct value or term.
 
-(term, record) pairs are range-partitioned and sorted by Spark's external sort; one run-length scan
-over each partition counts occurrences and distinct records of every term.
+(term, record) pairs are summed with map-side combines, range-partitioned and sorted by Spark's
+external sort; one run-length scan over each partition counts occurrences and distinct records of
+every term.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidex.functions.arrow import batches
-
-_PAIRS = "term string, record string, n bigint"
-_SCHEMA = pa.schema([("term", pa.string()), ("record", pa.string()), ("n", pa.int64())])
-#: Pairs that one map task holds before it passes its partial sums on.
-HELD = 200_000
-
-
-def _combine(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map-side sums of each pair, so that a hot pair leaves a task once and not once a row."""
-    held: list[pa.Table] = []
-    size = 0
-
-    def merged() -> pa.Table:
-        return pa.concat_tables(held).group_by(["term", "record"]).aggregate([("n", "sum")]).rename_columns(["term", "record", "n"])
-
-    for batch in batches(rows):
-        held.append(pa.Table.from_batches([batch]).cast(_SCHEMA))
-        size += batch.num_rows
-        if size >= HELD:
-            table = merged()
-            if table.num_rows > HELD // 2:
-                yield from table.to_batches()
-                held, size = [], 0
-            else:
-                held, size = [table], table.num_rows
-    if held:
-        yield from merged().to_batches()
+from evidex.session import cut
 
 
 def _scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Run lengths over sorted pairs: (term, occurrences, records) for each run of a term."""
-    term = record = None
-    occurrences = records = 0
-    started = False
+    """(term, occurrences, records) of each run of a term in sorted pairs.
+
+    A run that goes on in the next batch gives a row in each, as it does in the next partition.
+    """
     for batch in batches(rows):
-        out: list[tuple] = []
-        # Runs of equal pairs within the batch, found by comparing each row with the one before it.
-        terms, recs, n = batch.column(0), batch.column(1), batch.column(2)
+        terms, n = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
         size = batch.num_rows
-        if size > 1:
-            differs = pc.or_(pc.not_equal(terms.slice(1), terms.slice(0, size - 1)), pc.not_equal(recs.slice(1), recs.slice(0, size - 1)))
-            starts = [0, *(i + 1 for i in pc.indices_nonzero(differs).to_pylist())]
-        else:
-            starts = [0]
-        sums = pc.cumulative_sum(n).to_pylist()
-        values, ids = terms.take(pa.array(starts)).to_pylist(), recs.take(pa.array(starts)).to_pylist()
-        for k, at in enumerate(starts):
-            end = starts[k + 1] - 1 if k + 1 < len(starts) else size - 1
-            total = sums[end] - (sums[at - 1] if at else 0)
-            if not started or values[k] != term:
-                if started:
-                    out.append((term, occurrences, records))
-                term, record, occurrences, records, started = values[k], ids[k], total, 1, True
-            else:
-                records += ids[k] != record
-                record = ids[k]
-                occurrences += total
-        if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(("term", "occurrences", "records"), x)) for x in out], schema=_OUT)
-    if started:
-        yield pa.RecordBatch.from_pylist([{"term": term, "occurrences": occurrences, "records": records}], schema=_OUT)
-
-
-_OUT = pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
+        differs = pc.not_equal(terms.slice(1), terms.slice(0, size - 1)).to_numpy(zero_copy_only=False)
+        starts = np.concatenate(([0], np.flatnonzero(differs) + 1))
+        yield pa.RecordBatch.from_arrays([terms.take(pa.array(starts)), pa.array(np.add.reduceat(n, starts)), pa.array(np.add.reduceat((n > 0).astype(np.int64), starts))], ["term", "occurrences", "records"])
 
 
 def term_counts(df: DataFrame, term: str, record: str, count: str | None = None) -> DataFrame:
@@ -85,16 +37,16 @@ def term_counts(df: DataFrame, term: str, record: str, count: str | None = None)
 
     occurrences sums count (1 a row without it); a row whose count is null, zero or less is no
     occurrence, and a term without any occurrence gets 0 and 0. Null records make one record only
-    where the count is above 0. Repeated rows count each time. A pair's rows meet in one partition,
-    a term's pairs may lie in two neighbouring ones, whose sums are added.
+    where the count is above 0. Repeated rows count each time. A pair is one row after the sums, so a
+    hot term is parted by its records; its pairs may lie in several partitions, whose sums are added.
     """
     n = F.greatest(F.coalesce(F.col(count).cast("bigint"), F.lit(0)), F.lit(0)) if count else F.lit(1).cast("bigint")
     pairs = df.where(F.col(term).isNotNull()).select(F.col(term).cast("string").alias("term"), F.coalesce(F.col(record).cast("string"), F.lit("\u0000")).alias("record"), n.alias("n"))
-    combined = pairs.mapInArrow(_combine, _PAIRS)
-    used = combined.where("n > 0").repartitionByRange("term", "record").sortWithinPartitions("term", "record")
-    counted = used.mapInArrow(_scan, "term string, occurrences bigint, records bigint")
-    unused = combined.where("n <= 0").select("term", F.lit(0).cast("bigint").alias("occurrences"), F.lit(0).cast("bigint").alias("records"))
-    return counted.unionByName(unused).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    # The range partitioning reads its input twice, for the borders and for the rows.
+    summed = cut(pairs.groupBy("term", "record").agg(F.sum("n").alias("n")))
+    ordered = summed.repartitionByRange("term", "record").sortWithinPartitions("term", "record").select("term", "n")
+    counted = ordered.mapInArrow(_scan, "term string, occurrences bigint, records bigint")
+    return counted.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
 def marked_terms(df: DataFrame, term: str, record: str, count: str | None = None, rare: int = 2, common: float = 0.5) -> DataFrame:

@@ -12,15 +12,17 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidex.functions.arrow import batches
+from evidex.session import cut
 
 #: Values in a buffer and buffers that collapse at once; the bound is about levels / (2 * SIZE) of n.
 SIZE, FAN = 1024, 8
+#: Sketches of one group that one step of a merge takes.
+FAN_IN = 32
 
 
 class Sketch:
@@ -139,19 +141,42 @@ def _sketch_rows(size: int, fan: int, most_groups: int):
     return run
 
 
-def _merge(parts: pd.DataFrame) -> pd.DataFrame:
-    total = Sketch.from_bytes(parts["sketch"].iloc[0])
-    for data in parts["sketch"].iloc[1:]:
-        total.merge(Sketch.from_bytes(data))
-    return pd.DataFrame({"grp": [parts["grp"].iloc[0]], "salt": [parts["salt"].iloc[0]], "sketch": [total.to_bytes()]})
+def _fold(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, bucket, sketch): one sketch for each run of equal (grp, bucket) in sorted rows, one sketch in memory at a time."""
+    key, held = None, None
 
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([held.to_bytes()], pa.binary())], ["grp", "bucket", "sketch"])
 
-def merge_sketches(sketches: DataFrame, fan_in: int = 64) -> DataFrame:
-    """One sketch a group from many: first by salt, so that one group's sketches meet in fan_in tasks, then all."""
-    schema = "grp string, salt int, sketch binary"
-    ordered = sketches.select("grp", F.pmod(F.xxhash64("sketch"), F.lit(fan_in)).cast("int").alias("salt"), "sketch")
-    first = ordered.groupBy("grp", "salt").applyInPandas(_merge, schema)
-    return first.withColumn("salt", F.lit(0)).groupBy("grp", "salt").applyInPandas(_merge, schema).select("grp", "sketch")
+    for batch in batches(rows):
+        for grp, bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            sketch = Sketch.from_bytes(data.as_py())
+            if key == (grp, bucket):
+                held.merge(sketch)
+                continue
+            if key is not None:
+                yield out()
+            key, held = (grp, bucket), sketch
+    if key is not None:
+        yield out()
+
+
+def merge_sketches(sketches: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """One sketch (grp, sketch) a group from many, by a tree of as many levels as the commonest group needs.
+
+    At each level about fan_in sketches of a group meet, chosen and ordered by their content, so that the
+    result doesn't depend on the order in which tasks end. A task holds one sketch at a time.
+    """
+    rows = cut(sketches.select("grp", "sketch"))
+    most = rows.groupBy("grp").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    buckets = [1]
+    while buckets[0] * fan_in < most:
+        buckets.insert(0, buckets[0] * fan_in)
+    for n in buckets:
+        keyed = rows.withColumn("mark", F.xxhash64("sketch")).select("grp", F.pmod("mark", F.lit(n)).alias("bucket"), "sketch", "mark")
+        ordered = keyed.repartition("grp", "bucket").sortWithinPartitions("grp", "bucket", "mark", "sketch").select("grp", "bucket", "sketch")
+        rows = ordered.mapInArrow(_fold, "grp string, bucket bigint, sketch binary").select("grp", "sketch")
+    return rows
 
 
 def sketch_column(df: DataFrame, group: str, value: str, size: int = SIZE, fan: int = FAN, most_groups: int = 2000) -> DataFrame:

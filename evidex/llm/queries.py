@@ -40,17 +40,16 @@ def p1_by_day_combined(spark, sf_dir):
     return quantiles.read_quantiles(merged, SHARES).withColumnRenamed("grp", "category")
 
 
-@registry.query(
-    "p1_rank_check",
-    """
+_RANK_SQL = """
     select category, count(*) as n, true as within_bound from risk_scores_subjob
     where 薪资中位数K is not null and not isnan(薪资中位数K) group by category
-    """,
-)
-def p1_rank_check(spark, sf_dir):
-    """Exact ranks of the reported percentiles: each must lie within the bound that its sketch carries."""
+"""
+
+
+def rank_check(spark, sf_dir, found):
+    """Exact ranks of reported percentiles: each must lie within the bound that its sketch carries."""
     df = table(spark, sf_dir, "risk_scores_subjob")
-    found = quantiles.group_percentiles(df, "category", "薪资中位数K", SHARES)
+    found = found.withColumnRenamed("category", "grp")
     names = [c for c in found.columns if c not in ("grp", "n", "rank_error")]
     rows = df.select("category", F.col("薪资中位数K").alias("v")).where("v is not null and not isnan(v)")
     joined = rows.join(found, rows["category"].eqNullSafe(found["grp"]))
@@ -67,6 +66,17 @@ def p1_rank_check(spark, sf_dir):
     return ranks.select("category", "n", within.alias("within_bound"))
 
 
+@registry.query("p1_rank_check", _RANK_SQL)
+def p1_rank_check(spark, sf_dir):
+    return rank_check(spark, sf_dir, p1_percentiles(spark, sf_dir))
+
+
+@registry.query("p1_combined_rank_check", _RANK_SQL)
+def p1_combined_rank_check(spark, sf_dir):
+    """The rank check of the percentiles that come from the sketches of single days."""
+    return rank_check(spark, sf_dir, p1_by_day_combined(spark, sf_dir))
+
+
 _KEY_SQL = """
     with v as (select row_id, list_sort(list_filter([{values}], lambda x: x <> '')) as k from company_jobs_merged where row_id is not null),
     g as (select row_id, min(row_id) over (partition by k) as keep_id from v)

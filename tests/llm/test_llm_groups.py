@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from evidex.llm import copies, quantiles, terms
 from evidex.llm.matching import map_fields, map_values, similar_entries, unmatched_values
@@ -160,3 +161,23 @@ def test_matching_against_brute_force(spark):
         assert (v in got) == (best >= 0.5)
         if v in got:
             assert abs(got[v].jaccard - best) < 1e-9 and abs(jaccard(v, entries[got[v].ref_id]) - best) < 1e-9
+
+
+def test_merge_of_many_sketches(spark):
+    """More sketches of one group than a step takes: the tree's levels keep the bound, and the result is the same in any order."""
+    rng = np.random.default_rng(7)
+    values = rng.normal(size=40_000)
+    rows = [("hot" if k % 3 else f"g{k % 5}", float(v)) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(40)
+    parts = quantiles.sketch_column(df, "g", "v", size=16, fan=4)
+    found = {}
+    for sketches in (parts, parts.orderBy(F.desc(F.xxhash64("sketch")))):
+        merged = quantiles.read_quantiles(quantiles.merge_sketches(sketches, fan_in=3), [0.1, 0.5, 0.9]).collect()
+        found[len(found)] = sorted((r.grp, r.n, r.rank_error, r.p10, r.p50, r.p90) for r in merged)
+    assert found[0] == found[1]
+    for grp, n, error, *got in found[0]:
+        own = np.sort([v for g, v in rows if g == grp])
+        assert n == len(own) and 0 < error < n / 3
+        for share, x in zip((0.1, 0.5, 0.9), got):
+            rank = math.ceil(share * n)
+            assert np.searchsorted(own, x, "left") + 1 - error <= rank <= np.searchsorted(own, x, "right") + error

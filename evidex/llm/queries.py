@@ -10,7 +10,7 @@ from evidex.llm.forms import LOOKALIKES, unify_text
 from evidex.llm.leakage import PASSAGE, leaks
 from evidex.llm.matching import map_fields, map_values, unmatched_values
 from evidex.llm.quality import document_kinds, document_statistics
-from evidex.llm.tokens import encode_corpus
+from evidex.llm.tokens import decoded_hashes, encode_corpus
 from evidex.plans.registry import Registry, table
 
 registry = Registry()
@@ -199,6 +199,19 @@ def p8_token_counts(spark, sf_dir):
     return p8_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_ids"))
 
 
+@registry.query("p8_round_trip", "select doc_id, md5(coalesce(text, '')) as md5 from documents")
+def p8_round_trip(spark, sf_dir):
+    """The hash of the text that each document's ids stand for."""
+    return decoded_hashes(p8_ids(spark, sf_dir))
+
+
+@registry.query("p8_tree", "select doc_id, true as same from documents")
+def p8_tree(spark, sf_dir):
+    """Whether the ids of each document are those that cuts and trees of joins give, with bounds that nearly every text passes."""
+    trees = encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", long=48, size=32, leaf=8).select("doc_id", F.col("ids").alias("joined"))
+    return p8_ids(spark, sf_dir).join(trees, "doc_id").select("doc_id", (F.col("ids") == F.col("joined")).alias("same"))
+
+
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
 _BARE_SQL = f"regexp_replace(lower(translate(text, '{_WIDE}', '{_NARROW}')), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')"

@@ -10,6 +10,7 @@ window's ends encode to themselves in pairs.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,7 +27,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern of this tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a text that is cut into parts, of a part, and bytes of a leaf of an unsplit run.
-LONG, PART, LEAF = 1 << 17, 1 << 15, 1 << 13
+LONG, PART, LEAF = 1 << 14, 1 << 13, 1 << 9
 #: Largest vocabulary file that is sent to the executors.
 MOST_BYTES = 64 << 20
 _ENDS = set(",.;:!?()[]{}\"'0123456789，。！？；：、（）【】《》“”…—")
@@ -158,6 +159,19 @@ def encode_text(enc: tiktoken.Encoding, text: str | None, long: int = LONG, size
     return [i for ids in out for i in ids]
 
 
+def decoded_hashes(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, md5) of the text that each list of ids stands for: what a round trip is held against."""
+    data = load(vocabulary)
+
+    def run(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoding(data)
+        for batch in batches(batch_rows):
+            found = [hashlib.md5(b"".join(enc.decode_tokens_bytes(ids))).hexdigest() for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "md5"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, md5 string")
+
+
 def encode_corpus(df: DataFrame, doc_id: str, text: str, vocabulary: str = VOCABULARY, long: int = LONG, size: int = PART, leaf: int = LEAF) -> DataFrame:
     """(doc_id, ids) of each row: ids of the whole text without special tokens, whose strings are plain text.
 

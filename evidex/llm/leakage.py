@@ -1,12 +1,13 @@
 """Evaluation texts leaking into training text.
 
-Both sides are reduced to letters and digits. Every n-gram of the test items is counted over the
-whole corpus; all that occur there are seeds, so each document that shares one with an item is found,
-an edited copy as well as a literal one. Where only literal leaks are wanted, the rarest n-gram of
-each stretch of an item as long as the shortest passage is enough (winnowing by rarity): a leaked
-passage always holds one. Documents are scanned once for seeds; each seeded pair of document and item
-is aligned by Smith-Waterman around its seeds, which scores edited copies, and the longest exact run
-decides on literal leaks.
+Both sides are reduced to letters and digits. All n-grams of the test items go into two bit maps of
+fixed size; one scan of the corpus keeps the documents with n-grams that pass, and joins on the
+n-grams' hashes make that exact, whatever the number of items. All n-grams that occur in the corpus
+are seeds, so each document that shares one with an item is found, an edited copy as well as a
+literal one. Where only literal leaks are wanted, the rarest n-gram of each stretch of an item as long
+as the shortest passage is enough (winnowing by rarity over the whole corpus): a leaked passage always
+holds one. Each seeded pair of document and item is aligned by Smith-Waterman around its seeds, which
+scores edited copies, and the longest exact run decides on literal leaks.
 """
 
 from __future__ import annotations
@@ -20,19 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.functions.arrow import slices
-from evidex.functions.codepoints import gather, row_of, to_codepoints
+from evidex.functions.arrow import batches, slices
+from evidex.functions.codepoints import from_codepoints, gather, row_of, to_codepoints
+from evidex.session import cut
 
 #: Letters and digits of the shortest passage, and of a seed.
 PASSAGE, SEED = 50, 20
-#: Items whose seeds go to the executors at a time; larger item sets are searched in blocks.
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
+#: Most bits of a map, and n-grams that one scan of the corpus searches for: beyond them there are several scans.
+MOST_BITS, SCAN_GRAMS = 27, 16_000_000
 #: Cells of the windows that are aligned together.
 ALIGNED = 24_000
 #: No letter or digit has a code point from here on: only tags, selectors and private use.
 LETTERS_END = 0x40000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BITS = 22
 
 
 @cache
@@ -88,61 +89,6 @@ def rolling(text: np.ndarray, n: int) -> np.ndarray:
         return _mix(out)
 
 
-class Index:
-    """n-grams of items for scans: sorted hashes behind a bit map."""
-
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.hashes = np.unique(hashes)
-        self.bits = np.zeros(1 << _BITS, bool)
-        self.bits[(self.hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of h that are in the index, and their places in the sorted hashes."""
-        maybe = np.flatnonzero(self.bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-        at = np.searchsorted(self.hashes, h[maybe])
-        at[at == len(self.hashes)] = 0
-        ok = self.hashes[at] == h[maybe] if len(self.hashes) else np.zeros(len(maybe), bool)
-        return maybe[ok], at[ok]
-
-
-def _hits(text: np.ndarray, offsets: np.ndarray, n: int, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, position in the whole array, and place in the index of each n-gram that lies within one row."""
-    h = rolling(text, n)
-    if not len(h) or not len(index.hashes):
-        return (np.empty(0, np.int64),) * 3
-    pos, place = index.find(h)
-    rows = row_of(offsets)
-    inside = rows[pos] == rows[pos + n - 1]
-    pos, place = pos[inside], place[inside]
-    return rows[pos], pos, place
-
-
-def choose_seeds(items: list[np.ndarray], frequency: dict[int, int], passage: int = PASSAGE, n: int = SEED, edited: bool = True) -> dict[int, list[tuple[int, int]]]:
-    """hash -> (item, position) of the seeds: all n-grams of an item that occur in the corpus.
-
-    Without edited copies, the rarest n-gram of every stretch of `passage` characters, of equals the
-    later one; an n-gram across an edit is rarer than those that an edited copy holds, so these seeds
-    find literal passages only. Items shorter than passage have no seeds.
-    """
-    seeds: dict[int, list[tuple[int, int]]] = {}
-    window = passage - n + 1
-    for k, item in enumerate(items):
-        h = rolling(item, n)
-        if len(item) < passage:
-            continue
-        rank = np.array([frequency.get(int(x), 0) for x in h], np.int64)
-        if edited:
-            places = np.flatnonzero(rank)
-        else:
-            # Rarest first, the later of equals: the smallest of rank * len - position.
-            key = rank * (len(h) + 1) - np.arange(len(h))
-            views = np.lib.stride_tricks.sliding_window_view(key, window)
-            places = np.unique(views.argmin(1) + np.arange(len(views)))
-        for p in places:
-            seeds.setdefault(int(h[p]), []).append((k, int(p)))
-    return seeds
-
-
 def align_many(documents: list[np.ndarray], items: list[np.ndarray], match: int = 2, mismatch: int = -1, gap: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """For each pair the Smith-Waterman score of the best local alignment and the longest exact run.
 
@@ -178,85 +124,163 @@ def align(document: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return int(best[0]), int(longest[0])
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The stated test items in blocks of at most BLOCK_ITEMS items and about BLOCK_CHARS characters."""
-    block, chars = [], 0
-    rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(text).cast("string").alias("t"))
-    for r in rows.orderBy("i", "t").toLocalIterator():
-        block.append((r.i, r.t))
-        chars += len(r.t)
-        if len(block) >= BLOCK_ITEMS or chars >= BLOCK_CHARS:
-            yield block
-            block, chars = [], 0
-    if block:
-        yield block
-
-
-def gram_frequency(documents: DataFrame, text: str, items: list[np.ndarray], n: int = SEED) -> dict[int, int]:
-    """How often each n-gram of the items occurs in the whole corpus; the counts are added up in the executors."""
-    index = Index(np.concatenate([rolling(x, n) for x in items]))
-
-    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(index.hashes), np.int64)
-        for batch in slices(rows, 0):
-            _, _, place = _hits(*bare(batch.column(0)), n, index)
-            total += np.bincount(place, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["place", "n"])
-
-    found = documents.where(F.col(text).isNotNull()).select(F.col(text).cast("string")).mapInArrow(count, "place bigint, n bigint")
-    return {int(index.hashes[r.place]): r.n for r in found.groupBy("place").agg(F.sum("n").alias("n")).toLocalIterator()}
-
-
-def _search_block(documents: DataFrame, doc_id: str, text: str, block: list[tuple[int, str]], passage: int, n: int, edited: bool) -> DataFrame:
-    ids = np.array([i for i, _ in block], np.int64)
-    chars, offs = bare(pa.array([t for _, t in block]))
-    items = [chars[a:b] for a, b in zip(offs[:-1], offs[1:])]
-    seeds = choose_seeds(items, gram_frequency(documents, text, items, n), passage, n, edited)
-    index = Index(np.array(list(seeds), np.uint64))
-    where = [seeds[int(h)] for h in index.hashes]
+class GramMaps:
+    """Two packed bit maps of n-gram hashes: which n-grams of a text may be those of an item."""
+
+    def __init__(self, bits: int, first: bytes, second: bytes) -> None:
+        self.bits, self.first, self.second = bits, first, second
+
+    @staticmethod
+    def places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of hashes in both maps."""
+        with np.errstate(over="ignore"):
+            return (h >> np.uint64(64 - bits)).astype(np.int64), ((h * _BASE) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Positions of the hashes that are in both maps."""
+        one, two = np.frombuffer(self.first, np.uint8), np.frombuffer(self.second, np.uint8)
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        maybe = np.flatnonzero(one[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+        at = self.places(h[maybe], self.bits)[1]
+        return maybe[(two[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0]
+
 
+def _item_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, item_id, letters, n): items as their letters and digits."""
+    for batch in slices(rows, 2):
+        flat, offsets = bare(batch.column(2))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), from_codepoints(flat, offsets), pa.array(np.diff(offsets).astype(np.int32))], ["item", "item_id", "letters", "n"])
+
+
+def _grams_of(n: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(item, gram, at): the n-grams of items."""
         for batch in slices(rows, 1):
-            flat, offsets = bare(batch.column(1))
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            out = []
-            pairs: dict[tuple[int, int], list[int]] = {}
-            for row, pos, place in zip(*(x.tolist() for x in _hits(flat, offsets, n, index))):
-                for item, at in where[place]:
-                    # The item's start in the document by this seed.
-                    pairs.setdefault((row, item), []).append(pos - at)
-            windows: list[tuple[tuple[int, int], np.ndarray]] = []
-            for (row, item), starts in pairs.items():
-                length = len(items[item])
-                lo, hi = int(offsets[row]), int(offsets[row + 1])
+            flat, offsets = to_codepoints(batch.column(1))
+            h = rolling(flat, n)
+            owner = row_of(offsets)
+            at = np.flatnonzero(owner[: len(h)] == owner[n - 1 :]) if len(h) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[at])), pa.array(h[at].view(np.int64)), pa.array((at - offsets[owner[at]]).astype(np.int32))], ["item", "gram", "at"])
+
+    return run
+
+
+def gram_maps(grams: DataFrame, bits: int) -> GramMaps:
+    """The bit maps of the n-grams; the driver gets their words, which are of bounded number."""
+
+    def words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            one, two = GramMaps.places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)
+            places = np.concatenate((one, two + (1 << bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(places >> 5), pa.array(np.int64(1) << (places & 31))], ["word", "bits"])
+
+    held = grams.select("gram").mapInArrow(words, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    maps = np.zeros(1 << (bits - 4), "<u4")
+    maps[held.column("word").to_numpy()] = held.column("bits").to_numpy()
+    raw, half = maps.tobytes(), 1 << (bits - 3)
+    return GramMaps(bits, raw[:half], raw[half:])
+
+
+def seeded_documents(documents: DataFrame, doc_id: str, text: str, maps: GramMaps, n: int) -> DataFrame:
+    """(doc, doc_id, letters, hits): the documents with n-grams in the maps, by one scan of the corpus."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(rows, 2):
+            flat, offsets = bare(batch.column(2))
+            h = rolling(flat, n)
+            if not len(h):
+                continue
+            pos = maps.find(h)
+            owner = row_of(offsets)
+            pos = pos[owner[pos] == owner[pos + n - 1]]
+            if not len(pos):
+                continue
+            held, size = np.unique(owner[pos], return_counts=True)
+            take = pa.array(held)
+            ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+            letters = from_codepoints(flat, offsets).take(take)
+            hits = pa.StructArray.from_arrays([pa.array(h[pos].view(np.int64)), pa.array((pos - offsets[owner[pos]]).astype(np.int32))], ["gram", "pos"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), letters, pa.ListArray.from_arrays(pa.array(ends), hits)], ["doc", "doc_id", "letters", "hits"])
+
+    rows = documents.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull())
+    keyed = rows.select(F.monotonically_increasing_id().alias("doc"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return keyed.mapInArrow(run, "doc bigint, doc_id bigint, letters string, hits array<struct<gram:bigint,pos:int>>")
+
+
+def literal_seeds(grams: DataFrame, frequency: DataFrame, passage: int, n: int) -> DataFrame:
+    """(item, gram, at): of each stretch of `passage` letters of an item the rarest n-gram, of equals the later one.
+
+    A stretch with an n-gram that the corpus doesn't have stands nowhere and needs no seed.
+    """
+    window = passage - n + 1
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            items, found, places = [], [], []
+            for item, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rank = np.array([x["count"] for x in held], np.int64)
+                if len(rank) < window:
+                    continue
+                views = np.lib.stride_tricks.sliding_window_view(rank * (len(rank) + 1) - np.arange(len(rank)), window)
+                whole = np.lib.stride_tricks.sliding_window_view(rank, window).min(1) > 0
+                at = np.unique((views.argmin(1) + np.arange(len(views)))[whole])
+                items += [item] * len(at)
+                found += [held[k]["gram"] for k in at]
+                places += [held[k]["at"] for k in at]
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(found, pa.int64()), pa.array(places, pa.int32())], ["item", "gram", "at"])
+
+    counted = grams.join(frequency, "gram", "left").select("item", F.struct("at", "gram", F.coalesce("count", F.lit(0)).alias("count")).alias("x"))
+    held = counted.groupBy("item").agg(F.array_sort(F.collect_list("x")).alias("grams"))
+    return held.mapInArrow(run, "item bigint, gram bigint, at int")
+
+
+def _windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, doc_id, item, part): the stretches of a document in which an item's copy would lie, by its seeds."""
+    for batch in batches(rows):
+        out: tuple[list, ...] = ([], [], [], [])
+        for doc, doc_id, letters, pairs in zip(*(c.to_pylist() for c in batch.columns)):
+            for pair in pairs:
+                length, starts = pair["n"], sorted(pair["starts"])
                 # Seeds at about the same place share one window; windows of one pair don't overlap much.
-                starts = sorted(set(starts))
                 slack = max(16, length // 4)
                 at = 0
                 while at < len(starts):
                     end = at
                     while end + 1 < len(starts) and starts[end + 1] - starts[end] <= slack:
                         end += 1
-                    windows.append(((row, item), flat[max(lo, starts[at] - slack) : min(hi, starts[end] + length + slack)]))
+                    for column, x in zip(out, (doc, doc_id, pair["item"], letters[max(0, starts[at] - slack) : starts[end] + length + slack])):
+                        column.append(x)
                     at = end + 1
-            found: dict[tuple[int, int], tuple[int, int]] = {}
-            # Windows of about one size are aligned together.
-            windows.sort(key=lambda w: (len(w[1]), len(items[w[0][1]])))
-            while windows:
-                take = max(1, min(len(windows), ALIGNED // (len(windows[-1][1]) + 1)))
-                part, windows = windows[-take:], windows[:-take]
-                for (pair, _), score, longest in zip(part, *align_many([w for _, w in part], [items[i] for (_, i), _ in part])):
-                    old = found.get(pair, (0, 0))
-                    found[pair] = (max(old[0], int(score)), max(old[1], int(longest)))
-            for (row, item), (score, longest) in found.items():
-                out.append((int(docs[row]), int(ids[item]), score / (2 * len(items[item])), longest))
-            if out:
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int32())], ["doc_id", "item_id", "score", "longest_run"])
-
-    rows = documents.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
-    return rows.mapInArrow(run, "doc_id bigint, item_id bigint, score double, longest_run int")
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["doc", "doc_id", "item", "part"])
+
+
+def _aligned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, doc_id, item, item_id, score, longest_run) of each window and item; windows of about one size are aligned together."""
+    for batch in batches(rows):
+        (part, part_at), (item, item_at) = to_codepoints(batch.column(4)), to_codepoints(batch.column(5))
+        widths, heights = np.diff(part_at), np.diff(item_at)
+        score, longest = np.zeros(len(widths)), np.zeros(len(widths), np.int32)
+        order = np.lexsort((heights, widths))[::-1]
+        while len(order):
+            take = max(1, min(len(order), ALIGNED // (int(widths[order[0]]) + 1)))
+            now, order = order[:take], order[take:]
+            best, run = align_many([part[part_at[k] : part_at[k + 1]] for k in now], [item[item_at[k] : item_at[k + 1]] for k in now])
+            score[now], longest[now] = best / (2 * heights[now]), run
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(score), pa.array(longest)], ["doc", "doc_id", "item", "item_id", "score", "longest_run"])
+
+
+def _search(documents: DataFrame, doc_id: str, text: str, items: DataFrame, grams: DataFrame, bits: int, passage: int, n: int, edited: bool) -> DataFrame:
+    found = cut(seeded_documents(documents, doc_id, text, gram_maps(grams, bits), n))
+    hits = found.select("doc", F.explode("hits").alias("x")).select("doc", "x.gram", "x.pos")
+    seeds = grams if edited else cut(literal_seeds(grams, hits.groupBy("gram").count(), passage, n))
+    # The item's start in the document by each seed.
+    starts = hits.join(seeds, "gram").groupBy("doc", "item").agg(F.collect_set(F.col("pos") - F.col("at")).alias("starts"))
+    pairs = starts.join(items.select("item", "n"), "item").groupBy("doc").agg(F.collect_list(F.struct("item", "n", "starts")).alias("pairs"))
+    windows = found.select("doc", "doc_id", "letters").join(pairs, "doc").mapInArrow(_windows, "doc bigint, doc_id bigint, item bigint, part string")
+    both = windows.join(items.select("item", "item_id", "letters"), "item").select("doc", "doc_id", "item", "item_id", "part", "letters")
+    aligned = both.mapInArrow(_aligned, "doc bigint, doc_id bigint, item bigint, item_id bigint, score double, longest_run int")
+    best = aligned.groupBy("doc", "doc_id", "item", "item_id").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"))
+    return best.select("doc_id", "item_id", "score", "longest_run")
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", passage: int = PASSAGE, n: int = SEED, edited: bool = True) -> DataFrame:
@@ -271,7 +295,15 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     if not 0 < n <= passage:
         raise ValueError("a seed can't be longer than the passage")
     spark: SparkSession = documents.sparkSession
+    rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull())
+    keyed = rows.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).cast("bigint").alias("item_id"), F.col(text).cast("string").alias("text"))
+    kept = cut(keyed.mapInArrow(_item_rows, "item bigint, item_id bigint, letters string, n int").where(F.col("n") >= passage))
+    many = kept.agg(F.sum(F.col("n") - (n - 1))).first()[0] or 0
     out = spark.createDataFrame([], "doc_id bigint, item_id bigint, score double, longest_run int")
-    for block in item_blocks(items, item_id, text):
-        out = out.unionByName(_search_block(documents, doc_id, text, block, passage, n, edited))
+    scans = -(-many // SCAN_GRAMS)
+    bits = min(MOST_BITS, max(22, (16 * min(many, SCAN_GRAMS)).bit_length()))
+    for scan in range(scans):
+        own = kept if scans == 1 else kept.where(F.pmod(F.xxhash64("item"), F.lit(scans)) == scan)
+        grams = own.select("item", "letters").mapInArrow(_grams_of(n), "item bigint, gram bigint, at int")
+        out = out.unionByName(_search(documents, doc_id, text, own, grams, bits, passage, n, edited))
     return out

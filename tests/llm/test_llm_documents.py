@@ -124,7 +124,7 @@ def test_bare_upper_planes():
 
 
 def test_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(leakage, "SCAN_GRAMS", 100)
     items = spark.createDataFrame([(i, chr(0x4E00 + i) * 80) for i in range(5)], "item_id bigint, text string")
     docs = spark.createDataFrame([(i, chr(0x4E00 + i) * 60) for i in range(5)], "doc_id bigint, text string")
     assert sorted((r.doc_id, r.item_id) for r in leaks(docs, items).where("longest_run >= 50").collect()) == [(i, i) for i in range(5)]

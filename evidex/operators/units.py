@@ -60,6 +60,7 @@ PERIODS = {
     "year": base("time", 12),
     "month": MONTH,
     "week": base("time", Fraction(12, 52)),
+    "fortnight": base("time", Fraction(24, 52)),
     "day": base("time", Fraction(4, 87)),
     "hour": base("time", Fraction(4, 87) / 8),
 }
@@ -71,7 +72,8 @@ TARGET = YUAN / MONTH
 UNITS = {
     "元": YUAN, "yuan": YUAN, "rmb": YUAN, "月": MONTH, "month": MONTH, "年": PERIODS["year"], "year": PERIODS["year"],
     "周": PERIODS["week"], "week": PERIODS["week"], "天": PERIODS["day"], "日": PERIODS["day"], "day": PERIODS["day"],
-    "小时": PERIODS["hour"], "hour": PERIODS["hour"], "h": PERIODS["hour"],
+    "小时": PERIODS["hour"], "hour": PERIODS["hour"], "h": PERIODS["hour"], "min": PERIODS["hour"] * Unit((0,) * len(DIMENSIONS), Fraction(1, 60)),
+    "s": PERIODS["hour"] * Unit((0,) * len(DIMENSIONS), Fraction(1, 3600)),
     "m": base("length"), "cm": base("length", Fraction(1, 100)), "km": base("length", 1000),
     "kg": base("mass"), "g": base("mass", Fraction(1, 1000)), "t": base("mass", 1000),
     "K": base("temperature"), "°C": base("temperature", 1, Fraction(27315, 100)), "°F": base("temperature", Fraction(5, 9), Fraction(45967, 100)),
@@ -122,12 +124,14 @@ def chinese_number(text: str) -> tuple[Fraction, int] | None:
 
 # Grammar of pay. Order matters: the longest notation of a place comes first.
 _TOKENS = [
-    ("pays", r"(?P<pays>\d{1,2})\s*薪"),
+    ("pays", r"(?P<pays>\d{1,2})\s*(?:[-~至到]\s*(?P<most>\d{1,2})\s*)?薪"),
     ("year", r"年薪|年包|每年|per\s*year|/\s*year|/\s*年|p\.?a\.?|annually|annual|yearly|year|年"),
     ("month", r"月薪|每月|每个月|per\s*month|/\s*month|/\s*月|monthly|month|月"),
+    ("fortnight", r"双周薪|每双周|每两周|/\s*双周|/\s*两周|biweekly|fortnightly|fortnight|双周|两周"),
     ("week", r"周薪|每周|每星期|per\s*week|/\s*week|/\s*周|weekly|week|周"),
     ("hour", r"时薪|每小时|每时|per\s*hour|/\s*hour|/\s*小时|/\s*时|/\s*h(?![a-z])|hourly|hour|小时|时"),
     ("day", r"日薪|每天|每日|per\s*day|/\s*day|/\s*天|/\s*日|daily|day|天|日"),
+    ("mixed", r"(?P<whole>\d+)\s*(?P<large>[千万kw])(?P<rest>\d(?:\.\d+)?|\d{3,4}(?=[元块]|$))(?P<small>[千百k])?(?![\d.万千kw])"),
     ("num", r"(?P<num>\d+(?:\.\d+)?)\s*(?P<mag>[千万亿kw](?![a-z]))?"),
     ("cnum", r"(?P<cnum>[零〇一二两三四五六七八九十百千万亿]+)"),
     ("min", r"以上|不低于|不少于|至少|起|from|min"),
@@ -136,6 +140,8 @@ _TOKENS = [
     ("money", r"人民币|元|块|rmb|cny|yuan|¥|￥"),
     ("skip", r"税前|税后|左右|薪资|工资|底薪|薪酬|待遇|约|[\s()\[\]·*,、/。;:+]"),
 ]
+#: An amount, a comma or bracket, and words without Arabic numerals.
+_REMARK = re.compile(r"([^,;。(]+)[,;。(]\D*$")
 _TOKEN = re.compile("|".join(f"(?P<t_{name}>{pattern})" for name, pattern in _TOKENS))
 _NAMES = [name for name, _ in _TOKENS]
 
@@ -170,6 +176,13 @@ def parse_period(text: str | None) -> tuple[str | None, int | None]:
     return period, pays
 
 
+def _mixed(m: re.Match) -> Fraction:
+    """Value of an amount such as 1万5, 1万5千 or 1万5000; without a unit of its own the rest is tenths of the unit before."""
+    large = MAGNITUDES[m["large"]]
+    small = {"百": 100, "千": 1000, "k": 1000}.get(m["small"] or "", large // 10 if len(m["rest"]) < 3 else 1)
+    return int(m["whole"]) * large + Fraction(m["rest"]) * small
+
+
 def _round(x: Fraction) -> int:
     return int((x + Fraction(1, 2)) // 1)
 
@@ -178,13 +191,21 @@ def parse_pay(text: str | None, period_text: str | None = None) -> tuple[int | N
     """Low and high bound in yuan a month; None for a bound that the text does not state.
 
     Null, empty and blank texts, texts without an amount, and texts with any word that is no part of
-    the grammar state nothing. One amount is both bounds; an amount with "from" or "up to" is one.
+    the grammar state nothing, but for a remark without numbers after a comma. One amount is both
+    bounds; an amount with "from" or "up to" is one.
     """
     if text is None:
         return None, None
-    tokens = _lex(_plain(text))
+    plain = _plain(text)
+    tokens = _lex(plain)
+    if tokens is None and (remark := _REMARK.match(plain)):
+        # A remark without numbers may follow an amount that names its unit.
+        tokens = _lex(remark[1])
+        if tokens and not any(name in ("money", "mixed") or name == "num" and m["mag"] or name == "cnum" for name, m in tokens):
+            return None, None
     if not tokens:
         return None, None
+    most = None
     period, pays, side = None, None, None
     amounts: list[tuple[Fraction, int | None]] = []
     ranged = False
@@ -197,8 +218,10 @@ def parse_pay(text: str | None, period_text: str | None = None) -> tuple[int | N
                 return None, None
             value, last = read
             amounts.append((value / last, last) if last > 1 else (value, None))
+        elif name == "mixed":
+            amounts.append((_mixed(m), 1))
         elif name == "pays":
-            pays = int(m["pays"])
+            pays, most = int(m["pays"]), m["most"] and int(m["most"])
         elif name in PERIODS:
             period = period or name
         elif name in ("min", "max"):
@@ -212,11 +235,11 @@ def parse_pay(text: str | None, period_text: str | None = None) -> tuple[int | N
     pays = pays or other_pays
     shared = next((unit for _, unit in reversed(amounts) if unit), 1)
     unit = YUAN / PERIODS[period]
-    factor = Fraction(pays, 12) if pays and period != "year" else Fraction(1)
-    values = [_round(convert(value * (own or shared), unit, TARGET) * factor) for value, own in amounts]
-    if len(values) == 2:
-        return min(values), max(values)
-    return (None if side == "max" else values[0]), (None if side == "min" else values[0])
+    yuan = sorted(convert(value * (own or shared), unit, TARGET) for value, own in amounts)
+    # Of a range of pays a year the fewer go with the low bound.
+    few, many = [Fraction(n, 12) if n and period != "year" else Fraction(1) for n in (pays, most or pays)]
+    low, high = _round(yuan[0] * few), _round(yuan[-1] * many)
+    return (None if side == "max" and len(yuan) == 1 else low), (None if side == "min" and len(yuan) == 1 else high)
 
 
 def normalize_pay(df: DataFrame, record_id: str, amount: str, period: str | None = None, field: str = "pay", bounds: tuple[str, ...] = ("low", "high")) -> DataFrame:

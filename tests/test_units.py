@@ -27,6 +27,18 @@ from evidex.operators.units import UNITS, chinese_number, convert, normalize_pay
         ("65元", "hour", (11310, 11310)),
         ("600元/天", "月", (13050, 13050)),
         ("1-2 3-4", None, (None, None)),
+        ("15k-20k，五险一金", None, (15000, 20000)),
+        ("月薪8000元，提成另算", None, (8000, 8000)),
+        ("10-15K·13-15薪", None, (10833, 18750)),
+        ("1万5", None, (15000, 15000)),
+        ("1万5千", None, (15000, 15000)),
+        ("1万5000元", None, (15000, 15000)),
+        ("1万-1万5", None, (10000, 15000)),
+        ("3000-5000元/双周", None, (6500, 10833)),
+        # No unit of pay is named, so these are something else.
+        ("3-5年，本科", None, (None, None)),
+        ("100-499人", None, (None, None)),
+        ("2万，3万", None, (None, None)),
     ],
 )
 def test_pay(text, period, want):
@@ -39,7 +51,8 @@ def test_numbers_and_units():
     assert chinese_number("一百二十万")[0] == 1200000
     assert parse_period("月薪（14薪）") == ("month", 14)
     assert parse_period("未提及") == (None, None)
-    assert convert(36, parse_unit("km/h"), parse_unit("m/s") if "s" in UNITS else parse_unit("km/h")) == 36
+    assert convert(36, parse_unit("km/h"), parse_unit("m/s")) == 10
+    assert convert(90, parse_unit("kg*m/min"), parse_unit("kg*m/s")) == Fraction(3, 2)
     assert convert(100, parse_unit("°C"), UNITS["K"]) == Fraction(37315, 100)
     assert convert(32, parse_unit("°F"), parse_unit("°C")) == 0
     with pytest.raises(ValueError):

@@ -281,12 +281,22 @@ def keyword_topk(spark, sf_dir):
     return features.keyword_topk(f, {"human": "human_hits", "digital": "digital_hits"}, 3).select("dimension", "keyword", "n", F.round("share", 6).alias("share"))
 
 
-_GRAM_SQL = """
-    with w as (select p_partkey as doc, ' ' || unnest(list_filter(regexp_split_to_array(lower(p_name), '\\s+'), lambda x: x <> '')) || ' ' as p from part),
+# From a table texts (doc, t): grams, weights, and of each query document the best match, the earlier of equals.
+_GRAMS_OF_SQL = """
+    w as (select doc, ' ' || unnest(list_filter(regexp_split_to_array(lower(t), '[\\s\\p{Z}]+'), lambda x: x <> '')) || ' ' as p from texts),
     n as (select unnest([2, 3, 4]) as n),
     g as (select doc, substr(p, i::int, n::int) as gram from w, n, unnest(range(1, greatest(length(p) - n + 2, 2))) as r(i) where length(p) > n
           union all select doc, p as gram from w where length(p) <= 4)
 """
+_WEIGHTS_OF_SQL = (
+    _GRAMS_OF_SQL
+    + """, tf as (select doc, gram, count(*) as tf from g group by 1, 2),
+    idf as (select gram, ln(((select count(distinct doc) from texts) + 1)::double / (count(*) + 1)) + 1 as idf from tf group by 1),
+    x as (select doc, gram, tf * idf as w from tf join idf using (gram)),
+    v as (select doc, gram, w / sqrt(sum(w * w) over (partition by doc)) as weight from x)
+"""
+)
+_GRAM_SQL = "with texts as (select p_partkey as doc, p_name as t from part), " + _GRAMS_OF_SQL
 
 
 @query("ngram_explode", _GRAM_SQL + "select gram, count(*) as n, count(distinct doc) as docs from g group by 1")
@@ -295,14 +305,7 @@ def ngram_explode(spark, sf_dir):
     return grams.groupBy("gram").agg(F.count("*").alias("n"), F.countDistinct("p_partkey").alias("docs"))
 
 
-_TFIDF_SQL = (
-    _GRAM_SQL
-    + """, tf as (select doc, gram, count(*) as tf from g group by 1, 2),
-    idf as (select gram, ln(((select count(*) from part) + 1)::double / (count(*) + 1)) + 1 as idf from tf group by 1),
-    x as (select doc, gram, tf * idf as w from tf join idf using (gram)),
-    v as (select doc, gram, w / sqrt(sum(w * w) over (partition by doc)) as weight from x)
-"""
-)
+_TFIDF_SQL = "with texts as (select p_partkey as doc, p_name as t from part), " + _WEIGHTS_OF_SQL
 
 
 @query("tfidf_weights", _TFIDF_SQL + "select doc, gram, round(weight, 6) as weight from v")
@@ -312,14 +315,17 @@ def tfidf_weights(spark, sf_dir):
 
 @query(
     "cosine_argmax",
-    _TFIDF_SQL + """, s as (select a.doc, b.doc as match, round(sum(a.weight * b.weight), 9) as score from v a join v b using (gram) where b.doc < 20 and a.doc >= 20 group by 1, 2)
-    select doc, arg_max(match, score * 1000000 - match) as match, round(max(score), 6) as score from s group by 1""",
+    "with texts as (select 'u:' || p_partkey as doc, p_name as t from part union all select 'p:' || p_type, p_name from part where p_type is not null), "
+    + _WEIGHTS_OF_SQL
+    + """, s as (select a.doc, b.doc as match, round(sum(a.weight * b.weight), 9) as score from v a join v b using (gram) where a.doc like 'u:%' and b.doc like 'p:%' group by 1, 2),
+    b as (select * from s qualify row_number() over (partition by doc order by score desc, match) = 1)
+    select p_partkey as doc, substr(match, 3) as match, coalesce(round(score, 6), 0) as score from part left join b on b.doc = 'u:' || p_partkey""",
 )
 def cosine_argmax(spark, sf_dir):
     """For each part name the most similar prototype of a part type, which is all names of the type.
 
     Names and prototypes are one corpus. Ties go to the earlier type; a name that shares no n-gram with
-    any prototype has no match and score 0. The SQL beside it matches with parts below 20 only.
+    any prototype has no match and score 0.
     """
     part = table(spark, sf_dir, "part")
     names = part.select(F.concat(F.lit("u:"), F.col("p_partkey").cast("string")).alias("doc"), "p_name")
@@ -403,9 +409,9 @@ def delimited_explode(spark, sf_dir):
     return jobs_of(spark, sf_dir).select(F.explode(T.delimited(F.col("skills"))).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("template_fill", "select doc_id, replace('A {x} B', '{x}', left(text, 20)) as prompt from documents where text is not null")
+@query("template_fill", "select doc_id, replace('A {x} B', '{x}', text) as prompt from documents where text is not null")
 def template_fill(spark, sf_dir):
-    """The template filled with each whole text. The SQL beside it cuts texts to 20 characters."""
+    """The template filled with each whole text."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     return docs.select("doc_id", T.fill_template("A {x} B", F.col("text"), "{x}").alias("prompt"))
 

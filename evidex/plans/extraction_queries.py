@@ -54,9 +54,19 @@ def parse_levels(spark, sf_dir):
     return X.level_counts(parsed(spark, sf_dir), ["run"]).select("run", "n", *[F.round(c, 6).alias(c) for c in ("strict_rate", "json_rate", "schema_rate")], "no_json")
 
 
-@query("parsed_fields", f"select info_id, {_sql_scalar('职位名称')} as title, {_sql_scalar('最低薪资')} as low, {_sql_scalar('薪资周期')} as period, coalesce(array_to_string({_sql_items('软技能')}, '¦'), '') as soft from jobinfo where version = 'v3'")
+# What each step reads of the outputs: v3 and readable v2 all fields, v1 the labelled lines, unreadable v2 nothing.
+_READ_SQL = f"with l as ({_LEVEL_SQL}), r as (select *, level <> 'text' as json, split_part(coalesce(职位名称, '未提及'), chr(10), 1) as line from l)"
+
+
+@query(
+    "parsed_fields",
+    _READ_SQL
+    + f""" select info_id, case when json then {_sql_scalar('职位名称')} when version = 'v1' then {_sql_scalar("replace(replace(line, '**', ''), '`', '')")} end as title,
+    case when json then {_sql_scalar('最低薪资')} end as low, case when json then {_sql_scalar('薪资周期')} end as period,
+    case when json then coalesce(array_to_string({_sql_items('软技能')}, '¦'), '') else '' end as soft from r""",
+)
 def parsed_fields(spark, sf_dir):
-    """The fields of the records of all versions, by whichever step read them. The SQL beside it gives v3 only."""
+    """The fields of the records of all versions, by whichever step read them."""
     p = parsed(spark, sf_dir)
     return p.select("info_id", F.col("职位名称").alias("title"), F.col("最低薪资").alias("low"), F.col("薪资周期").alias("period"), F.array_join("软技能", "¦").alias("soft"))
 

@@ -11,7 +11,6 @@ from evidex.dictionaries import DIMENSIONS, EVIDENCE_WEIGHTS, TIERS, TIME_FACTOR
 from evidex.operators.features import group_profile
 
 
-
 def whole() -> Window:
     """One window over a whole aggregated frame."""
     return Window.partitionBy(F.lit(0))
@@ -143,10 +142,11 @@ def scenario_weights(weights: Mapping[str, float] = WEIGHTS, step: float = 0.05)
     return out
 
 
-def sensitivity(scored: DataFrame, label: str = "category", risk: str = "Risk", weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
+def sensitivity(scored: DataFrame, label: str = "category", risk: str = "Risk", weights: Mapping[str, float] = WEIGHTS, order: Sequence[str] = ()) -> DataFrame:
     """(scenario, rho, highest, lowest, spread): other weights, priors only and data only against the baseline ranks.
 
-    Scenarios are columns turned into rows of the small scored frame.
+    Scenarios are columns turned into rows of the small scored frame. Of labels with equal scores the
+    one that is earlier in order stands, or by name without an order.
     """
     plain = {d: F.col(d) for d in weights}
     cases = {name: weighted_score(plain, w) for name, w in scenario_weights(weights).items()}
@@ -162,9 +162,10 @@ def sensitivity(scored: DataFrame, label: str = "category", risk: str = "Risk",
         return F.rank().over(by.orderBy(F.desc(c))) + (F.count("*").over(Window.partitionBy("scenario", c)) - 1) / 2
 
     ranked = long.withColumns({"rb": ranks("base"), "rs": ranks("score")})
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("label")) if order else F.lit(0)
     return ranked.groupBy("scenario").agg(
-        F.corr("rb", "rs").alias("rho"), F.max_by("label", F.struct("score", F.col("label"))).alias("highest"),
-        F.min_by("label", F.struct("score", F.col("label"))).alias("lowest"), (F.max("score") - F.min("score")).alias("spread"),
+        F.corr("rb", "rs").alias("rho"), F.min_by("label", F.struct(-F.col("score"), place, "label")).alias("highest"),
+        F.min_by("label", F.struct("score", place, "label")).alias("lowest"), (F.max("score") - F.min("score")).alias("spread"),
     )
 
 

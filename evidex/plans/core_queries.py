@@ -356,7 +356,29 @@ def classified_jobs(spark, sf_dir):
     return classify.classify(with_text(std_titles(spark, sf_dir)), RULES, "其他", "row_id")
 
 
-@query("similarity_backfill")
+def _classified_sql(rows: str) -> str:
+    """CTEs up to cls: class, method and similarity of the rows that a query gives as row_id."""
+    place = f"list_position({sql_list([*(r.name for r in RULES), '其他'])}, match)"
+    return (
+        _TITLE_SQL
+        + f""", src as ({rows}),
+    r0 as (select row_id, std_title, {_sql_rules('std_title', _TEXT_SQL)} as r from t join company_jobs_merged using (row_id) semi join src using (row_id)),
+    ruled as (select row_id, std_title, nullif(split_part(coalesce(r, ''), '|', 1), '') as category, split_part(coalesce(r, ''), '|', 3) as level from r0),
+    p0 as (select * from ruled where level = 'title' qualify row_number() over (partition by category order by row_id) <= 400),
+    texts as (select 'p:' || category as doc, string_agg(std_title, ' ' order by row_id) as t from p0 group by category
+              union all select 'u:' || row_id, std_title from ruled where category is null),
+    """
+        + _WEIGHTS_OF_SQL
+        + f""", sims as (select a.doc, substr(b.doc, 3) as match, round(sum(a.weight * b.weight), 12) as score from v a join v b using (gram) where a.doc like 'u:%' and b.doc like 'p:%' group by 1, 2),
+    best as (select * from sims qualify row_number() over (partition by doc order by score desc, {place}) = 1),
+    cls as (select row_id, std_title, coalesce(category, case when score >= 0.12 then match end, '其他') as category,
+            case when category is not null then 'rule' when score >= 0.12 then 'embedding_sim' else 'fallback' end as assign_method,
+            case when category is null then round_even(coalesce(score, 0), 4) end as sim_score from ruled left join best on best.doc = 'u:' || row_id)
+    """
+    )
+
+
+@query("similarity_backfill", _classified_sql("select row_id from company_jobs_merged") + "select row_id, category, assign_method, sim_score from cls")
 def similarity_backfill(spark, sf_dir):
     return classified_jobs(spark, sf_dir).select("row_id", "category", "assign_method", "sim_score")
 
@@ -439,19 +461,19 @@ def group_profile(spark, sf_dir):
     return p.select("company_industry", "n", "companies", *[F.round(c, 6).alias(c) for c in ("pay_median", "ai", "human")])
 
 
-_MATRIX_SQL = (
-    _FEATURE_SQL.replace("from company_jobs_merged), f1", "from company_jobs_merged), f1", 1)
-    + """, g as (select company_industry as category, count(*) as n, """
-    + ", ".join(f"avg(has_{d}) as {d}_cover, avg(n_{d}) as {d}_depth" for d in WORDS)
-    + """, avg(low_barrier) as low_share, avg(senior_barrier) as senior_share from f where company_industry is not null group by 1),
-    z as (select *, """
-    + ", ".join(f"({d}_depth - min({d}_depth) over ()) / (max({d}_depth) over () - min({d}_depth) over () + 1e-9) as z_{d}" for d in WORDS)
-    + """ from g),
+def _matrix_ctes(source: str, key: str) -> str:
+    """CTEs up to raw: profile and raw dimension scores of each class."""
+    covers = ", ".join(f"avg(has_{d}) as {d}_cover, avg(n_{d}) as {d}_depth" for d in WORDS)
+    scales = ", ".join(f"({d}_depth - min({d}_depth) over ()) / (max({d}_depth) over () - min({d}_depth) over () + 1e-9) as z_{d}" for d in WORDS)
+    return f"""mg as (select {key} as category, count(*) as n, {covers}, avg(low_barrier) as low_share, avg(senior_barrier) as senior_share from {source} where {key} is not null group by 1),
+    mz as (select *, {scales} from mg),
     raw as (select *, 0.40::double * repeat_cover + 0.20::double * z_repeat + 0.20::double * (1 - creative_cover) + 0.20::double * low_share as R_raw,
         0.70::double * rule_cover + 0.30::double * z_rule as S_raw, 0.70::double * digital_cover + 0.30::double * z_digital as D_raw,
-        0.70::double * ai_cover + 0.30::double * z_ai as A_raw, 0.55::double * human_cover + 0.20::double * z_human + 0.25::double * senior_share as H_raw from z)
+        0.70::double * ai_cover + 0.30::double * z_ai as A_raw, 0.55::double * human_cover + 0.20::double * z_human + 0.25::double * senior_share as H_raw from mz)
 """
-)
+
+
+_MATRIX_SQL = _FEATURE_SQL + ", " + _matrix_ctes("f", "company_industry")
 
 
 def industry_matrix(spark, sf_dir):
@@ -674,27 +696,104 @@ def order_segments(spark, sf_dir):
 # --- whole pipelines ------------------------------------------------------------------------------
 
 
-@query("pipeline_scores")
+def _each(text: str, end: str = ", ") -> str:
+    """The text once for each dimension, {d} being its name."""
+    return end.join(text.replace("{d}", d) for d in D.DIMENSIONS)
+
+
+def _risk_sql(of: str = "{d}") -> str:
+    return " + ".join(f"{w!r}::double * " + ("(100 - " + of.format(d=d) + ")" if d == "H" else of.format(d=d)) for d, w in D.WEIGHTS.items())
+
+
+_TIER_SQL = "case when Risk >= 70 then '高替代风险' when Risk >= 40 then '中等替代风险' else '低替代风险' end"
+_OWN = {"R": "has_repeat", "S": "has_rule", "D": "has_digital", "A": "has_ai", "H": "has_human"}
+_OWN_SQL = ", ".join(f"avg({c}) as own_{d}" for d, c in _OWN.items()) + ", avg(low_barrier) as own_low"
+_MEANS_SQL = ", ".join(f"avg({c}) as mean_{d}" for d, c in _OWN.items()) + ", avg(low_barrier) as mean_low"
+_PRIOR_ROWS = ", ".join(f"('{c}', {', '.join(f'{float(x)!r}::double' for x in p)})" for c, p in PRIORS.items())
+_PIPELINE_SQL = (
+    "with " + _CLEAN_SQL.strip().removeprefix("with ") + ", " + _classified_sql("select row_id from c").strip().removeprefix("with ") + ", " + _FEATURE_SQL.removeprefix("with ")
+    + ", jobs as (select f.*, cls.category, cls.std_title, cls.assign_method from f join cls using (row_id)), " + _matrix_ctes("jobs", "category")
+    + ", cal as (select *, " + _each("round_even(case when max({d}_raw) over () - min({d}_raw) over () < 1e-9 then 50 else 10::double + ({d}_raw - min({d}_raw) over ()) / (max({d}_raw) over () - min({d}_raw) over ()) * 80::double end, 2) as {d}_data") + " from raw)"
+    + f", prior as (select * from (values {_PRIOR_ROWS}) as p(category, {_each('{d}_expert')}))"
+    + ", sc0 as (select cal.*, " + _each("{d}_expert") + ", " + ", ".join(f"{w!r}::double * n / (n + 30) as {d}_weight" for d, w in D.EVIDENCE_WEIGHTS.items()) + " from cal join prior using (category))"
+    + ", sc1 as (select *, " + _each("round_even({d}_weight * {d}_data + (1 - {d}_weight) * {d}_expert, 2) as {d}") + " from sc0)"
+    + f", sc2 as (select *, round_even({_risk_sql()}, 1) as Risk from sc1)"
+    + f", sc as (select *, {_TIER_SQL} as tier, floor(rank() over (order by Risk desc) + (count(*) over (partition by Risk) - 1) / 2.0)::int as place from sc2)"
+    + f", base as (select category as anchor, {_MEANS_SQL}, " + _each("any_value(sc.{d}) as base_{d}") + " from jobs join sc using (category) group by 1)"
+)
+
+
+def _offset_sql(source: str, name: str, barrier: str) -> str:
+    """CTEs up to name: the anchor's score moved by the group's own evidence."""
+    w = "(1.0::double * n / (n + 15))"
+    moved = _each(f"round_even(greatest(5, least(base_{{d}} + (own_{{d}} - mean_{{d}}) * 35::double * {w}, 95)), 2) as {{d}}")
+    return (
+        f"{name}0 as (select *, {w} as weight, {moved} from {source} join base using (anchor)), "
+        f"{name}1 as (select * replace (round_even(greatest(5, least(R + (own_low - mean_low) * 12 * {barrier}, 95)), 2) as R) from {name}0), "
+        f"{name} as (select *, round_even({_risk_sql()}, 1) as Risk from {name}1)"
+    )
+
+
+@query("pipeline_scores", _PIPELINE_SQL + f" select category, n, {_each('{d}')}, Risk, tier, place from sc")
 def pipeline_scores(spark, sf_dir):
     """Postings to class scores: clean, normalise, classify, features, matrix, blend, risk."""
     return pipelines.scored(jobs_of(spark, sf_dir), STUDY)["scores"].select("category", "n", *D.DIMENSIONS, "Risk", "tier", "place")
 
 
-@query("pipeline_detail")
+@query(
+    "pipeline_detail",
+    _PIPELINE_SQL + " " + _each("select category, '{d}' as dimension, {d}_data as data, {d}_expert as prior, round_even({d}_weight, 3) as weight, {d} as blended from sc", " union all "),
+)
 def pipeline_detail(spark, sf_dir):
     return pipelines.scored(jobs_of(spark, sf_dir), STUDY)["detail"]
 
 
-@query("pipeline_subgroups")
+@query(
+    "pipeline_subgroups",
+    _PIPELINE_SQL
+    + f", own as (select category, category as anchor, std_title, count(*) as n, count(distinct official_name) as companies, {_OWN_SQL} from jobs where std_title is not null group by 1, 2, 3 having count(*) >= 5), "
+    + _offset_sql("own", "sg", "1.0::double")
+    + f" select category, std_title, n, companies, {_each('{d}')}, Risk, {_TIER_SQL} as tier, category in ('财务', '风险') as is_core from sg",
+)
 def pipeline_subgroups(spark, sf_dir):
     return pipelines.scored(jobs_of(spark, sf_dir), STUDY)["subgroups"].select("category", "std_title", "n", "companies", *D.DIMENSIONS, "Risk", "tier", "is_core")
 
 
-@query("pipeline_roles")
+_ANCHORS_SQL = ", ".join(f"('{r.name}', '{r.anchor}', {i})" for i, r in enumerate(ROLES))
+_ROLES_SQL = (
+    _PIPELINE_SQL
+    + f", claims as (select *, {_ROLE_SQL} as role from jobs), own as (select role, anchor, ord, count(*) as n, {_OWN_SQL} from claims join (values {_ANCHORS_SQL}) as an(role, anchor, ord) using (role) group by 1, 2, 3), "
+    + "kept as (select * from own where n >= 5), " + _offset_sql("kept", "ro", "weight")
+)
+
+
+@query(
+    "pipeline_roles",
+    _ROLES_SQL
+    + f" select row_number() over (order by Risk desc, ord)::int as place, role, anchor, n, {_each('{d}')}, Risk, {_TIER_SQL} as tier, round_even(weight, 3) as weight, case when n >= 50 then 'strong' when n >= 20 then 'middle' else 'weak' end as strength from ro",
+)
 def pipeline_roles(spark, sf_dir):
     return pipelines.scored(jobs_of(spark, sf_dir), STUDY)["roles"].select("place", "role", "anchor", "n", *D.DIMENSIONS, "Risk", "tier", "weight", "strength")
 
 
-@query("pipeline_sensitivity")
+def _cases_sql() -> str:
+    """Rows (scenario, label, base, score) of all scenarios, rounded so that scores equal but for the last bits are tied."""
+    cases = {name: " + ".join(f"{w[d]!r}::double * " + ("(100 - H)" if d == "H" else d) for d in D.DIMENSIONS) for name, w in scoring.scenario_weights().items()}
+    cases |= {"prior only": _risk_sql("{d}_expert"), "data only": _risk_sql("{d}_data")}
+    return " union all ".join(f"select '{name}' as scenario, category as label, Risk as base, round({x}, 9) as score from sc" for name, x in cases.items())
+
+
+_ORDER_SQL = f"list_position({sql_list([*(r.name for r in RULES), '其他'])}, label)"
+
+
+@query(
+    "pipeline_sensitivity",
+    _PIPELINE_SQL
+    + f""", cases as ({_cases_sql()}), places as (select *, rank() over (partition by scenario order by base desc) + (count(*) over (partition by scenario, base) - 1) / 2.0 as rb,
+    rank() over (partition by scenario order by score desc) + (count(*) over (partition by scenario, score) - 1) / 2.0 as rs,
+    row_number() over (partition by scenario order by score desc, {_ORDER_SQL}) as top, row_number() over (partition by scenario order by score, {_ORDER_SQL}) as low from cases)
+    select scenario, round(corr(rb, rs), 6) as rho, max(label) filter (top = 1) as highest, max(label) filter (low = 1) as lowest, round(max(score) - min(score), 6) as spread from places group by 1""",
+)
 def pipeline_sensitivity(spark, sf_dir):
-    return pipelines.scored(jobs_of(spark, sf_dir), STUDY)["sensitivity"]
+    found = pipelines.scored(jobs_of(spark, sf_dir), STUDY)["sensitivity"]
+    return found.select("scenario", F.round("rho", 6).alias("rho"), "highest", "lowest", F.round("spread", 6).alias("spread"))

@@ -39,7 +39,7 @@ def scored(postings: DataFrame, study: Study, order: str = "row_id") -> dict[str
     wide = features.job_features(classified(postings, study, order), study.keywords)
     flags = [c for d in study.keywords for c in (f"n_{d}", f"has_{d}", f"{d}_hits")]
     jobs = cut(wide.select(order, "official_name", "title", "std_title", "category", "assign_method", "city", "salary_k", "degree_level", "exp_level", "low_barrier", "senior_barrier", *flags))
-    matrix = features.category_matrix(jobs)
+    matrix = features.category_matrix(jobs, study.order)
     scores = scoring.score_categories(matrix, study.priors)
     anchors = {r.name: r.anchor for r in study.roles}
     # Means of the anchors come from all jobs, so the claim rides along as a column.
@@ -48,7 +48,7 @@ def scored(postings: DataFrame, study: Study, order: str = "row_id") -> dict[str
     return {
         "jobs": jobs, "title_map": title_map(jobs), "summary": category_summary(jobs), "matrix": matrix, "scores": scores,
         "detail": scoring.dimension_detail(scores), "subgroups": scoring.score_subgroups(jobs, scores, core=study.core),
-        "roles": roles, "roles_dropped": dropped, "sensitivity": scoring.sensitivity(scores),
+        "roles": roles, "roles_dropped": dropped, "sensitivity": scoring.sensitivity(scores, order=study.order),
     }
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from evidex import dictionaries as D
@@ -71,7 +73,17 @@ def parsed_fields(spark, sf_dir):
     return p.select("info_id", F.col("职位名称").alias("title"), F.col("最低薪资").alias("low"), F.col("薪资周期").alias("period"), F.array_join("软技能", "¦").alias("soft"))
 
 
-@query("schema_errors")
+_EMPTY_OF = {"薪资范围": "OBJECT", "技能要求": "OBJECT", "AI相关技术栈要求": "ARRAY"}
+_ERROR_SQL = " union all ".join(
+    [f"""select event_id, 'missing: {k}' as error from o where not json_exists(props, '$."{k}"')""" for k in D.REQUIRED_KEYS]
+    + [f"""select event_id, '{"no list" if kind == "ARRAY" else "no object"}: {k}' from o where coalesce(json_type(props, '$."{k}"'), '') <> '{kind}'""" for k, kind in _EMPTY_OF.items()]
+    + [f"""select event_id, 'missing: 薪资范围.{k}' from o where json_type(props, '$."薪资范围"') = 'OBJECT' and not json_exists(props, '$."薪资范围"."{k}"')""" for k in D.PAY_KEYS]
+    + [f"""select event_id, 'no list: {k}' from o where json_type(props, '$."技能要求"') = 'OBJECT' and coalesce(json_type(props, '$."技能要求"."{k}"'), '') <> 'ARRAY'""" for k in D.SKILL_KEYS]
+    + ["select event_id, 'not an object' from events where json_valid(props) and json_type(props) <> 'OBJECT'", "select event_id, 'no JSON' from events where not coalesce(json_valid(props), false)"]
+)
+
+
+@query("schema_errors", f"with o as (select event_id, props from events where json_valid(props) and json_type(props) = 'OBJECT'), e as ({_ERROR_SQL}) select error, count(*) as n from e group by 1")
 def schema_errors(spark, sf_dir):
     """How often each part of the schema is missing in the events' properties read as records."""
     props = table(spark, sf_dir, "events").select("event_id", "props")
@@ -91,7 +103,27 @@ def sql_functions(spark, sf_dir):
     return spark.sql(f"select event_id, evidex_json_level(props) as level, upper(evidex_nfkc(event_type)) as kind from parquet.`{sf_dir}/events.parquet`")
 
 
-@query("pay_text_parts")
+_SPACES = "^[\\s\\p{Z}]+|[\\s\\p{Z}]+$"
+_RANGE_RE = "(\\p{Nd}+(?:\\.\\p{Nd}+)?)[\\s\\p{Z}]*(K|k|千|万|元)?[\\s\\p{Z}]*[-~－—到至][\\s\\p{Z}]*(\\p{Nd}+(?:\\.\\p{Nd}+)?)[\\s\\p{Z}]*(K|k|千|万|元)?"
+_PERIOD_RE = "(1[0-9]薪|/[\\s\\p{Z}]*月|每月|元/月|月薪|/[\\s\\p{Z}]*年|年薪|/[\\s\\p{Z}]*天|元/天|日薪)"
+
+
+def _pay_ends_sql(x: str) -> str:
+    """low, high and period of a pay text, for a select list."""
+    part = [f"regexp_extract({x}, '{_RANGE_RE}', {i})" for i in range(1, 5)]
+    unit = f"coalesce(nullif({part[3]}, ''), {part[1]})"
+    sign = f"nullif(regexp_extract({x}, '{_PERIOD_RE}', 1), '')"
+    period = f"case when contains({sign}, '月') then '月' when contains({sign}, '年') then '年' when contains({sign}, '天') or contains({sign}, '日') then '日' else {sign} end"
+    says = f"{_sql_scalar(x)} is not null"
+    return f"case when {says} then nullif({part[0]}, '') || {unit} end as low, case when {says} then nullif({part[2]}, '') || {unit} end as high, case when {says} then {period} end as period"
+
+
+@query(
+    "pay_text_parts",
+    f"""with x as (select row_id, split_part(coalesce(salary, ''), chr(10), 1) as line from company_jobs_merged),
+    y as (select row_id, case when length(line) - length(replace(line, '|', '')) < 2 then regexp_replace(replace(replace(line, '**', ''), '`', ''), '{_SPACES}', '', 'g') end as t from x)
+    select row_id, {_pay_ends_sql("t")} from y""",
+)
 def pay_text_parts(spark, sf_dir):
     """Low, high and period that record texts state, by the pay pattern of free output."""
     lines = table(spark, sf_dir, "company_jobs_merged").select("row_id", F.concat(F.lit("薪资范围："), F.coalesce("salary", F.lit(""))).alias("t"))
@@ -102,13 +134,24 @@ def pay_text_parts(spark, sf_dir):
 _SCALARS = [("职位名称", "title"), ("学历要求", "degree"), ("经验要求", "experience")]
 
 
-def unit_rows(spark, sf_dir):
+def clean_records(spark, sf_dir):
+    """The records as the table states them, with all fields cleaned."""
     info = table(spark, sf_dir, "jobinfo")
-    clean = info.select("info_id", "row_id", "version", *[T.clean_scalar(F.col(c)).alias(c) for c, _ in _SCALARS])
-    return X.scalar_long(clean, ["info_id", "row_id", "version"], "unit", [c for c, _ in _SCALARS]).where("unit is not null and unit <> ''")
+    return info.select("info_id", "row_id", "version", *[T.clean_scalar(F.col(c)).alias(c) for c in D.SCALAR_FIELDS], *[T.split_list(F.col(c)).alias(c) for c in D.LIST_FIELDS])
 
 
-_UNITS_SQL = "with u as (" + " union all ".join(f"select info_id, row_id, version, '{c}' as field, {_sql_scalar(c)} as unit from jobinfo" for c, _ in _SCALARS) + "), v as (select * from u where unit is not null and unit <> '')"
+def unit_rows(spark, sf_dir):
+    return X.units(clean_records(spark, sf_dir), ["info_id", "row_id", "version"])
+
+
+def _units_of_sql(source: str, scalars: dict[str, str], lists: dict[str, str]) -> str:
+    """CTEs up to v (info_id, row_id, version, field, unit) of a source, by SQL of each field."""
+    parts = [f"select info_id, row_id, version, '{f}' as field, {x} as unit from {source}" for f, x in scalars.items()]
+    parts += [f"select info_id, row_id, version, '{f}', unnest({x}) from {source}" for f, x in lists.items()]
+    return f"u as ({' union all '.join(parts)}), v as (select * from u where unit is not null and unit <> '')"
+
+
+_UNITS_SQL = "with " + _units_of_sql("jobinfo", {c: _sql_scalar(c) for c in D.SCALAR_FIELDS}, {c: _sql_items(c) for c in D.LIST_FIELDS})
 
 
 @query("units_explode", _UNITS_SQL + " select version, field, count(*) as n, count(distinct unit) as kinds from v group by 1, 2")
@@ -116,14 +159,59 @@ def units_explode(spark, sf_dir):
     return unit_rows(spark, sf_dir).groupBy("version", "field").agg(F.count("*").alias("n"), F.countDistinct("unit").alias("kinds"))
 
 
-_JUDGED_SQL = _UNITS_SQL + f", j as (select v.*, coalesce(contains({_NORM_SQL.format('p.title')} || {_NORM_SQL.format('p.jd')}, {_NORM_SQL.format('unit')}), false) as supported from v left join company_jobs_merged p using (row_id))"
+def _nfkc_parts() -> tuple[str, str, list[tuple[str, str]]]:
+    """Characters with a one-letter compatibility form, these forms, and pairs of those whose form is longer."""
+    single: list[tuple[str, str]] = []
+    several: list[tuple[str, str]] = []
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x30000)]):
+        form = unicodedata.normalize("NFKC", c)
+        if form != unicodedata.normalize("NFC", c):
+            if len(form) == 1:
+                single.append((c, form))
+            elif ord(c) < 0x3400:
+                several.append((c, form))
+    return "".join(a for a, _ in single), "".join(b for _, b in single).replace("'", "''"), [(a, b.replace("'", "''")) for a, b in several]
+
+
+_FROM, _TO, _LONGER = _nfkc_parts()
+
+
+def _nfkc_sql(x: str) -> str:
+    """Compatibility form of Unicode in DuckDB, by tables; longer forms from U+3400 on are left out."""
+    out = f"translate({x}, '{_FROM}', '{_TO}')"
+    longer = out
+    for a, b in _LONGER:
+        longer = f"replace({longer}, '{a}', '{b}')"
+    return f"nfc_normalize(case when not regexp_matches({x}, '[^ -~一-鿿]') then {x} when regexp_matches({x}, '[{''.join(a for a, _ in _LONGER)}]') then {longer} else {out} end)"
+
+
+def _norm_wide(x: str) -> str:
+    return _NORM_SQL.format(_nfkc_sql(x))
+
+
+def _judged_sql(units: str, source: str) -> str:
+    """CTEs up to j: units of v with whether the source of their posting holds one of their forms."""
+    digits = "case when field in ('最低薪资', '最高薪资') then regexp_replace(unit, '[^0-9.]', '', 'g') else '' end"
+    forms = f"list_filter([bare, {digits}, case when field = '薪资周期' then bare || '薪' else '' end, case when field = '薪资周期' then '元' || bare else '' end], lambda x: x <> '')"
+    return (
+        units
+        + f""", kinds as (select unit, {_norm_wide('unit')} as bare from (select distinct unit from v)),
+        src as (select row_id, {_norm_wide(source)} as s from company_jobs_merged),
+        j as (select v.*, len(list_filter({forms}, lambda x: contains(coalesce(s, ''), x))) > 0 and s is not null as supported from v join kinds using (unit) left join src using (row_id))"""
+    )
+
+
+def _joined(*columns: str) -> str:
+    return f"concat_ws(chr(10), {', '.join(columns)})"
+
+
+_JUDGED_SQL = _judged_sql(_UNITS_SQL, _joined("title", "jd"))
 
 
 def judged(spark, sf_dir):
-    """Units with whether the normalised posting holds them; the join is by posting, containment a filter on it."""
-    posts = table(spark, sf_dir, "company_jobs_merged").select("row_id", F.concat(T.norm_text(F.col("title"), wide=False), T.norm_text(F.col("jd"), wide=False)).alias("source"))
-    joined = unit_rows(spark, sf_dir).join(posts, "row_id", "left")
-    return joined.withColumn("supported", F.coalesce(F.contains("source", T.norm_text(F.col("unit"), wide=False)), F.lit(False)))
+    """All units of the records, judged by the literal evidence of their posting."""
+    posts = table(spark, sf_dir, "company_jobs_merged").select("row_id", F.concat_ws("\n", "title", "jd").alias("input_text"))
+    return X.verdicts(unit_rows(spark, sf_dir), posts, ["row_id"], "input_text")
 
 
 @query("evidence_containment", _JUDGED_SQL + " select field, supported, count(*) as n from j group by 1, 2")
@@ -146,7 +234,27 @@ def flag_queue(spark, sf_dir):
     return X.screening_queue(judged(spark, sf_dir).where("row_id is not null"), "row_id", "version").select("row_id", "unit", F.array_join("seen", ",").alias("seen"))
 
 
-@query("literal_evidence")
+def _bare_line(c: str, empty: str) -> str:
+    return f"replace(replace(split_part(coalesce({c}, '{empty}'), chr(10), 1), '**', ''), '`', '')"
+
+
+# What the labelled lines of v1 state; the place stands in a table row.
+_LINE_OF = {"职位名称": _bare_line("职位名称", "未提及"), "学历要求": _bare_line("学历要求", "无"), "工作地点": "replace(split_part(split_part(coalesce(工作地点, '无'), chr(10), 1), '|', 1), '**', '')"}
+
+
+def _read_scalar(c: str) -> str:
+    line = f" when version = 'v1' then {_sql_scalar(_LINE_OF[c])}" if c in _LINE_OF else ""
+    return f"case when json then {_sql_scalar(c)}{line} end"
+
+
+def _read_items(c: str) -> str:
+    return f"case when json then coalesce({_sql_items(c)}, []) else [] end"
+
+
+_READ_UNITS_SQL = _READ_SQL + ", " + _units_of_sql("r", {c: _read_scalar(c) for c in D.SCALAR_FIELDS}, {c: _read_items(c) for c in D.LIST_FIELDS})
+
+
+@query("literal_evidence", _judged_sql(_READ_UNITS_SQL, _joined("title", "salary", "location", "jd")) + " select version, field, count(*) as n, count(*) filter (supported) as supported from j where row_id is not null group by 1, 2")
 def literal_evidence(spark, sf_dir):
     """Units judged by all literal forms, digits of pay and period variants included."""
     posts = table(spark, sf_dir, "company_jobs_merged").select("row_id", F.concat_ws("\n", "title", "salary", "location", "jd").alias("input_text"))
@@ -187,15 +295,38 @@ def list_metrics(spark, sf_dir):
     return X.list_metrics(prf_rows(spark, sf_dir), ["version"]).select("version", "tp", "fp", "fn", F.round("macro_f1", 6).alias("macro_f1"), F.round("micro_f1", 6).alias("micro_f1"))
 
 
-@query("field_accuracy")
+# Right fields: scalars by comparison form, lists by their sets of forms.
+_RESULTS_SQL = (
+    ", sv as ("
+    + " union all ".join(f"select info_id, version, '{c}' as field, {_read_scalar(c)} as pred, {_sql_scalar(c)} as gold from r" for c in D.SCALAR_FIELDS)
+    + f"), sk as (select x, {_norm_wide('x')} as bare from (select pred as x from sv union select gold from sv) where x is not null), "
+    + "sr as (select info_id, version, field, case when gold is null then pred is null else coalesce(p.bare = g.bare, false) end as ok from sv left join sk p on p.x = pred left join sk g on g.x = gold), lv as ("
+    + " union all ".join(f"select info_id, version, '{c}' as field, {side} as side, unnest({x}) as x from r" for c in D.LIST_FIELDS for side, x in (("'p'", _read_items(c)), ("'g'", f"coalesce({_sql_items(c)}, [])")))
+    + f"), lk as (select x, {_norm_wide('x')} as bare from (select distinct x from lv)), ls as (select distinct info_id, version, field, side, bare from lv join lk using (x) where bare <> ''), "
+    + "lc as (select info_id, version, field, count(*) filter (sides = 2) as tp, count(*) filter (sides = 1 and one = 'p') as fp, count(*) filter (sides = 1 and one = 'g') as fn from (select info_id, version, field, bare, count(*) as sides, min(side) as one from ls group by 1, 2, 3, 4) group by 1, 2, 3), "
+    + f"la as (select info_id, version, f.field, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, coalesce(fn, 0) as fn from r cross join (select unnest({D.LIST_FIELDS!r}::varchar[]) as field) f left join lc using (info_id, version, field)), ".replace(repr(D.LIST_FIELDS), "[" + ", ".join(f"'{c}'" for c in D.LIST_FIELDS) + "]")
+    + "results as (select info_id, version, field, ok, ok as lenient from sr union all select info_id, version, field, fp + fn = 0, case when tp + fp + fn = 0 then true else 2 * tp / (2 * tp + fp + fn)::double >= 0.8 end from la)"
+)
+
+
+@query("field_accuracy", _READ_SQL + _RESULTS_SQL + " select version, field, round(avg(ok::int), 6) as strict, round(avg(lenient::int), 6) as lenient, count(*) as n from results group by 1, 2")
 def field_accuracy(spark, sf_dir):
     """Accuracy by version and field of the parsed outputs against the records that they were made from."""
     info = table(spark, sf_dir, "jobinfo")
     gold = info.select("info_id", *[T.clean_scalar(F.col(c)).alias(c) for c in D.SCALAR_FIELDS], *[T.split_list(F.col(c)).alias(c) for c in D.LIST_FIELDS])
-    return X.accuracy(X.field_results(parsed(spark, sf_dir), gold, ["info_id"], ["version"]), ["version", "field"])
+    a = X.accuracy(X.field_results(parsed(spark, sf_dir), gold, ["info_id"], ["version"]), ["version", "field"])
+    return a.select("version", "field", *[F.round(c, 6).alias(c) for c in ("strict", "lenient")], "n")
 
 
-@query("pipeline_evaluation")
+@query(
+    "pipeline_evaluation",
+    _judged_sql(_READ_UNITS_SQL, _joined("title", "salary", "location", "skills", "jd")) + _RESULTS_SQL
+    + """, le as (select version, count(*) as n, round(avg((level = 'strict')::int), 6) as strict_rate, round(avg((level <> 'text')::int), 6) as json_rate, round(avg((level <> 'text')::int), 6) as schema_rate, count(*) filter (level = 'text') as no_json from l group by 1),
+    ac as (select version, round(avg(ok::int), 6) as strict, round(avg(lenient::int), 6) as lenient from results group by 1),
+    hs as (select version, info_id, count(*) as units, count(*) filter (not supported) as bad from j group by 1, 2),
+    ha as (select version, sum(units)::bigint as units, sum(bad)::bigint as bad_units, round(sum(bad)::double / sum(units), 6) as unit_rate, round(avg((bad > 0)::int), 6) as sample_rate from hs group by 1)
+    select * from le join ac using (version) join ha using (version)""",
+)
 def pipeline_evaluation(spark, sf_dir):
     """The whole evaluation of the outputs against the records, with the postings as sources: one row a version."""
     info = table(spark, sf_dir, "jobinfo")
@@ -203,7 +334,9 @@ def pipeline_evaluation(spark, sf_dir):
     posts = table(spark, sf_dir, "company_jobs_merged").select("row_id", F.concat_ws("\n", "title", "salary", "location", "skills", "jd").alias("input_text"))
     samples = info.select("info_id", "row_id").join(posts, "row_id").select("info_id", "input_text")
     out = evaluated(outputs(spark, sf_dir).select("version", "info_id", "raw"), gold, samples, Study(), key="info_id")
-    return out["levels"].join(out["accuracy"].select("version", "strict", "lenient"), "version").join(out["hallucination"], "version")
+    rates = ("strict_rate", "json_rate", "schema_rate", "strict", "lenient", "unit_rate", "sample_rate")
+    joined = out["levels"].join(out["accuracy"].select("version", "strict", "lenient"), "version").join(out["hallucination"], "version")
+    return joined.select(*[F.round(c, 6).alias(c) if c in rates else c for c in joined.columns])
 
 
 @query(

@@ -232,7 +232,11 @@ def char_wb_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     return F.flatten(F.transform(tokens, grams))
 
 
-def fill_template(template: str, text: Column, slot: str = "{job_description}") -> Column:
+#: The place of the text in a template.
+SLOT = "{job_description}"
+
+
+def fill_template(template: str, text: Column, slot: str = SLOT) -> Column:
     """The template with each slot replaced by the text."""
     return F.replace(F.lit(template), F.lit(slot), text)
 

@@ -66,14 +66,15 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.corr("ra", "rb").alias("rho"))
 
 
-def score_categories(matrix: DataFrame, priors: Mapping[str, Mapping[str, float]], k: float = 30.0) -> DataFrame:
-    """Matrix rows with prior, evidence weight and blended score of each dimension, Risk, tier and rank.
+def score_categories(matrix: DataFrame, priors: Mapping[str, Mapping[str, float]], k: float = 30.0, core: Sequence[str] = (), rationales: Mapping[str, str] | None = None) -> DataFrame:
+    """Matrix rows with prior, evidence weight and blended score of each dimension, Risk, tier, rank, is_core and rationale.
 
-    Classes without a prior are left out. Risk is computed from rounded dimensions.
+    Classes without a prior are left out. Risk is computed from rounded dimensions; rationale is the
+    stated reason of a class's prior, null without any.
     """
     spark = matrix.sparkSession
-    prior_rows = [(c, *[float(p[d]) for d in DIMENSIONS]) for c, p in priors.items()]
-    prior = spark.createDataFrame(prior_rows, "category string, " + ", ".join(f"{d}_expert double" for d in DIMENSIONS))
+    prior_rows = [(c, *[float(p[d]) for d in DIMENSIONS], c in core, (rationales or {}).get(c)) for c, p in priors.items()]
+    prior = spark.createDataFrame(prior_rows, "category string, " + ", ".join(f"{d}_expert double" for d in DIMENSIONS) + ", is_core boolean, rationale string")
     m = matrix.join(F.broadcast(prior), "category")
     m = m.withColumns({f"{d}_weight": shrinkage(F.col("n"), EVIDENCE_WEIGHTS[d], k) for d in DIMENSIONS})
     m = m.withColumns({d: F.bround(F.col(f"{d}_weight") * F.col(f"{d}_data") + (1 - F.col(f"{d}_weight")) * F.col(f"{d}_expert"), 2) for d in DIMENSIONS})
@@ -120,10 +121,14 @@ def score_subgroups(jobs: DataFrame, scores: DataFrame, group: str = "std_title"
 def score_roles(jobs: DataFrame, scores: DataFrame, anchors: Mapping[str, str], role: str = "role", least: int = 5, adjust: float = 35.0) -> tuple[DataFrame, DataFrame]:
     """(ranked, dropped): scores of claimed roles from their anchor class; roles with too few jobs are dropped.
 
-    A dropped role keeps its rows, as its claim comes first.
+    A dropped role keeps its rows, as its claim comes first. Ranked roles have their share of all jobs
+    in percent and the coverage of each dimension's evidence (own_R to own_H).
     """
     own = {f"own_{d}": c for d, c in _EVIDENCE.items()} | {"own_low": "low_barrier"}
-    groups = group_profile(jobs, [role], "official_name", "salary_k", own)
+    # The share of all jobs, those that no role claims included.
+    counts = jobs.groupBy(role).agg(F.count("*").alias("_n"))
+    shares = counts.withColumn("share", F.bround(F.col("_n") * 100 / F.sum("_n").over(whole()), 2)).where(F.col(role).isNotNull()).select(role, "share")
+    groups = group_profile(jobs, [role], "official_name", "salary_k", own).join(shares, role)
     spark = jobs.sparkSession
     names = spark.createDataFrame([(r, a, i) for i, (r, a) in enumerate(anchors.items())], f"{role} string, anchor string, ord int")
     full = names.join(groups, role, "left").na.fill(0, ["n", "companies"])
@@ -214,3 +219,8 @@ def quadrant(x: Column, y: Column, mid_x: float = 50.0, mid_y: float = 50.0, nam
 
 def bubble(n: Column, k: float = 26.0) -> Column:
     return 90 + F.pow(n, F.lit(0.62)) * k
+
+
+def with_clusters(scored: DataFrame, names: Sequence[str] = tuple(name for _, name in TIERS), k: int = 3) -> DataFrame:
+    """scored with cluster and cluster_name: classes clustered by their dimensions, clusters named from the riskiest on."""
+    return name_clusters(kmeans(scored, list(DIMENSIONS), k), "Risk", names)

@@ -39,7 +39,8 @@ WORDS = {
     "rule": ("规范", "流程", "口径", "合同", "期限"),
 }
 PRIORS = {"数据": (58, 60, 95, 78, 45), "风险": (55, 72, 85, 75, 55), "研发": (55, 58, 92, 72, 45), "财务": (88, 90, 85, 85, 25), "营销": (45, 42, 45, 45, 85), "其他": (50, 55, 45, 40, 60)}
-STUDY = D.Study(RULES, "其他", ROLES, TITLES, WORDS, {k: dict(zip(D.DIMENSIONS, map(float, v))) for k, v in PRIORS.items()}, core=("财务", "风险"))
+RATIONALES = {"数据": "指标与报表以规则加工为主", "财务": "核对与结账流程标准化"}
+STUDY = D.Study(RULES, "其他", ROLES, TITLES, WORDS, {k: dict(zip(D.DIMENSIONS, map(float, v))) for k, v in PRIORS.items()}, rationales=RATIONALES, core=("财务", "风险"))
 
 
 def jobs_of(spark, sf_dir):
@@ -734,10 +735,34 @@ def _offset_sql(source: str, name: str, barrier: str) -> str:
     )
 
 
-@query("pipeline_scores", _PIPELINE_SQL + f" select category, n, {_each('{d}')}, Risk, tier, place from sc")
+_REASON_SQL = "case category " + " ".join(f"when '{c}' then '{r}'" for c, r in RATIONALES.items()) + " end"
+
+
+@query("pipeline_scores", _PIPELINE_SQL + f" select category, n, {_each('{d}')}, Risk, tier, place, category in ('财务', '风险') as is_core, {_REASON_SQL} as rationale from sc")
 def pipeline_scores(spark, sf_dir):
     """Postings to class scores: clean, normalise, classify, features, matrix, blend, risk."""
-    return pipelines.scored(jobs_of(spark, sf_dir), STUDY)["scores"].select("category", "n", *D.DIMENSIONS, "Risk", "tier", "place")
+    return pipelines.scored(jobs_of(spark, sf_dir), STUDY)["scores"].select("category", "n", *D.DIMENSIONS, "Risk", "tier", "place", "is_core", "rationale")
+
+
+@query("pipeline_clusters")
+def pipeline_clusters(spark, sf_dir):
+    """The scored classes with the cluster that each is in, named from the riskiest on."""
+    scores = pipelines.scored(jobs_of(spark, sf_dir), STUDY)["scores"]
+    return scoring.with_clusters(scores).select("category", "Risk", "tier", "cluster_name")
+
+
+_HIT_ROWS_SQL = " union all ".join(f"select '{d}' as dimension, unnest({_sql_hits('full_text', words)}) as keyword from jobs" for d, words in WORDS.items())
+
+
+@query(
+    "pipeline_keywords",
+    _PIPELINE_SQL
+    + f""", hr as ({_HIT_ROWS_SQL}), hc as (select dimension, keyword, count(*) as n from hr group by 1, 2)
+    select dimension, keyword, n, round(n * 100::double / (select count(*) from jobs), 6) as share from hc qualify row_number() over (partition by dimension order by n desc, keyword) <= 30""",
+)
+def pipeline_keywords(spark, sf_dir):
+    """The commonest keywords of each dimension among the clean postings."""
+    return pipelines.scored(jobs_of(spark, sf_dir), STUDY)["keywords"].select("dimension", "keyword", "n", F.round("share", 6).alias("share"))
 
 
 @query(
@@ -770,10 +795,29 @@ _ROLES_SQL = (
 @query(
     "pipeline_roles",
     _ROLES_SQL
-    + f" select row_number() over (order by Risk desc, ord)::int as place, role, anchor, n, {_each('{d}')}, Risk, {_TIER_SQL} as tier, round_even(weight, 3) as weight, case when n >= 50 then 'strong' when n >= 20 then 'middle' else 'weak' end as strength from ro",
+    + f" select row_number() over (order by Risk desc, ord)::int as place, role, anchor, n, {_each('{d}')}, Risk, {_TIER_SQL} as tier, round_even(n * 100::double / (select count(*) from jobs), 2) as share, round(own_R, 6) as own_R, round_even(weight, 3) as weight, case when n >= 50 then 'strong' when n >= 20 then 'middle' else 'weak' end as strength from ro",
 )
 def pipeline_roles(spark, sf_dir):
-    return pipelines.scored(jobs_of(spark, sf_dir), STUDY)["roles"].select("place", "role", "anchor", "n", *D.DIMENSIONS, "Risk", "tier", "weight", "strength")
+    return pipelines.scored(jobs_of(spark, sf_dir), STUDY)["roles"].select("place", "role", "anchor", "n", *D.DIMENSIONS, "Risk", "tier", "share", F.round("own_R", 6).alias("own_R"), "weight", "strength")
+
+
+_LOG_SQL = (
+    _ROLES_SQL.replace(", kept as (", f", sgs as (select category, std_title from jobs where std_title is not null group by 1, 2 having count(*) >= 5), kept as (", 1)
+    + f""", tiers as (select *, {_TIER_SQL} as t from sc) select 'clean' as stage, 'raw' as metric, count(*)::double as value from company_jobs_merged union all select 'clean', 'by link', count(*) from l
+    union all select 'clean', 'clean', count(*) from c union all select 'clean', 'companies', count(distinct official_name) from jobs union all select 'clean', 'titles', count(distinct title) from jobs
+    union all select 'clean', 'standard titles', count(distinct std_title) from jobs union all select 'classify', assign_method, count(*) from jobs group by 2
+    union all select 'features', 'ai', round(avg(has_ai) * 100, 2) from jobs union all select 'features', 'digital', round(avg(has_digital) * 100, 2) from jobs
+    union all select 'features', 'human', round(avg(has_human) * 100, 2) from jobs union all select 'features', 'pay', round(avg((salary_k is not null)::int) * 100, 2) from jobs
+    union all select 'scores', 'highest', max(Risk) from sc union all select 'scores', 'lowest', min(Risk) from sc union all select 'scores', 'classes', count(*) from sc union all select 'tiers', t, count(*) from tiers group by 2
+    union all select 'roles', 'ranked', count(*) from ro union all select 'roles', 'coverage', round(sum(round_even(n * 100::double / (select count(*) from jobs), 2)) / 100, 3) from ro
+    union all select 'roles', 'dropped', {len(ROLES)} - count(*) from ro union all select 'subgroups', 'scored', count(*) from sgs"""
+)
+
+
+@query("pipeline_log", _LOG_SQL)
+def pipeline_log(spark, sf_dir):
+    """Counts and rates of the scoring pipeline's run."""
+    return pipelines.run_log(jobs_of(spark, sf_dir), pipelines.scored(jobs_of(spark, sf_dir), STUDY))
 
 
 def _cases_sql() -> str:

@@ -105,14 +105,15 @@ def category_matrix(jobs: DataFrame, order: Sequence[str] = ()) -> DataFrame:
 
 
 def keyword_topk(df: DataFrame, hits: Mapping[str, str], k: int = 30) -> DataFrame:
-    """(dimension, keyword, n, share): the k commonest keywords of each dimension, ties by keyword."""
-    total = df.count()
-    packed = F.array(*[F.struct(F.lit(name).alias("dimension"), F.col(column).alias("words")) for name, column in hits.items()])
+    """(dimension, keyword, n, share, place): the k commonest keywords of each dimension, ties by keyword; share in percent of all rows."""
+    packed = F.array(*[F.struct(F.lit(name).alias("dimension"), F.col(column).alias("words")) for name, column in hits.items()], F.struct(F.lit(None).cast("string").alias("dimension"), F.array(F.lit("")).alias("words")))
     rows = df.select(F.explode(packed).alias("x")).select("x.dimension", F.explode("x.words").alias("keyword"))
-    counts = rows.where(F.col("keyword") != "").groupBy("dimension", "keyword").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("dimension").orderBy(F.desc("n"), "keyword")
-    top = counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
-    return top.select("dimension", "keyword", "n", (F.col("n") * 100 / F.lit(max(total, 1))).alias("share"), "place")
+    # One row without a dimension for each row of df counts them all in the same pass.
+    counts = rows.groupBy("dimension", "keyword").agg(F.count("*").alias("n"))
+    total = F.max(F.when(F.col("dimension").isNull(), F.col("n"))).over(Window.partitionBy(F.lit(0)))
+    shares = counts.withColumn("share", F.col("n") * 100 / total).where(F.col("dimension").isNotNull() & (F.col("keyword") != ""))
+    top = shares.withColumn("place", F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("n"), "keyword"))).where(F.col("place") <= k)
+    return top.select("dimension", "keyword", "n", "share", "place")
 
 
 def share_of_total(value: Column) -> Column:

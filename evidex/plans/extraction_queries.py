@@ -353,12 +353,20 @@ def label_accuracy(spark, sf_dir):
 
 
 def signatures(spark, sf_dir):
-    info = table(spark, sf_dir, "jobinfo")
-    rows = F.array(*[F.struct(F.lit(n).alias("field"), T.norm_text(F.col(c), wide=False).alias("signature")) for c, n in _SCALARS])
-    return info.select("sample_id", "version", "run", F.explode(rows).alias("x")).select("sample_id", "version", "run", "x.*")
-
-
-_SIGN_SQL = "with s as (" + " union all ".join(f"select sample_id, version, run, '{n}' as field, {_NORM_SQL.format(c)} as signature from jobinfo" for c, n in _SCALARS) + "), k as (select version, sample_id, field, count(distinct signature) as k from s group by 1, 2, 3)"
+    info = table(spark, sf_dir, "jobinfo").select("info_id", "sample_id", "run")
+    return X.record_signatures(clean_records(spark, sf_dir).join(info, "info_id"), ["version", "sample_id", "run", "info_id"])
+
+
+_SIGN_SQL = (
+    "with sv as ("
+    + " union all ".join(f"select sample_id, version, '{c}' as field, {_sql_scalar(c)} as x from jobinfo" for c in D.SCALAR_FIELDS)
+    + f"), sk as (select x, {_norm_wide('x')} as bare from (select distinct x from sv) where x is not null), lv as ("
+    + " union all ".join(f"select info_id, sample_id, version, '{c}' as field, unnest(case when len(coalesce({_sql_items(c)}, [])) = 0 then [''] else {_sql_items(c)} end) as x from jobinfo" for c in D.LIST_FIELDS)
+    + f"), lk as (select x, {_norm_wide('x')} as bare from (select distinct x from lv)), "
+    + "s as (select sample_id, version, field, coalesce(bare, '') as signature from sv left join sk using (x) union all "
+    + "select sample_id, version, field, coalesce(array_to_string(list_sort(list_distinct(list(bare) filter (bare <> ''))), '|'), '') from lv join lk using (x) group by info_id, sample_id, version, field), "
+    + "k as (select version, sample_id, field, count(distinct signature) as k from s group by 1, 2, 3)"
+)
 
 
 @query("consistency_rate", _SIGN_SQL + " select version, count(*) filter (k = 1) as same, count(*) as n, round(avg((k = 1)::int), 6) as rate from k group by 1")

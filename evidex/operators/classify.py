@@ -75,17 +75,17 @@ def prototypes(classified: DataFrame, order: str, most: int = 400) -> DataFrame:
 def backfill(unmatched: DataFrame, protos: DataFrame, key: str, text: str, order: Sequence[str], threshold: float = 0.12, low: int = 2, high: int = 4) -> DataFrame:
     """(key, category, score) of the most similar prototype of each unmatched text; category null below the threshold.
 
-    Weights come from prototypes and unmatched texts as one corpus. Ties go to the earlier class.
+    Weights come from prototypes and unmatched texts as one corpus. Equal texts are worked out once and
+    count as often as they stand. Ties go to the earlier class.
     """
-    docs = protos.select(F.concat(F.lit("p:"), "category").alias("doc"), "text").unionByName(
-        unmatched.select(F.concat(F.lit("u:"), F.col(key).cast("string")).alias("doc"), F.col(text).alias("text"))
-    )
-    weights = tfidf(docs, "doc", "text", low, high)
+    texts = unmatched.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.count("*").alias("times"))
+    docs = protos.select(F.concat(F.lit("p:"), "category").alias("doc"), "text", F.lit(1).cast("bigint").alias("times")).unionByName(texts.select(F.concat(F.lit("u:"), "text").alias("doc"), "text", "times"))
+    weights = tfidf(docs, "doc", "text", low, high, times="times")
     left = weights.where(F.col("doc").startswith("u:"))
     right = weights.where(F.col("doc").startswith("p:"))
     best = best_match(left, right, [f"p:{c}" for c in order])
-    scored = best.select(F.substring("doc", 3, 1 << 30).alias("k"), F.when(F.col("score") >= threshold, F.substring("match", 3, 1 << 30)).alias("category"), "score")
-    return unmatched.select(key).join(scored, F.col(key).cast("string") == F.col("k"), "left").select(key, "category", F.coalesce("score", F.lit(0.0)).alias("score"))
+    scored = best.select(F.substring("doc", 3, 1 << 30).alias(text), F.when(F.col("score") >= threshold, F.substring("match", 3, 1 << 30)).alias("category"), "score")
+    return unmatched.select(key, text).join(scored, text, "left").select(key, "category", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def classify(df: DataFrame, rules: Sequence[Rule], fallback: str, key: str, threshold: float = 0.12) -> DataFrame:

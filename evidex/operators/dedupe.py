@@ -31,12 +31,16 @@ def differs(column: Column, value: object) -> Column:
 def clean_postings(df: DataFrame, order: str, link: str = "job_link", business: Sequence[str] = ("company_name", "title", "location", "salary"), dispatch: str = "is_dispatch", dispatch_value: str = "是") -> DataFrame:
     """Postings once by link, once by business key with the city for the place, without dispatched ones; column city added.
 
-    Null links are equal, so they collapse into one row, as null business values do.
+    Null links are equal, so they collapse into one row, as null business values do. Which rows stay is
+    settled on the few columns that decide it; the whole rows are joined once, with what stays.
     """
-    city = F.split_part(F.col("location"), F.lit("·"), F.lit(1))
-    linked = keep_first(df, [link], order).withColumn("city", F.btrim(city))
-    keys = ["city" if c == "location" else c for c in business]
-    return keep_first(linked, keys, order).where(differs(F.col(dispatch), dispatch_value))
+    def city() -> Column:
+        return F.btrim(F.split_part(F.col("location"), F.lit("·"), F.lit(1)))
+
+    narrow = df.select(order, link, *[c for c in business if c != "location"], city().alias("city"), dispatch)
+    linked = keep_first(narrow, [link], order)
+    kept = keep_first(linked, ["city" if c == "location" else c for c in business], order).where(differs(F.col(dispatch), dispatch_value))
+    return df.join(kept.select(order), order, "left_semi").withColumn("city", city())
 
 
 def stage_counts(stages: Mapping[str, DataFrame]) -> DataFrame:

@@ -8,19 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidex.functions.text import char_wb_ngrams
+from evidex.session import cut
 
 
-def tfidf(docs: DataFrame, doc: str, text: str, low: int = 2, high: int = 4, n: int | None = None) -> DataFrame:
+def tfidf(docs: DataFrame, doc: str, text: str, low: int = 2, high: int = 4, n: int | None = None, times: str | None = None) -> DataFrame:
     """(doc, gram, weight): smoothed inverse document frequency, raw counts, vectors of length 1.
 
     A document without n-grams has no row. Rows of one document count as one text; n is the number of
-    documents where some have several rows. Counts combine on the map side; the frequency table joins
-    by broadcast where Spark finds it small.
+    documents where some have several rows. A document that stands for several equal ones says so in
+    the column times. Counts combine on the map side; the frequency table joins by broadcast where
+    Spark finds it small.
     """
-    grams = docs.select(F.col(doc).alias("doc"), F.explode(char_wb_ngrams(F.col(text), low, high)).alias("gram"))
-    tf = grams.groupBy("doc", "gram").agg(F.count("*").alias("tf"))
-    n = docs.count() if n is None else n
-    df = tf.groupBy("gram").agg(F.count("*").alias("df")).select("gram", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    weight = F.col(times).cast("bigint") if times else F.lit(1).cast("bigint")
+    grams = docs.select(F.col(doc).alias("doc"), weight.alias("times"), F.explode(char_wb_ngrams(F.col(text), low, high)).alias("gram"))
+    # The counts are read three times.
+    tf = cut(grams.groupBy("doc", "gram").agg(F.count("*").alias("tf"), F.max("times").alias("times")))
+    if n is None:
+        n = docs.agg(F.sum(weight)).first()[0] or 0
+    df = tf.groupBy("gram").agg(F.sum("times").alias("df")).select("gram", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     weighted = tf.join(df, "gram").select("doc", "gram", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norms, "doc").select("doc", "gram", (F.col("w") / F.col("norm")).alias("weight"))
@@ -54,14 +59,20 @@ def centroids(df: DataFrame, group: str, vector: str, size: int) -> DataFrame:
     return means.select(group, F.array(*[F.col(f"c{i}") for i in range(size)]).alias("centroid"))
 
 
+#: Most numbers of all centroids together: they become a part of the plan.
+MOST_NUMBERS = 1 << 16
+
+
 def nearest_centroid(df: DataFrame, key: str, vector: str, centres: DataFrame, group: str) -> DataFrame:
-    """(key, group, score) of the most similar centroid. Centroids are a stated, small set of one row a class.
+    """(key, group, score) of the most similar centroid, of equals the smaller group; null where a vector has no length.
 
-    They ride along with each row as one array, so no pairs of rows are made.
+    Centroids are a stated, small set of one row a class, which rides along with each row as one array,
+    so no pairs of rows are made. ValueError where they hold more than MOST_NUMBERS numbers.
     """
-    packed = centres.agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), F.col("centroid").alias("v")))).alias("cs"))
-    row = packed.first()
-    cs = F.array(*[F.struct(F.lit(c["g"]).alias("g"), F.array(*map(F.lit, c["v"])).alias("v")) for c in row["cs"]]) if row and row["cs"] else F.array().cast("array<struct<g:int,v:array<double>>>")
-    scored = F.transform(cs, lambda c: F.struct(cosine_of(F.col(vector), c["v"]).alias("score"), (-c["g"]).alias("p")))
-    best = F.array_max(scored)
+    size = centres.agg(F.sum(F.size("centroid")).alias("n")).first()["n"] or 0
+    if size > MOST_NUMBERS:
+        raise ValueError(f"centroids of {size} numbers are too many for a plan")
+    rows = centres.orderBy(group).collect()
+    cs = F.array(*[F.struct(F.lit(c[group]).alias("g"), F.array(*map(F.lit, c["centroid"])).alias("v")) for c in rows]) if rows else F.array().cast("array<struct<g:int,v:array<double>>>")
+    best = F.array_max(F.transform(cs, lambda c: F.struct(cosine_of(F.col(vector), c["v"]).alias("score"), (-c["g"]).alias("p"))))
     return df.select(key, (-best["p"]).alias(group), best["score"].alias("score"))

@@ -249,3 +249,12 @@ def delimited(text: Column, separator: str = "|") -> Column:
 def level(text: Column, levels: Mapping[str, int], default: int) -> Column:
     """Ordinal level of a text, default for any other and for null."""
     return lookup(text, levels, F.lit(default))
+
+
+def half_even(value: Column, digits: int) -> Column:
+    """Rounded like an array of doubles: scaled, to the nearest whole number, of two the even one.
+
+    Spark's bround rounds the shortest decimal text of a double instead, which differs where the scaled
+    value lies on a half.
+    """
+    return F.rint(value * 10.0**digits) / 10.0**digits

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidex.dictionaries import Role, Rule
-from evidex.functions.text import first_keyword, let
+from evidex.functions.text import first_keyword, half_even, let
 from evidex.operators.similarity import best_match, tfidf
 from evidex.session import cut
 
@@ -100,5 +100,5 @@ def classify(df: DataFrame, rules: Sequence[Rule], fallback: str, key: str, thre
     method = F.when(F.col("category").isNotNull(), "rule").when(F.col("_c").isNotNull(), "embedding_sim").otherwise("fallback")
     return joined.select(
         *df.columns, F.coalesce("category", "_c", F.lit(fallback)).alias("category"), method.alias("assign_method"),
-        "match_keyword", "match_level", F.bround("sim_score", 4).alias("sim_score"),
+        "match_keyword", "match_level", half_even(F.col("sim_score"), 4).alias("sim_score"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.dictionaries import CALIBRATION, DEGREE_DEFAULT, DEGREE_LEVELS, EXPERIENCE_DEFAULT, EXPERIENCE_LEVELS
-from evidex.functions.text import keyword_hits, level, pay_median_k
+from evidex.functions.text import half_even, keyword_hits, level, pay_median_k
 
 
 def keyword_features(df: DataFrame, text: Column, dictionaries: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -97,7 +97,7 @@ def category_matrix(jobs: DataFrame, order: Sequence[str] = ()) -> DataFrame:
         "H": 0.55 * c("human_cover") + 0.20 * z("human_depth") + 0.25 * c("senior_share"),
     }
     m = m.withColumns({f"{d}_raw": x for d, x in raw.items()})
-    m = m.withColumns({f"{d}_data": F.bround(calibrate(F.col(f"{d}_raw")), 2) for d in raw})
+    m = m.withColumns({f"{d}_data": half_even(calibrate(F.col(f"{d}_raw")), 2) for d in raw})
     if order:
         place = F.array_position(F.array(*map(F.lit, order)), F.col("category"))
         m = m.withColumn("ord", place).where(F.col("ord") > 0).orderBy("ord")

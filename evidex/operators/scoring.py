@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.dictionaries import DIMENSIONS, EVIDENCE_WEIGHTS, TIERS, TIME_FACTORS, WEIGHTS
+from evidex.functions.text import half_even
 from evidex.operators.features import group_profile
 
 
@@ -60,10 +61,18 @@ def average_rank(value: Column, by: Sequence[Column] = (), descending: bool = Tr
     return F.rank().over(w.orderBy(order)) + (ties - 1) / 2
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation of two columns, null where one of them doesn't vary: the built-in one divides by zero there."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row rho: correlation of average ranks."""
+    """One row rho: correlation of average ranks, null where a column doesn't vary.
+
+    For frames of classes: each of the two ranks is one sort in one task.
+    """
     ranked = df.select(average_rank(F.col(a)).alias("ra"), average_rank(F.col(b)).alias("rb"))
-    return ranked.agg(F.corr("ra", "rb").alias("rho"))
+    return ranked.agg(correlation("ra", "rb").alias("rho"))
 
 
 def score_categories(matrix: DataFrame, priors: Mapping[str, Mapping[str, float]], k: float = 30.0, core: Sequence[str] = (), rationales: Mapping[str, str] | None = None) -> DataFrame:
@@ -77,14 +86,14 @@ def score_categories(matrix: DataFrame, priors: Mapping[str, Mapping[str, float]
     prior = spark.createDataFrame(prior_rows, "category string, " + ", ".join(f"{d}_expert double" for d in DIMENSIONS) + ", is_core boolean, rationale string")
     m = matrix.join(F.broadcast(prior), "category")
     m = m.withColumns({f"{d}_weight": shrinkage(F.col("n"), EVIDENCE_WEIGHTS[d], k) for d in DIMENSIONS})
-    m = m.withColumns({d: F.bround(F.col(f"{d}_weight") * F.col(f"{d}_data") + (1 - F.col(f"{d}_weight")) * F.col(f"{d}_expert"), 2) for d in DIMENSIONS})
-    m = m.withColumn("Risk", F.bround(weighted_score({d: F.col(d) for d in DIMENSIONS}), 1))
+    m = m.withColumns({d: half_even(F.col(f"{d}_weight") * F.col(f"{d}_data") + (1 - F.col(f"{d}_weight")) * F.col(f"{d}_expert"), 2) for d in DIMENSIONS})
+    m = m.withColumn("Risk", half_even(weighted_score({d: F.col(d) for d in DIMENSIONS}), 1))
     return m.withColumns({"tier": tier(F.col("Risk")), "place": F.floor(average_rank(F.col("Risk"))).cast("int")})
 
 
 def dimension_detail(scored: DataFrame) -> DataFrame:
     """(category, dimension, data, prior, weight, blended): the long form of score_categories."""
-    rows = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(f"{d}_data").alias("data"), F.col(f"{d}_expert").alias("prior"), F.bround(f"{d}_weight", 3).alias("weight"), F.col(d).alias("blended")) for d in DIMENSIONS])
+    rows = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(f"{d}_data").alias("data"), F.col(f"{d}_expert").alias("prior"), half_even(F.col(f"{d}_weight"), 3).alias("weight"), F.col(d).alias("blended")) for d in DIMENSIONS])
     return scored.select("category", F.explode(rows).alias("x")).select("category", "x.*")
 
 
@@ -93,9 +102,9 @@ _EVIDENCE = {"R": "has_repeat", "S": "has_rule", "D": "has_digital", "A": "has_a
 
 def _offset(frame: DataFrame, adjust: float, shrunk: Column, barrier: Column) -> DataFrame:
     dims = {d: clip(F.col(f"base_{d}") + (F.col(f"own_{d}") - F.col(f"mean_{d}")) * F.lit(adjust) * shrunk) for d in DIMENSIONS}
-    frame = frame.withColumns({d: F.bround(x, 2) for d, x in dims.items()})
-    frame = frame.withColumn("R", F.bround(clip(F.col("R") + (F.col("own_low") - F.col("mean_low")) * 12 * barrier), 2))
-    frame = frame.withColumn("Risk", F.bround(weighted_score({d: F.col(d) for d in DIMENSIONS}), 1))
+    frame = frame.withColumns({d: half_even(x, 2) for d, x in dims.items()})
+    frame = frame.withColumn("R", half_even(clip(F.col("R") + (F.col("own_low") - F.col("mean_low")) * 12 * barrier), 2))
+    frame = frame.withColumn("Risk", half_even(weighted_score({d: F.col(d) for d in DIMENSIONS}), 1))
     return frame.withColumn("tier", tier(F.col("Risk")))
 
 
@@ -127,7 +136,7 @@ def score_roles(jobs: DataFrame, scores: DataFrame, anchors: Mapping[str, str],
     own = {f"own_{d}": c for d, c in _EVIDENCE.items()} | {"own_low": "low_barrier"}
     # The share of all jobs, those that no role claims included.
     counts = jobs.groupBy(role).agg(F.count("*").alias("_n"))
-    shares = counts.withColumn("share", F.bround(F.col("_n") * 100 / F.sum("_n").over(whole()), 2)).where(F.col(role).isNotNull()).select(role, "share")
+    shares = counts.withColumn("share", half_even(F.col("_n") * 100 / F.sum("_n").over(whole()), 2)).where(F.col(role).isNotNull()).select(role, "share")
     groups = group_profile(jobs, [role], "official_name", "salary_k", own).join(shares, role)
     spark = jobs.sparkSession
     names = spark.createDataFrame([(r, a, i) for i, (r, a) in enumerate(anchors.items())], f"{role} string, anchor string, ord int")
@@ -135,7 +144,7 @@ def score_roles(jobs: DataFrame, scores: DataFrame, anchors: Mapping[str, str],
     dropped = full.where(F.col("n") < least).select(role, "n", "ord")
     joined = full.where(F.col("n") >= least).join(_bases(jobs, scores), "anchor")
     w = shrinkage(F.col("n"), 1.0, 15.0)
-    out = _offset(joined, adjust, w, w).withColumns({"weight": F.bround(w, 3), "strength": strength(F.col("n"))})
+    out = _offset(joined, adjust, w, w).withColumns({"weight": half_even(w, 3), "strength": strength(F.col("n"))})
     return out.withColumn("place", F.row_number().over(whole().orderBy(F.desc("Risk"), "ord"))), dropped
 
 
@@ -169,7 +178,7 @@ def sensitivity(scored: DataFrame, label: str = "category", risk: str = "Risk",
     ranked = long.withColumns({"rb": ranks("base"), "rs": ranks("score")})
     place = F.array_position(F.array(*map(F.lit, order)), F.col("label")) if order else F.lit(0)
     return ranked.groupBy("scenario").agg(
-        F.corr("rb", "rs").alias("rho"), F.min_by("label", F.struct(-F.col("score"), place, "label")).alias("highest"),
+        correlation("rb", "rs").alias("rho"), F.min_by("label", F.struct(-F.col("score"), place, "label")).alias("highest"),
         F.min_by("label", F.struct("score", place, "label")).alias("lowest"), (F.max("score") - F.min("score")).alias("spread"),
     )
 

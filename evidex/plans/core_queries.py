@@ -571,7 +571,7 @@ def avg_tie_rank(spark, sf_dir):
 def spearman(spark, sf_dir):
     by = [F.col("p_type")]
     r = table(spark, sf_dir, "part").select("p_type", scoring.average_rank(F.col("p_size"), by).alias("a"), scoring.average_rank(F.col("p_retailprice"), by).alias("b"))
-    return r.groupBy("p_type").agg(F.round(F.corr("a", "b"), 6).alias("rho"))
+    return r.groupBy("p_type").agg(F.round(scoring.correlation("a", "b"), 6).alias("rho"))
 
 
 def _scenario_sql() -> str:

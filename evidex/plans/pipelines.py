@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidex.dictionaries import Study
-from evidex.functions.text import SLOT, lookup, normalize_title
+from evidex.functions.text import SLOT, half_even, lookup, normalize_title
 from evidex.operators import classify as cls
 from evidex.operators import dedupe, extraction, features, records, scoring
 from evidex.session import cut
@@ -34,7 +34,7 @@ def title_map(jobs: DataFrame) -> DataFrame:
 
 def category_summary(jobs: DataFrame) -> DataFrame:
     out = jobs.groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("official_name").alias("companies"), F.countDistinct("std_title").alias("titles"))
-    return out.withColumn("share", F.bround(features.share_of_total(F.col("n")), 2)).orderBy(F.desc("n"), "category")
+    return out.withColumn("share", half_even(features.share_of_total(F.col("n")), 2)).orderBy(F.desc("n"), "category")
 
 
 def scored(postings: DataFrame, study: Study, order: str = "row_id") -> dict[str, DataFrame]:

@@ -19,6 +19,8 @@ def get_spark(app: str = "evidex", cpus: str | None = None, **conf: str) -> Spar
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.extraJavaOptions", "-Xss16m")
+        # Checkpoints are deleted once nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -42,6 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, which outlives lost executors."""
+    """Cut lineage through a reliable checkpoint, which outlives lost executors.
+
+    Its files go when the frame is forgotten, where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)

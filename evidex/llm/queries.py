@@ -217,15 +217,15 @@ _NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
 _BARE_SQL = f"regexp_replace(lower(translate(text, '{_WIDE}', '{_NARROW}')), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')"
 
 
-@registry.query(
-    "p9_found",
-    f"""
+_LEAK_SQL = f"""
     with d as (select doc_id, {_BARE_SQL} as t from documents where text is not null), i as (select item_id, {_BARE_SQL} as t from eval_items where text is not null),
     g as (select item_id, unnest(list_distinct(list_transform(range(1, length(t) - 48), lambda k: substr(t, k::int, 50)))) as gram from i where length(t) >= 50),
-    h as (select doc_id, unnest(list_transform(range(1, length(t) - 48), lambda k: substr(t, k::int, 50))) as gram from d where length(t) >= 50)
-    select distinct doc_id, item_id from h join g using (gram)
-    """,
-)
+    h as (select doc_id, unnest(list_transform(range(1, length(t) - 48), lambda k: substr(t, k::int, 50))) as gram from d where length(t) >= 50),
+    f as (select distinct doc_id, item_id from h join g using (gram))
+"""
+
+
+@registry.query("p9_found", _LEAK_SQL + "select doc_id, item_id from f")
 def p9_found(spark, sf_dir):
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edited=False).where(F.col("longest_run") >= PASSAGE)
     return found.select("doc_id", "item_id").distinct()
@@ -236,7 +236,7 @@ def p9_alignments(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-@registry.query("p9_leaked_items")
+@registry.query("p9_leaked_items", _LEAK_SQL + "select item_id, count(*) as documents from f group by 1")
 def p9_leaked_items(spark, sf_dir):
     return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
 

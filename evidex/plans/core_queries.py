@@ -841,3 +841,20 @@ _ORDER_SQL = f"list_position({sql_list([*(r.name for r in RULES), '其他'])}, l
 def pipeline_sensitivity(spark, sf_dir):
     found = pipelines.scored(jobs_of(spark, sf_dir), STUDY)["sensitivity"]
     return found.select("scenario", F.round("rho", 6).alias("rho"), "highest", "lowest", F.round("spread", 6).alias("spread"))
+
+
+@query("chart_role_ranking", _ROLES_SQL + f" select row_number() over (order by Risk desc, ord)::int as place, role, Risk, {_TIER_SQL} as tier, n < 20 as hatched from ro")
+def chart_role_ranking(spark, sf_dir):
+    return charts.role_ranking(pipelines.scored(jobs_of(spark, sf_dir), STUDY)["roles"])
+
+
+@query(
+    "chart_risk_pay",
+    _PIPELINE_SQL
+    + """, pm as (select category, median(salary_k) as pay from jobs where salary_k is not null group by 1)
+    select category, Risk as x, round(pay, 6) as y, round(90 + pow(n, 0.62) * 22, 6) as size,
+           case when Risk >= 50 and pay >= 12 then 'I' when Risk < 50 and pay >= 12 then 'II' when Risk < 50 and pay < 12 then 'III' else 'IV' end as quadrant from sc join pm using (category)""",
+)
+def chart_risk_pay(spark, sf_dir):
+    points = charts.risk_pay(pipelines.scored(jobs_of(spark, sf_dir), STUDY)["scores"], "category", 12.0)
+    return points.select("category", "x", F.round("y", 6).alias("y"), F.round("size", 6).alias("size"), "quadrant")

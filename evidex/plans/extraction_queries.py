@@ -411,12 +411,12 @@ def replay_outputs(spark, sf_dir):
     return providers.replay(stored, table(spark, sf_dir, "eval_items"), ["item_id"]).select("item_id", "raw")
 
 
-@query("provider_run", "select item_id, upper(left(text, 5)) as raw, 'A ' || text = 'A ' || text as ok from eval_items")
+@query("provider_run", "select item_id, upper(left(text, 5)) as raw, true as ok, length(text) as tokens_in, 5 as tokens_out, true as timed from eval_items")
 def provider_run(spark, sf_dir):
-    """An offline provider called from the executors."""
+    """An offline provider called from the executors: its text, tokens and time."""
     ready = providers.prompts(table(spark, sf_dir, "eval_items"), "{job_description}", "text")
-    out = providers.collect_outputs(ready, ["item_id"], lambda prompt, model, heat: (prompt[:5].upper(), len(prompt), 5))
-    return out.select("item_id", "raw", F.col("error").isNull().alias("ok"))
+    out = providers.collect_outputs(ready, ["item_id"], lambda prompt, settings: (prompt[:5].upper(), len(prompt), 5))
+    return out.select("item_id", "raw", F.col("error").isNull().alias("ok"), "tokens_in", "tokens_out", (F.col("seconds") >= 0).alias("timed"))
 
 
 @query("event_windows", "select time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")

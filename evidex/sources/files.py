@@ -45,7 +45,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     """CSV with a header, quoted cells of several lines, and a byte-order mark or none.
 
     Encodings beyond Spark's own, such as GB18030, turn spark.sql.legacy.javaCharsets on for this
-    session. row_id adds a number that keeps the order of the file's rows.
+    session. A file with cells of several lines can't be split, so one task reads each file. row_id adds
+    a number that keeps the order of the files by path and of the rows in each.
     """
     if encoding.upper() not in ("UTF-8", "UTF8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
@@ -54,14 +55,22 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     first = df.columns[0] if df.columns else ""
     if first.startswith("﻿"):
         df = df.withColumnRenamed(first, first[1:])
-    return df.withColumn(row_id, F.monotonically_increasing_id()) if row_id else df
+    if not row_id:
+        return df
+    # The place of a row within its task keeps the order within a file, whichever files a task reads.
+    ranks = {p: i for i, p in enumerate(sorted(df.inputFiles()))}
+    names = spark.createDataFrame(list(ranks.items()), "_file string, _rank bigint")
+    placed = df.select("*", F.input_file_name().alias("_file"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at"))
+    return placed.join(names, "_file").select(*df.columns, (F.shiftleft("_rank", 33) + F.col("_at")).alias(row_id))
 
 
 def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
     """CSV with a header. With bom each file's first column name starts with a byte-order mark, for spreadsheets."""
     if bom and df.columns:
         df = df.withColumnRenamed(df.columns[0], "﻿" + df.columns[0])
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    # Blanks at the ends of a cell belong to it, so they are not trimmed as is the default.
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:

@@ -8,13 +8,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _short(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """What stands for the keys in a shuffle: the keys, or where texts are among them 128 bits of a hash of all.
+
+    A null has a mark of its own, so that it equals only a null in the same column.
+    """
+    kinds = dict(df.dtypes)
+    if not any(kinds[k] == "string" for k in keys):
+        return [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    # Adding nought makes the negative one the plain one, as a comparison takes them.
+    values = {k: F.col(k) + F.lit(0.0) if kinds[k] in ("float", "double") else F.col(k) for k in keys}
+    marked = [F.when(x.isNull(), F.lit("!")).otherwise(F.concat(F.lit("="), x.cast("string"))) for x in values.values()]
+    return [F.xxhash64(*marked).alias("_k0"), F.xxhash64(F.lit("second"), *marked).alias("_k1")]
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The row with the smallest `order` of each key; null keys are equal.
 
     Done by an aggregate with map-side combine, so a key with very many rows leaves each task as one
-    row, then a semi-join on the unique order column. Rows with a null order are left out.
+    row, then a semi-join on the unique order column. Long texts aren't shuffled as keys, their hashes
+    are. Rows with a null order are left out.
     """
-    first = df.where(F.col(order).isNotNull()).groupBy(*keys).agg(F.min(order).alias(order)).select(order)
+    short = df.where(F.col(order).isNotNull()).select(*_short(df, keys), F.col(order))
+    first = short.groupBy(*[c for c in short.columns if c != order]).agg(F.min(order).alias(order)).select(order)
     return df.join(first, order, "left_semi")
 
 

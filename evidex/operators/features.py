@@ -35,25 +35,39 @@ def job_features(df: DataFrame, dictionaries: Mapping[str, Sequence[str]]) -> Da
     return out.withColumns({"low_barrier": low, "senior_barrier": senior})
 
 
+#: Equal parts of a group's range of values in which its median is looked for.
+PARTS = 4096
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """(keys, name): interpolated median of each group's values; groups without values have no row.
 
-    Values are counted before the shuffle, and the counts of a group are scanned in sorted order, which
-    spills; a hot group is never held in memory. Null and NaN are no values; null keys are left out.
+    Values are counted before the shuffle. The counts of PARTS parts of a group's range tell in which part
+    its median lies, and only the values there are put in order, so that a hot group is neither held nor
+    sorted in one task. Null and NaN are no values; null keys are left out.
     """
+    by = list(keys)
     v = F.col(value).cast("double")
-    rows = df.select(*keys, v.alias("_v")).where(v.isNotNull() & ~F.isnan(v))
-    for k in keys:
+    rows = df.select(*by, v.alias("_v")).where(v.isNotNull() & ~F.isnan(v))
+    for k in by:
         rows = rows.where(F.col(k).isNotNull())
-    counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_to", upto).join(rows.groupBy(*keys).agg(F.count("*").alias("_all")), list(keys))
+    counts = rows.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    spans = counts.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_all"))
+    width = F.col("_high") - F.col("_low")
+    place = F.when((width > 0) & (width < float("inf")), F.least(F.floor((F.col("_v") - F.col("_low")) / F.nullif(width, F.lit(0.0)) * PARTS), F.lit(PARTS - 1))).otherwise(F.lit(0))
+    placed = counts.join(spans.select(*by, "_low", "_high"), by).select(*by, "_v", "_n", place.cast("int").alias("_part"))
+    sums = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
     low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+    parts = sums.withColumn("_to", upto).join(spans.select(*by, "_all"), by).where((F.col("_to") >= low) & (F.col("_to") - F.col("_n") < high))
+    near = placed.join(parts.select(*by, "_part", "_all", (F.col("_to") - F.col("_n")).alias("_before")), [*by, "_part"])
+    within = F.sum("_n").over(Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = near.withColumn("_to", within + F.col("_before"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_to") >= rank) & (F.col("_to") - F.col("_n") < rank), F.col("_v")))
 
-    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))
+    return ranked.groupBy(*by).agg(((at(low) + at(high)) / 2).alias(name))
 
 
 def group_profile(df: DataFrame, keys: Sequence[str], company: str, pay: str, means: Mapping[str, str]) -> DataFrame:

@@ -197,6 +197,25 @@ def test_median(spark):
     assert got == want
 
 
+def test_median_brute(spark):
+    """Hot and small groups, ties, outliers, infinities and constants against sorted lists."""
+    import random
+    import statistics
+
+    rng = random.Random(11)
+    data = [("hot", rng.gauss(1e9, 1.0)) for _ in range(3000)] + [("wide", rng.choice([1e-9, 1.0, 1e300, -1e300, 5.0])) for _ in range(501)]
+    data += [("ties", float(rng.randint(1, 4))) for _ in range(400)] + [("same", 7.0)] * 10 + [("one", 3.0)] + [("inf", x) for x in (float("inf"), 1.0, 2.0, 3.0)] + [("none", float("nan")), ("none", None), (None, 1.0)]
+    got = {r.g: r.m for r in features.exact_median(spark.createDataFrame(data, "g string, v double"), ["g"], "v", "m").collect()}
+    assert got == {g: statistics.median([v for k, v in data if k == g]) for g in ("hot", "wide", "ties", "same", "one", "inf")}
+
+
+def test_keep_first_marks(spark, rows):
+    """Nulls equal nulls of the same column only, a negative nought is nought, and texts that join alike differ."""
+    data = [(1, "a", None, 0.0), (2, None, "a", 0.0), (3, "a", None, -0.0), (4, "a=", "b", 1.0), (5, "a", "=b", 1.0), (6, "!", None, 1.0), (7, None, None, 1.0), (8, None, None, 1.0), (None, "z", "z", 2.0)]
+    df = spark.createDataFrame(data, "id bigint, a string, b string, x double")
+    assert [r.id for r in dedupe.keep_first(df, ["a", "b", "x"], "id").orderBy("id").collect()] == [1, 2, 4, 5, 6, 7]
+
+
 def test_strata(spark, rows):
     df = spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else None) for i in range(50)], "id bigint, s string")
     out = dedupe.stratified(df, F.col("s"), {"a": 2, "b": 3}, "id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evidex.llm import copies as dup
 from evidex.llm import quantiles, terms
 from evidex.llm.forms import LOOKALIKES, unify_text
-from evidex.llm.leakage import PASSAGE, leaks
+from evidex.llm.leakage import PASSAGE, SEED, leaks
 from evidex.llm.matching import map_fields, map_values, unmatched_values
 from evidex.llm.quality import document_kinds, document_statistics
 from evidex.llm.tokens import decoded_hashes, encode_corpus
@@ -217,14 +217,20 @@ _NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
 _BARE_SQL = f"regexp_replace(lower(translate(text, '{_WIDE}', '{_NARROW}')), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')"
 
 
-_LEAK_SQL = f"""
+def _shared_sql(n: int) -> str:
+    """CTEs up to f: documents and items of 50 letters or more that share n letters in a row."""
+    grams = f"list_transform(range(1, length(t) - {n - 2}), lambda k: substr(t, k::int, {n}))"
+    return f"""
     with d as (select doc_id, {_BARE_SQL} as t from documents where text is not null), i as (select item_id, {_BARE_SQL} as t from eval_items where text is not null),
-    g as (select item_id, unnest(list_distinct(list_transform(range(1, length(t) - 48), lambda k: substr(t, k::int, 50)))) as gram from i where length(t) >= 50),
-    h as (select doc_id, unnest(list_transform(range(1, length(t) - 48), lambda k: substr(t, k::int, 50))) as gram from d where length(t) >= 50),
+    g as (select item_id, unnest(list_distinct({grams})) as gram from i where length(t) >= {PASSAGE}),
+    h as (select doc_id, unnest(list_distinct({grams})) as gram from d where length(t) >= {n}),
     f as (select distinct doc_id, item_id from h join g using (gram))
 """
 
 
+_LEAK_SQL = _shared_sql(PASSAGE)
+
+
 @registry.query("p9_found", _LEAK_SQL + "select doc_id, item_id from f")
 def p9_found(spark, sf_dir):
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edited=False).where(F.col("longest_run") >= PASSAGE)
@@ -236,6 +242,12 @@ def p9_alignments(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+@registry.query("p9_seeded_pairs", _shared_sql(SEED) + "select doc_id, item_id from f")
+def p9_seeded_pairs(spark, sf_dir):
+    """The pairs that were aligned: those that share as many letters in a row as a seed has."""
+    return p9_alignments(spark, sf_dir).where(F.col("longest_run") >= SEED).select("doc_id", "item_id").distinct()
+
+
 @registry.query("p9_leaked_items", _LEAK_SQL + "select item_id, count(*) as documents from f group by 1")
 def p9_leaked_items(spark, sf_dir):
     return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from evidex.dictionaries import Study, load_study
 from evidex.plans.pipelines import evaluated, run_log, scored
-from evidex.session import get_spark
 from evidex.sources import files, providers
 
 
@@ -64,7 +63,8 @@ def main(argv: Sequence[str] | None = None) -> None:
             command.add_argument(f"--{name.replace('_', '-')}", required=default is None, default=default, type=str if default is None else type(default))
         command.set_defaults(call=run)
     a = parser.parse_args(argv)
-    a.call(SparkSession.getActiveSession() or get_spark(), a)
+    # The master and the rest come from whoever submits; without that Spark runs on this machine.
+    a.call(SparkSession.builder.appName("evidex").getOrCreate(), a)
 
 
 if __name__ == "__main__":

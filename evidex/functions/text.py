@@ -26,11 +26,13 @@ def words(items: Sequence[str]) -> Column:
     return F.array(*map(F.lit, items)) if items else F.array().cast(EMPTY)
 
 
+#: The white space of Unicode, which (?U)\s matches too.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column, chars: str | None = None) -> Column:
     """Without white space, or the given characters, at both ends."""
-    if chars is None:
-        return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
-    return F.btrim(text, F.lit(chars))
+    return F.btrim(text, F.lit(WHITE if chars is None else chars))
 
 
 def squeeze(text: Column) -> Column:

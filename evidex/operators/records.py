@@ -43,7 +43,9 @@ def whole_json(text: Column) -> Column:
     array whose second is a hash of the text: what follows the value would displace the hash.
     """
     mark = F.xxhash64(text)
-    held = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+    # A text that starts otherwise than a value does needn't be tried: a failure costs more than a success.
+    starts = text.rlike(r"^[ \t\r\n]*[\[{\"0-9tfn-]")
+    held = F.when(starts, F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]"))))
     return let(held, lambda h: F.when(F.try_variant_get(h, "$[1]", "bigint") == mark, F.try_variant_get(h, "$[0]", "variant")))
 
 
@@ -73,11 +75,19 @@ def plain(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
+def array_of(value: Column) -> Column:
+    """The texts of a variant that is an array, else null."""
+    return F.try_variant_get(value, "$", "array<string>")
+
+
 def listed(value: Column) -> Column:
     """Clean items of a variant: of an array, of a list written as one text, or of one value."""
-    items = F.when(kind(value) == "ARRAY", clean_items(F.filter(F.try_variant_get(value, "$", "array<string>"), lambda x: x.isNotNull())))
-    items = items.when(kind(value) == "STRING", split_list(plain(value))).otherwise(clean_items(F.filter(F.array(plain(value)), lambda x: x.isNotNull())))
-    return F.coalesce(items, F.array().cast(EMPTY))
+
+    def of(x: Column) -> Column:
+        one = F.when(kind(x["v"]) == "STRING", split_list(plain(x["v"]))).otherwise(clean_items(F.filter(F.array(plain(x["v"])), lambda y: y.isNotNull())))
+        return F.coalesce(F.when(x["a"].isNotNull(), clean_items(F.filter(x["a"], lambda y: y.isNotNull()))).otherwise(one), F.array().cast(EMPTY))
+
+    return let(F.struct(value.alias("v"), array_of(value).alias("a")), of)
 
 
 def pay_of(text: Column) -> Column:
@@ -121,19 +131,24 @@ def first_of(lines: Column, name: str) -> Column:
     return F.get(F.filter(lines, lambda p: p["name"] == name), F.lit(0))["value"]
 
 
-def schema_errors(value: Column) -> Column:
-    """What a variant lacks of the record schema, as an array of texts."""
-    lacks = [F.when(member(value, k).isNull(), f"missing: {k}") for k in REQUIRED_KEYS]
-    pay, skills = member(value, "薪资范围"), member(value, "技能要求")
-    object_of = {"薪资范围": pay, "技能要求": skills}
-    for name, inner in object_of.items():
-        lacks.append(F.when(F.coalesce(kind(inner), F.lit("")) != "OBJECT", f"no object: {name}"))
-        for k in PAY_KEYS if name == "薪资范围" else SKILL_KEYS:
-            there = member(inner, k)
-            wrong = there.isNull() if name == "薪资范围" else F.coalesce(kind(there), F.lit("")) != "ARRAY"
-            lacks.append(F.when((kind(inner) == "OBJECT") & wrong, f"missing: {name}.{k}" if name == "薪资范围" else f"no list: {k}"))
-    lacks.append(F.when(F.coalesce(kind(member(value, "AI相关技术栈要求")), F.lit("")) != "ARRAY", "no list: AI相关技术栈要求"))
-    return F.when(kind(value) == "OBJECT", F.array_compact(F.array(*lacks))).otherwise(F.array(F.lit("not an object")))
+def schema_errors(value: Column, is_object: Column) -> Column:
+    """What a variant lacks of the record schema, as an array of texts; is_object says whether it is an object at all."""
+
+    def lacks(x: Column) -> Column:
+        out = [F.when(member(x["v"], k).isNull(), f"missing: {k}") for k in REQUIRED_KEYS]
+        out.append(F.when(~x["pay"], "no object: 薪资范围"))
+        out += [F.when(x["pay"] & member(x["p"], k).isNull(), f"missing: 薪资范围.{k}") for k in PAY_KEYS]
+        out.append(F.when(~x["skills"], "no object: 技能要求"))
+        out += [F.when(x["skills"] & array_of(member(x["s"], k)).isNull(), f"no list: {k}") for k in SKILL_KEYS]
+        out.append(F.when(array_of(member(x["v"], "AI相关技术栈要求")).isNull(), "no list: AI相关技术栈要求"))
+        return F.array_compact(F.array(*out))
+
+    def kinds(x: Column) -> Column:
+        pay, skills = (F.coalesce(kind(x[c]) == "OBJECT", F.lit(False)) for c in ("p", "s"))
+        return let(F.struct(x["v"].alias("v"), x["p"].alias("p"), x["s"].alias("s"), pay.alias("pay"), skills.alias("skills")), lacks)
+
+    parts = F.struct(value.alias("v"), member(value, "薪资范围").alias("p"), member(value, "技能要求").alias("s"))
+    return F.when(is_object, let(parts, kinds)).otherwise(F.array(F.lit("not an object")))
 
 
 def parse_outputs(df: DataFrame, keys: Sequence[str], raw: str) -> DataFrame:
@@ -153,6 +168,8 @@ def parse_outputs(df: DataFrame, keys: Sequence[str], raw: str) -> DataFrame:
     read = read.select(
         *keys, F.when(is_record, value).alias("_value"), F.when(~is_record, labelled(F.col("_text"))).alias("_lines"),
         F.when(F.col("_whole").isNotNull(), "strict").when(F.col("_inner").isNotNull(), "repaired").otherwise("text").alias("json_level"),
+        # What was found within other text is an object; a text that is one value says so by its first character.
+        (F.col("_inner").isNotNull() | F.col("_text").rlike(r"^[ \t\r\n]*\{")).alias("_object"),
     )
     v = F.col("_value")
     read = read.select("*", member(v, *MEMBERS["薪资范围"]).alias("_pay"), member(v, *MEMBERS["技能要求"]).alias("_skills"))
@@ -165,6 +182,6 @@ def parse_outputs(df: DataFrame, keys: Sequence[str], raw: str) -> DataFrame:
     stated: Mapping[str, Column] = line | dict(zip(PAY_KEYS, [F.col("_range")[c] for c in ("low", "high", "period")]))
     scalars = [clean_scalar(F.coalesce(plain(member_of[f]), stated[f])).alias(f) for f in SCALAR_FIELDS]
     lists = [F.when(v.isNotNull(), listed(member_of[f])).otherwise(split_list(stated[f])).alias(f) for f in LIST_FIELDS]
-    errors = F.when(v.isNotNull(), schema_errors(v)).otherwise(F.array(F.lit("no JSON")))
+    errors = F.when(v.isNotNull(), schema_errors(v, F.col("_object"))).otherwise(F.array(F.lit("no JSON")))
     full = read.select(*keys, *scalars, *lists, F.when(v.isNotNull(), F.col("json_level")).otherwise("text").alias("level"), "json_level", errors.alias("errors"))
     return full.select(*keys, *SCALAR_FIELDS, *LIST_FIELDS, "level", "json_level", (F.size("errors") == 0).alias("schema_ok"), "errors")
